@@ -175,9 +175,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = part.select("node", F.col("component").alias("cluster"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    meet = text.join(part, F.col("id") == F.col("node")).select("cluster", "lo", "hi", "block", "id", "t")
+    # at every size the texts are dealt by their id and not joined to a broadcast table, which grows
+    meet = text.join(part.hint("merge"), F.col("id") == F.col("node")).select("cluster", "lo", "hi", "block", "id", "t")
     meet = meet.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    links = written(meet.mapInPandas(lambda it: _verified(it, k, percent), "a long, b long"))
+    links = written(meet.mapInPandas(lambda it: _verified(it, k, percent), "a long, b long"), free=True)
     linked = components(links).select(F.col("node"), F.col("component").alias("lowest"))
     named = nodes.drop("bands").join(linked, "node", "left").select("n_shingles", "set_a", "set_b", F.coalesce("lowest", "node").alias("root"))
     out = sketched.select("id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")

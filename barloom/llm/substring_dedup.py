@@ -47,10 +47,10 @@ GRAM = 16
 
 
 def width(length: int) -> int:
-    """Bytes in which an anchor is chosen: a power of two, at most 128 and a third of length."""
-    if length < 24:
-        raise ValueError("length has to be 24 bytes at least")
-    return min(128, 1 << int(np.log2(length / 3)))
+    """Bytes in which an anchor is chosen: at most 96 and a quarter of length."""
+    if length < 32:
+        raise ValueError("length has to be 32 bytes at least")
+    return min(96, length // 4)
 
 
 def _anchors(data: np.ndarray, w: int) -> np.ndarray:
@@ -64,8 +64,9 @@ def _anchors(data: np.ndarray, w: int) -> np.ndarray:
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
     size = 1
     while size < w:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
+        step = min(size, w - size)
+        low = np.minimum(low[:-step], low[step:])
+        size += step
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -102,7 +103,7 @@ def _positions(docs: DataFrame, length: int) -> DataFrame:
                 ids = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array((s - at[text]).astype(np.int32)), pa.array((e - at[text]).astype(np.int32)), pa.array(pair.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "row", "s", "e", "pair", "whole"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, s int, e int, pair long, whole long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row int, s int, e int, pair long, whole long")
 
 
 def _strings(docs: DataFrame, length: int) -> DataFrame:
@@ -124,7 +125,7 @@ def _strings(docs: DataFrame, length: int) -> DataFrame:
                 ids = pa.array(text)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array(p.astype(np.int32)), pa.array(name.view(np.int64))], names=["id", "row", "p", "name"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, p int, name long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row int, p int, name long")
 
 
 def _spans_of(df: DataFrame, low, high) -> DataFrame:
@@ -133,23 +134,25 @@ def _spans_of(df: DataFrame, low, high) -> DataFrame:
 
 def _with_text(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     spans = spans.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "spans")
-    return docs.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), how).drop("_id", "_row")
+    return docs.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), how).drop("_id", "_row")
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """(id, row, spans) of the texts of docs (id, row, t) that hold a repeated string: the starts s..e of such strings."""
-    named = written(_positions(docs, length))
+    # what Python names is made twice rather than kept: it is larger than the texts' own share of the disk
+    named = _positions(docs, length)
     twice = named.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
-    alive = written(named.join(twice, "pair", "left_semi"))
+    alive = written(named.join(twice, "pair", "left_semi"), free=True)
     wholes = alive.groupBy("pair", "whole").agg(F.count("*").alias("n"))
     settled = wholes.where("n > 1").select("pair", "whole")
     past = alive.join(settled, ["pair", "whole"], "left_semi")
-    edges = written(alive.join(settled, ["pair", "whole"], "left_anti"))
+    edges = written(alive.join(settled, ["pair", "whole"], "left_anti"), free=True)
     open_pairs = edges.groupBy("pair").agg(F.count("*").alias("n")).select("pair")
     other = past.groupBy("pair", "whole").agg(F.min(F.struct("id", "row", "s", "e")).alias("x")).join(open_pairs, "pair", "left_semi").select("x.*")
+    # at every size the texts are dealt by their key and not joined to a broadcast table, which grows
     ask = edges.select("id", "row", "s", "e").unionByName(other)
     text = _with_text(docs, _spans_of(ask, F.col("s"), F.col("e")), "inner")
-    strings = written(_strings(text.select("id", "row", "t", "spans"), length))
+    strings = _strings(text.select("id", "row", "t", "spans"), length)
     again = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     single = strings.join(again, "name", "left_semi")
     return _spans_of(past.select("id", "row", "s", "e").unionByName(single.select("id", "row", F.col("p").alias("s"), F.col("p").alias("e"))), F.col("s"), F.col("e"))
@@ -163,8 +166,13 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.concatenate([new[1:], [True]])]
 
 
+def _row_of(text_col: str):
+    """Tells rows with one id apart by their text."""
+    return F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int")
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("t"))
+    return docs.select(F.col(id_col).alias("id"), _row_of(text_col).alias("row"), F.col(text_col).alias("t"))
 
 
 def _cut(text: bytes, spans, length: int) -> tuple[bytes, int]:
@@ -194,7 +202,7 @@ def _each(texts: pa.Array, spans: pa.Array, length: int):
 def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
     rows = _rows(docs, id_col, text_col)
-    found = written(repeated(rows, length))
+    found = written(repeated(rows, length), free=True)
 
     def run(batches):
         for b in batches:
@@ -211,9 +219,9 @@ def remove(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     Bytes of a character that was cut in two go with it. A null text stays null.
     """
     rows = _rows(docs, id_col, text_col)
-    found = written(repeated(rows, length)).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_row"))
-    joined = docs.join(found, same, "left").drop("_id", "_row")
+    found = written(repeated(rows, length), free=True).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (_row_of(text_col) == F.col("_row"))
+    joined = docs.join(found.hint("merge"), same, "left").drop("_id", "_row")
     schema, place = docs.schema, docs.columns.index(text_col)
 
     def run(batches):

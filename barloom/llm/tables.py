@@ -16,11 +16,17 @@ def shared_folder(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again: what follows does not depend on executors' own disks."""
+def written(df: DataFrame, free: bool = False) -> DataFrame:
+    """df as a table in the shared folder, read again: what follows does not depend on executors' own disks.
+
+    free: also lets Spark's cleaner drop the shuffle files of the steps that are
+    over, which it does as the driver's heap is collected.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
