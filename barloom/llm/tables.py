@@ -16,17 +16,23 @@ def shared_folder(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def written(df: DataFrame, free: bool = False) -> DataFrame:
+#: Spark's own setting to delete the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: what follows does not depend on executors' own disks.
 
-    free: also lets Spark's cleaner drop the shuffle files of the steps that are
-    over, which it does as the driver's heap is collected.
+    The shuffle files of the execution go when the table is complete.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if free:
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
