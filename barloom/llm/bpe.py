@@ -28,9 +28,11 @@ from pyspark.sql import DataFrame
 from .textbytes import text_column
 
 NONE = np.int32(2**31 - 1)
-#: Distinct pre-tokens kept between batches, and the longest one kept, in bytes.
-KEPT, KEPT_BYTES = 400_000, 64
-CHUNK = 12 << 20
+#: Distinct pre-tokens kept between batches; beyond that the store starts anew
+#: (a reset costs only time)
+KEPT = 300_000
+#: Bytes of text encoded together.
+CHUNK = 6 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -137,12 +139,12 @@ class Vocabulary:
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         n = len(raw)
-        owner = np.repeat(np.arange(len(pieces)), sizes)
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         # symbols 1..n; 0 and n + 1 stand for no symbol
         token = np.concatenate([[-1], self.byte[raw], [-1]]).astype(np.int32)
-        piece = np.concatenate([[-1], owner, [-2]])
-        after = np.minimum(np.arange(1, n + 3), n + 1)
-        before = np.maximum(np.arange(-1, n + 1), 0)
+        piece = np.concatenate([[-1], owner, [-2]]).astype(np.int32)
+        after = np.minimum(np.arange(1, n + 3, dtype=np.int32), n + 1)
+        before = np.maximum(np.arange(-1, n + 1, dtype=np.int32), 0)
         ends = piece[1:] != piece[:-1]
         after[:-1][ends] = n + 1
         before[1:][ends] = 0
@@ -228,13 +230,13 @@ class Codec:
         if len(self.known) > KEPT:
             self._forget()
         known, before = self.known, len(self.known)
-        index = [np.fromiter(map(known.__getitem__, self.split(t)), np.int64) for t in texts]
+        index = [np.fromiter(map(known.__getitem__, self.split(t)), np.int32) for t in texts]
         if len(known) > before:
             new = [s.encode() for s in list(known)[before:]]
             ids, at = self.vocabulary.encode_pieces(new)
             self.ids = np.concatenate([self.ids, ids])
             self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
-        flat = np.concatenate(index) if index else np.zeros(0, np.int64)
+        flat = np.concatenate(index) if index else np.zeros(0, np.int32)
         lengths = self.at[flat + 1] - self.at[flat]
         total = np.concatenate([[0], np.cumsum(lengths)])
         out = self.ids[gather(self.at[flat], lengths)]

@@ -8,7 +8,7 @@ size of the table.
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 21
+SLAB = 1 << 20
 #: ASCII white space, as the words of every operator are cut.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
