@@ -6,7 +6,7 @@
    correlated and the variance is lower than with independent hashes; once every
    slot has a value below rank j no element can lower it at rank j, and the rest
    is skipped.
-2. Documents with equal sets are one node, the smallest id. Nodes that agree in
+2. Rows with equal sets are one node, whatever their ids. Nodes that agree in
    one of ``BANDS`` bands of ``ROWS`` slots share a bucket (a pair of similarity
    0.85 misses every one with probability below 1e-6), and buckets that share
    nodes share a cluster.
@@ -17,15 +17,16 @@
 4. Components of the links, by stars.
 
 Cases: a null or empty text, or one without words, has no shingles and is linked
-with nothing; a null id is kept and linked with nothing; rows with equal ids are
-copies of one document; other columns are not read; an empty table gives an
-empty result.
+with nothing; a row is its id and its text, so rows that share an id or have none
+are linked by their texts alone; other columns are not read; an empty table gives
+an empty result.
 """
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import UnionFind, components
@@ -84,12 +85,21 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+#: What names a row: whether its id is null, the id and a hash of the text; smaller ids come first, rows without one last.
+ROW = ("no_id", "row_id", "row_text")
+
+
+def _row(docs: DataFrame, id_col: str, text_col: str) -> list:
+    i = F.col(id_col)
+    return [c.alias(n) for c, n in zip((i.isNull(), F.coalesce(i, F.lit(0).cast(docs.schema[id_col].dataType)), F.xxhash64(text_col)), ROW)]
+
+
 def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_a, set_b, bands) of each row; set_a and set_b name the set."""
+    """(id, row_text, n_shingles, set_a, set_b, bands) of each row; set_a and set_b name the set."""
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0), text_column(b.column(1))
+            ids, texts, marks = b.column(0), text_column(b.column(1)), b.column(2)
             for i, j, sets, at in shingle_sets(texts, k):
                 size = np.diff(at)
                 total = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum([mix(sets), mix(sets ^ GOLD)], axis=1, dtype=np.uint64)], axis=1)
@@ -97,9 +107,9 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
                 key = bands(signatures(sets, at))
                 full = np.flatnonzero(size > 0)
                 edges = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size), pa.array(a), pa.array(c), pa.ListArray.from_arrays(pa.array(edges), pa.array(key[full].ravel()))], names=["id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), marks.slice(i, j - i), pa.array(size), pa.array(a), pa.array(c), pa.ListArray.from_arrays(pa.array(edges), pa.array(key[full].ravel()))], names=["id", "row_text", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, row_text long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def verify(sets: list, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
@@ -135,8 +145,7 @@ def _verified(frames, k: int, percent: int):
     """Links of each group of equal (cluster, lo, hi); groups come one after the other and may span frames."""
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        ids, sets = group["id"].to_numpy(), []
+        ids, sets = group["node"].to_numpy(), []
         for _, _, s, at in shingle_sets(pa.array(group["t"], pa.string()), k):
             sets += [s[at[i] : at[i + 1]] for i in range(len(at) - 1)]
         lo, hi = group["lo"].iloc[0], group["hi"].iloc[0]
@@ -160,33 +169,62 @@ def _verified(frames, k: int, percent: int):
         yield links(rest).astype({"a": "int64", "b": "int64"})
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row: linked are texts with 100 * intersection >= percent * union of their k-word shingles."""
+def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and (node, n_shingles, set_a, set_b, first, component, lowest) of each set: its first row, and of the sets linked with it the name and the first row."""
     sketched = written(sketch(docs, k, id_col, text_col))
-    full = sketched.where("n_shingles > 0 and id is not null")
-    nodes = written(full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
+    none = F.col("id").isNull()
+    row = F.struct(none.alias("no_id"), F.coalesce("id", F.lit(0).cast(sketched.schema["id"].dataType)).alias("row_id"), "row_text")
+    sets = sketched.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min(row).alias("first"), F.first("bands").alias("bands"))
+    # the numbers hold because the table is written once
+    nodes = written(sets.withColumn("node", F.monotonically_increasing_id()))
     member = nodes.select("node", F.explode("bands").alias("band"))
     centre = member.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
     shared = member.join(centre, "band").select(F.col("node").alias("a"), "b")
     cluster = components(shared)
-    part = written(cluster.join(nodes.select("node", "n_shingles"), "node"))
+    part = written(cluster.join(nodes.select("node", "n_shingles", "first.*"), "node"))
     count = part.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     part = part.join(count, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    part = part.select("node", F.col("component").alias("cluster"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    # at every size the texts are dealt by their id and not joined to a broadcast table, which grows
-    meet = text.join(part.hint("merge"), F.col("id") == F.col("node")).select("cluster", "lo", "hi", "block", "id", "t")
+    part = part.select(*ROW, "node", F.col("component").alias("cluster"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block")
+    # rows that repeat both id and text give their text once
+    text = docs.select(*_row(docs, id_col, text_col), F.col(text_col).alias("t")).groupBy(*ROW).agg(F.first("t").alias("t"))
+    # at every size the texts are dealt by their row and not joined to a broadcast table, which grows
+    meet = text.join(part.hint("merge"), list(ROW)).select("cluster", "lo", "hi", "block", "node", "t")
     meet = meet.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     links = written(meet.mapInPandas(lambda it: _verified(it, k, percent), "a long, b long"))
-    linked = components(links).select(F.col("node"), F.col("component").alias("lowest"))
-    named = nodes.drop("bands").join(linked, "node", "left").select("n_shingles", "set_a", "set_b", F.coalesce("lowest", "node").alias("root"))
+    linked = written(components(links).join(nodes.select("node", "first"), "node"))
+    lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
+    linked = linked.select("node", "component").join(lowest, "component")
+    named = nodes.drop("bands").join(linked, "node", "left")
+    return sketched, named.withColumn("component", F.coalesce("component", "node")).withColumn("lowest", F.coalesce("lowest", "first"))
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row: linked are texts with 100 * intersection >= percent * union of their k-word shingles.
+
+    component_id is the smallest id of the group, null where no row of it has one.
+    kept are the rows with that id, several where it is repeated: these rows cannot
+    be told apart here, and keep_one takes one of them.
+    """
+    sketched, named = _found(docs, k, percent, id_col, text_col)
+    named = named.select("n_shingles", "set_a", "set_b", F.when(~F.col("lowest.no_id"), F.col("lowest.row_id")).alias("root"))
     out = sketched.select("id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")
-    root = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("root"))).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    root = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group, all columns as they were; rows with a null id stay."""
-    gone = groups(docs, k, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs with one row of each group, all columns as they were: of its smallest id, or of none where no row has one; rows without shingles stay.
+
+    Of rows that repeat both id and text the first by the other columns stays.
+    """
+    sketched, named = _found(docs, k, percent, id_col, text_col)
+    one = named.groupBy("component").agg(F.min("first").alias("row")).select("row.*", F.lit(True).alias("_one"))
+    every = sketched.where("n_shingles = 0").select(*_row(sketched, "id", "id")[:2], "row_text").distinct().withColumn("_one", F.lit(False))
+    stay = one.unionByName(every).select(*(F.col(c).alias("_" + c) for c in ROW), "_one")
+    keys = ["_" + c for c in ROW]
+    rows = docs.select("*", *(c.alias(n) for c, n in zip(_row(docs, id_col, text_col), keys)))
+    plain = [f.name for f in docs.schema if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant")]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*(F.col(f"`{c}`") for c in plain or keys[:1])))
+    out = rows.join(stay.hint("merge"), keys).withColumn("_place", place).where("not _one or _place = 1")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -87,6 +87,39 @@ def test_near_duplicates(docs, rows, none):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def test_one_row_of_each_group_stays(spark, rows):
+    def sets(t):
+        w = words(t)
+        return frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    # id 500 has three texts, of which one is like 501 and one like 499; 600 and null ids repeat exactly
+    more = [(500, a), (500, b), (500, c), (501, b + " end"), (499, c + " end"), (600, prose(rng, 70))] + [(None, x) for x in (prose(rng, 60), prose(rng, 60), "", None)]
+    more += more[5:]
+    data = rows + [(i, t, "en", str(k), k, 1.0, 7, "x") for k, (i, t) in enumerate(more)]
+    own = [sets(r[1]) for r in data]
+    root = list(range(len(data)))
+    for _ in data:
+        for i, x in enumerate(own):
+            for j, y in enumerate(own):
+                if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                    root[i] = root[j] = min(root[i], root[j])
+    parts = collections.defaultdict(list)
+    for k, r in enumerate(root):
+        parts[r].append(data[k])
+    table = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = collections.Counter(map(tuple, near_dedup.keep_one(table, 3, 85).collect()))
+    for part in parts.values():
+        if sets(part[0][1]):
+            least = min((r[0] is None, r[0] or 0) for r in part)
+            kept = [r for r in got.elements() if r in part]
+            assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == least
+    assert sum(got.values()) == sum(1 if sets(p[0][1]) else len(p) for p in parts.values())
+    whole = {r.doc_id: r.text for r in substring_dedup.remove(near_dedup.keep_one(table, 3, 85), 200).collect()}
+    assert whole[600] == more[5][1]
+
+
 def test_repeated_strings(docs, rows, none):
     length = 120
     times = collections.Counter(b[p : p + length] for r in rows for b in [(r[1] or "").encode()] for p in range(len(b) - length + 1))
