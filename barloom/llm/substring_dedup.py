@@ -13,7 +13,7 @@ lowest: it depends on the string's bytes alone, so equal strings have equal
 anchors at equal distance, and the starts with one anchor are a range s..e.
 
 * round 1: the pair of names of the two halves of the text after the anchor that
-  all strings of the range share (more than half of ``length``). A unique pair
+  all strings of the range share (half of ``length`` at least). A unique pair
   means that no string of the range is repeated.
 * round 2: the pair and the name of the whole range, s to e + length, which is
   past the threshold: if it is repeated, all strings of the range are.
@@ -22,9 +22,13 @@ anchors at equal distance, and the starts with one anchor are a range s..e.
   round 2 can hold the other copy of such a string, so of each distinct one that
   shares its pair with an edge, one occurrence is named too.
 
-Names are counted with partial sums before each shuffle and joined back, so a
-string that a third of the table holds is one row a task, and Spark splits the
-joins' large partitions.
+``digest`` asks at two lengths, again by doubling: first the repeated strings of
+``passage`` bytes, then those of ``length`` bytes, which can only start where
+every start of the first kind up to the second's end is repeated.
+
+Names are counted with partial sums before each shuffle. Names that hold more
+than a ``HOT``-th of all rows (fewer than ``HOT``, so they may be broadcast) are
+dealt to ``SALTS`` tasks each when the counts are joined back.
 
 Cases: a null or empty text has no bytes and nothing to remove; texts shorter
 than ``length`` stay whole; a null id is kept; rows with equal ids are told apart
@@ -40,17 +44,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import gather
-from .tables import written
-from .textbytes import mix, slabs, span_hash, text_column
+from .tables import Scratch, written
+from .textbytes import mix, slabs, span_hash, sums, text_column
 
 GRAM = 16
+HOT, SALTS = 1000, 64
 
 
 def width(length: int) -> int:
-    """Bytes in which an anchor is chosen: at most 96 and a quarter of length."""
+    """Bytes in which an anchor is chosen: at most 96 and half of length."""
     if length < 32:
         raise ValueError("length has to be 32 bytes at least")
-    return min(96, length // 4)
+    return min(96, length // 2)
 
 
 def _anchors(data: np.ndarray, w: int) -> np.ndarray:
@@ -70,24 +75,27 @@ def _anchors(data: np.ndarray, w: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def ranges(data: np.ndarray, at: np.ndarray, length: int):
-    """Ranges of starts with one anchor: text, first start, last start, anchor (positions in data)."""
+def ranges(data: np.ndarray, at: np.ndarray, length: int, p: np.ndarray | None = None):
+    """Ranges of starts with one anchor: text, first start, last start, anchor (positions in data). p: the starts asked for, if not all."""
     w = width(length)
-    anchor = _anchors(data, w)
-    room = np.maximum(np.diff(at) - length + 1, 0)
-    p = gather(at[:-1], room)
-    text = np.repeat(np.arange(len(room)), room)
+    if p is None:
+        p = gather(at[:-1], np.maximum(np.diff(at) - length + 1, 0))
     if not len(p):
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    a = anchor[p]
-    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1])]))
+    text = np.searchsorted(at, p, "right") - 1
+    a = _anchors(data, w)[p]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (text[1:] != text[:-1]) | (p[1:] != p[:-1] + 1)]))
     last = np.concatenate([first[1:] - 1, [len(p) - 1]])
     return text[first], p[first], p[last], a[first]
 
 
-def _positions(docs: DataFrame, length: int) -> DataFrame:
-    """(id, row, s, e, pair, whole) of each range of docs (id, row, t)."""
+def _positions(docs: DataFrame, length: int, passage: int | None = None) -> DataFrame:
+    """(id, row, s, e, pair, whole) of each range of docs (id, row, t).
+
+    passage: docs has spans, the repeated starts at that length, and only starts
+    from which all up to length - passage later are in them are asked for.
+    """
     w = width(length)
     half = (length - w + 1) // 2
     top = np.uint64(0xFFFFFFFF00000000)
@@ -96,7 +104,11 @@ def _positions(docs: DataFrame, length: int) -> DataFrame:
         for b in batches:
             texts = text_column(b.column(2))
             for i, j, data, at in slabs(texts):
-                text, s, e, a = ranges(data, at, length)
+                p = None
+                if passage:
+                    low, high = covered(*_places(b.column(3), i, j, at))
+                    p = gather(low, np.maximum(high - low - (length - passage), 0))
+                text, s, e, a = ranges(data, at, length, p)
                 end = a - w + 1 + length
                 pair = (span_hash(data, a, a + half) & top) | (span_hash(data, a + half, end) >> np.uint64(32))
                 whole = span_hash(data, s, e + length)
@@ -106,6 +118,15 @@ def _positions(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row int, s int, e int, pair long, whole long")
 
 
+def _places(spans: pa.Array, i: int, j: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the spans of texts i..j-1 as positions in their slab."""
+    edge = spans.offsets.to_numpy()
+    low, high = edge[i], edge[j]
+    s, e = (spans.values.field(k).to_numpy(zero_copy_only=False)[low:high].astype(np.int64) for k in range(2))
+    shift = np.repeat(at[: j - i], np.diff(edge[i : j + 1]))
+    return s + shift, e + shift + 1
+
+
 def _strings(docs: DataFrame, length: int) -> DataFrame:
     """(id, row, p, name) of each string that starts in one of the spans of docs (id, row, t, spans)."""
 
@@ -133,33 +154,48 @@ def _spans_of(df: DataFrame, low, high) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    spans = spans.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "spans")
+    spans = spans.withColumnsRenamed({"id": "_id", "row": "_row"})
     return docs.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), how).drop("_id", "_row")
 
 
-def repeated(docs: DataFrame, length: int) -> DataFrame:
-    """(id, row, spans) of the texts of docs (id, row, t) that hold a repeated string: the starts s..e of such strings."""
+def _matching(rows: DataFrame, counted: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows whose keys are in counted (keys, n) or, left_anti, are not; keys with many rows are dealt to SALTS tasks."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(counted.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = counted.select(*keys).join(hot, keys, "left").select(*keys, F.explode(each).alias("_salt"))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def repeated(docs: DataFrame, length: int, keep: Scratch, passage: int | None = None) -> DataFrame:
+    """(id, row, spans) of the texts of docs (id, row, t) that hold a repeated string: the starts s..e of such strings.
+
+    passage: see _positions; docs then has spans too.
+    """
     # what Python names is made twice rather than kept: it is larger than the texts' own share of the disk
-    named = _positions(docs, length)
-    twice = named.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1").select("pair")
-    alive = written(named.join(twice, "pair", "left_semi"))
-    wholes = alive.groupBy("pair", "whole").agg(F.count("*").alias("n"))
-    settled = wholes.where("n > 1").select("pair", "whole")
-    past = alive.join(settled, ["pair", "whole"], "left_semi")
-    edges = written(alive.join(settled, ["pair", "whole"], "left_anti"))
+    named = keep(_positions(docs, length, passage)) if passage else _positions(docs, length)
+    twice = keep(named.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"))
+    alive = keep(_matching(named, twice, ["pair"], "left_semi"))
+    settled = keep(alive.groupBy("pair", "whole").agg(F.count("*").alias("n")).where("n > 1"))
+    past = _matching(alive, settled, ["pair", "whole"], "left_semi")
+    edges = keep(_matching(alive, settled, ["pair", "whole"], "left_anti"))
     open_pairs = edges.groupBy("pair").agg(F.count("*").alias("n")).select("pair")
     other = past.groupBy("pair", "whole").agg(F.min(F.struct("id", "row", "s", "e")).alias("x")).join(open_pairs, "pair", "left_semi").select("x.*")
     # at every size the texts are dealt by their key and not joined to a broadcast table, which grows
     ask = edges.select("id", "row", "s", "e").unionByName(other)
-    text = _with_text(docs, _spans_of(ask, F.col("s"), F.col("e")), "inner")
+    text = _with_text(docs.select("id", "row", "t"), _spans_of(ask, F.col("s"), F.col("e")), "inner")
     strings = _strings(text.select("id", "row", "t", "spans"), length)
     again = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     single = strings.join(again, "name", "left_semi")
-    return _spans_of(past.select("id", "row", "s", "e").unionByName(single.select("id", "row", F.col("p").alias("s"), F.col("p").alias("e"))), F.col("s"), F.col("e"))
+    return keep(_spans_of(past.select("id", "row", "s", "e").unionByName(single.select("id", "row", F.col("p").alias("s"), F.col("p").alias("e"))), F.col("s"), F.col("e")))
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The maximal runs of bytes that the spans [start, end) cover together."""
+    if not len(starts):
+        return starts, ends
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], np.maximum.accumulate(ends[order])
     new = np.concatenate([[True], starts[1:] > ends[:-1]])
@@ -175,62 +211,90 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), _row_of(text_col).alias("row"), F.col(text_col).alias("t"))
 
 
-def _cut(text: bytes, spans, length: int) -> tuple[bytes, int]:
-    """What is left of text, and the number of runs removed."""
-    if spans is None:
-        return text, 0
-    low, high = covered(spans[0], spans[1] + length)
-    keep, last = [], 0
-    for a, b in zip(low.tolist(), high.tolist()):
-        keep.append(text[last:a])
-        last = b
-    keep.append(text[last:])
-    return b"".join(keep), len(low)
+def _runs(spans: pa.Array, i: int, j: int, at: np.ndarray, length: int):
+    """Runs of bytes that the spans of texts i..j-1 cover, as positions in their slab, and the first run of each text."""
+    apart = at + np.arange(len(at))  # texts one byte apart, so that runs of two texts never touch
+    low, high = _places(spans, i, j, apart)
+    low, high = covered(low, high + length - 1)
+    text = np.searchsorted(apart, low, "right") - 1
+    return low - text, high - text, np.searchsorted(low, apart)
 
 
 def _each(texts: pa.Array, spans: pa.Array, length: int):
-    """_cut of each row."""
-    edge = spans.offsets.to_numpy()
-    values = [spans.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)]
+    """Of each row the bytes, what is left of them and the number of runs removed."""
     for i, j, data, at in slabs(texts):
         raw = data.tobytes()
-        for k in range(i, j):
-            a, b = edge[k], edge[k + 1]
-            yield len(raw[at[k - i] : at[k - i + 1]]), *_cut(raw[at[k - i] : at[k - i + 1]], (values[0][a:b], values[1][a:b]) if b > a else None, length)
-
-
-def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs."""
+        low, high, first = _runs(spans, i, j, at, length)
+        low, high = low.tolist(), high.tolist()
+        for k in range(j - i):
+            keep, last = [], int(at[k])
+            for x in range(first[k], first[k + 1]):
+                keep.append(raw[last : low[x]])
+                last = high[x]
+            keep.append(raw[last : at[k + 1]])
+            yield int(at[k + 1] - at[k]), b"".join(keep), int(first[k + 1] - first[k])
+
+
+def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int = 200) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, n_passages) of each row of docs.
+
+    The last two are the bytes in repeated strings of `passage` bytes and their
+    runs: passages that are shorter than `length`, which stay in the text.
+    """
+    if not 32 <= passage <= length:
+        raise ValueError("passage has to be between 32 bytes and length")
     rows = _rows(docs, id_col, text_col)
-    found = written(repeated(rows, length))
+    with Scratch(docs.sparkSession) as keep:
+        short = repeated(rows, passage, keep)
+        starts = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"] + 1)
+        inside = _with_text(rows, short.where(starts > length - passage), "inner").select("id", "row", "t", "spans")
+        far = repeated(inside, length, keep, passage)
+        none = F.lit(None).cast(short.schema["spans"].dataType)
+        both = short.select("id", "row", none.alias("spans"), F.col("spans").alias("passages")).unionByName(far.select("id", "row", "spans", none.alias("passages")))
+        found = written(both.groupBy("id", "row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")))
 
     def run(batches):
         for b in batches:
-            out = list(_each(text_column(b.column(2)), b.column(3), length))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in out], pa.int64()), pa.array([n - len(t) for n, t, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for _, t, _ in out], pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            texts = text_column(b.column(2))
+            out = list(_each(texts, b.column(3), length))
+            covers, counts = [], []
+            for i, j, _, at in slabs(texts):
+                low, high, first = _runs(b.column(4), i, j, at, passage)
+                covers.append(sums(high - low, first))
+                counts.append(np.diff(first))
+            cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in out], pa.int64()), pa.array([n - len(t) for n, t, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for _, t, _ in out], pa.string()), cat(covers), cat(counts)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"])
 
-    joined = _with_text(rows, found, "left").select("id", "row", "t", "spans")
-    return joined.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = _with_text(rows, found, "left").select("id", "row", "t", "spans", "passages")
+    return joined.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
 def remove(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated bytes taken out of the text, all other columns as they were.
 
     Bytes of a character that was cut in two go with it. A null text stays null.
+    Column names may be any: the joined ones are told apart by their place.
     """
     rows = _rows(docs, id_col, text_col)
-    found = written(repeated(rows, length)).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (_row_of(text_col) == F.col("_row"))
-    joined = docs.join(found.hint("merge"), same, "left").drop("_id", "_row")
-    schema, place = docs.schema, docs.columns.index(text_col)
+    with Scratch(docs.sparkSession) as keep:
+        found = written(repeated(rows, length, keep))
+    place, n = docs.columns.index(text_col), len(docs.columns)
+    # own names for all columns, so that none of the table's can clash
+    names = [f"c{k}" for k in range(n)]
+    plain = docs.toDF(*names)
+    key = names[docs.columns.index(id_col)]
+    found = found.select(F.col("id").alias("found_id"), F.col("row").alias("found_row"), F.col("spans").alias("found_spans"))
+    same = F.col(key).eqNullSafe(F.col("found_id")) & (_row_of(names[place]) == F.col("found_row"))
+    joined = plain.join(found.hint("merge"), same, "left").select(*names, "found_spans")
+    schema = docs.schema
 
     def run(batches):
         for b in batches:
-            spans, column = b.column(b.num_columns - 1), b.column(place)
-            out = [t.decode("utf-8", "ignore") for _, t, _ in _each(text_column(column), spans, length)]
+            column = b.column(place)
+            out = [t.decode("utf-8", "ignore") for _, t, _ in _each(text_column(column), b.column(n), length)]
             cut = pa.array([None if gone else t for gone, t in zip(column.is_null().to_pylist(), out)], pa.string())
-            columns = list(b.columns)[:-1]
+            columns = list(b.columns)[:n]
             columns[place] = cut
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return joined.mapInArrow(run, schema)

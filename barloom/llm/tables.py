@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a new local one only where none is set, as in tests."""
+    """The cluster's checkpoint folder. Only a local session without one gets its own, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not there:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         there = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(there)
     return there.rstrip("/")
@@ -20,13 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder, read again: what follows does not depend on executors' own disks.
 
     The shuffle files of the execution go when the table is complete.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -36,5 +38,34 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Written tables that are deleted when the block ends; what is read after it has to be `written` by itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self):
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(new_path(self.spark))
+        return written(df, self.paths[-1])
+
+    def keep_last(self, n: int) -> None:
+        """Deletes all tables but the last n."""
+        old, self.paths = self.paths[:-n], self.paths[-n:]
+        for p in old:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    def __exit__(self, *_):
+        self.paths.append("")
+        self.keep_last(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
