@@ -4,10 +4,13 @@ The merges of a batch run over one queue: a bucket for each merge rank holds the
 positions of the pairs that merge to it, the symbols are a doubly linked list,
 and a hierarchical bitmap over the ranks finds the lowest bucket in use. An entry
 whose pair has changed since it was put in is stale and skipped. Pre-tokens are
-independent, so the distinct pre-tokens of a batch share the queue; of one
-pre-token only the leftmost entry of a bucket merges at a time, since a merge can
-open a pair of a lower rank. A long pre-token takes a number of steps that
-follows its merges and not the square of its length.
+independent, so the distinct pre-tokens of a batch share the queue. The entries of
+the lowest bucket merge from left to right in one numpy step; of overlapping ones
+(as in a run of one letter) every second. Only where a merge opens a pair of a
+lower rank, on its left or with the symbol that then stands on its right, the
+entries of that pre-token behind it wait until that pair has merged. So a long
+pre-token takes as many steps as it has ranks in use, each as long as its bucket,
+unless such pairs are frequent, which byte-pair vocabularies hardly have.
 
 Cases: a null or empty text has no tokens and decodes to no bytes; rows with
 equal ids are encoded one by one; other columns are not read; an empty table
@@ -134,6 +137,32 @@ class Vocabulary:
             look = look[~hit & (there != -1)]
         return out
 
+    def _at_once(self, r: int, at: np.ndarray, token, piece, after, before) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sorted entries of rank r those that merge now, and those that wait behind a pair of lower rank."""
+        n = len(at)
+        chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        head = np.maximum.accumulate(np.where(chained, 0, np.arange(n)))
+        even = (np.arange(n) - head) % 2 == 0
+        same = np.concatenate([[False], piece[at[1:]] == piece[at[:-1]]])
+        if not same.any():
+            return at, at[:0]
+        take = at[even]
+        gone = after[take]
+        right, left = after[gone], before[take]
+        # the symbol before is this rank too where the entry before it merges first
+        joined = np.concatenate([[False], right[:-1] == take[1:]])
+        a = np.where(joined, r, token[left])
+        opens = np.minimum(np.where(left != 0, self.merged(np.where(left != 0, a, 0), np.full(len(take), r)), NONE), np.where(token[right] >= 0, self.merged(np.full(len(take), r), np.maximum(token[right], 0)), NONE)) < r
+        if not opens.any():
+            return take, at[:0]
+        # entries behind the first such merge of their pre-token
+        count = np.cumsum(opens) - opens
+        own = np.searchsorted(piece[take], piece[take], "left")
+        wait = count > count[own]
+        stop = np.full(int(piece[take[-1]]) + 2, len(token), np.int64)
+        np.minimum.at(stop, piece[take[wait]], take[wait])
+        return take[~wait], at[at >= stop[piece[at]]]
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces in one array, and the offsets of each piece's."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -169,21 +198,16 @@ class Vocabulary:
             put(at, rank[at])
         while (r := used.first()) >= 0:
             found = buckets.pop(r)
+            used.discard(r)
             at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
             at = at[rank[at] == r]
             if not len(at):
-                used.discard(r)
                 continue
             if len(at) > 1:
-                again = piece[at[1:]] == piece[at[:-1]]
-                if again.any():
-                    later = np.concatenate([[False], again])
-                    buckets[r].append(at[later])
-                    at = at[~later]
-                else:
-                    used.discard(r)
-            else:
-                used.discard(r)
+                at, later = self._at_once(r, at, token, piece, after, before)
+                if len(later):
+                    buckets[r].append(later)
+                    used.add(r)
             gone = after[at]
             right, left = after[gone], before[at]
             token[at] = r
