@@ -12,15 +12,16 @@ anchor is the position in the next ``w`` bytes whose following 16 bytes hash
 lowest: it depends on the string's bytes alone, so equal strings have equal
 anchors at equal distance, and the starts with one anchor are a range s..e.
 
-* round 1: the pair of names of the two halves of the text after the anchor that
-  all strings of the range share (half of ``length`` at least). A unique pair
-  means that no string of the range is repeated.
-* round 2: the pair and the name of the whole range, s to e + length, which is
-  past the threshold: if it is repeated, all strings of the range are.
-* round 3: what is left are the ranges at the edges of repeated passages. Each
-  of their strings gets its own name of ``length`` bytes. A range settled in
-  round 2 can hold the other copy of such a string, so of each distinct one that
-  shares its pair with an edge, one occurrence is named too.
+* A range gets the pair of names of the two halves of the text that all its
+  strings share (half of ``length`` at least). A unique pair means that no string
+  of the range is repeated: it leaves.
+* It also gets the name of its whole text, s to e + length, which is past the
+  threshold: if that is repeated, all strings of the range are, and it is settled.
+* What is left are ranges at the edges of repeated passages. They are cut at fixed
+  distances from their anchors and named anew, twice: into eighths, then into
+  single strings, whose name is that of their ``length`` bytes. A settled range
+  can hold the other copy of a string at an edge, so of each distinct one that
+  shares its pair with an edge, one occurrence is named again too.
 
 ``digest`` asks at two lengths, again by doubling: first the repeated strings of
 ``passage`` bytes, then those of ``length`` bytes, which can only start where
@@ -37,6 +38,7 @@ read; an empty table gives an empty result.
 """
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,14 +92,13 @@ def ranges(data: np.ndarray, at: np.ndarray, length: int, p: np.ndarray | None =
     return text[first], p[first], p[last], a[first]
 
 
-def _positions(docs: DataFrame, length: int, passage: int | None = None) -> DataFrame:
-    """(id, row, s, e, pair, whole) of each range of docs (id, row, t).
+def _positions(docs: DataFrame, length: int, cell: int, less: int | None = None) -> DataFrame:
+    """(id, row, s, e, pair, whole) of each range of docs (id, row, t), of starts at most cell bytes apart.
 
-    passage: docs has spans, the repeated starts at that length, and only starts
-    from which all up to length - passage later are in them are asked for.
+    less: docs has spans of starts, and of each run of them all but the last
+    `less` are asked for; otherwise every start is.
     """
-    w = width(length)
-    half = (length - w + 1) // 2
+    half = (length - cell + 1) // 2
     top = np.uint64(0xFFFFFFFF00000000)
 
     def run(batches):
@@ -105,13 +106,17 @@ def _positions(docs: DataFrame, length: int, passage: int | None = None) -> Data
             texts = text_column(b.column(2))
             for i, j, data, at in slabs(texts):
                 p = None
-                if passage:
+                if less is not None:
                     low, high = covered(*_places(b.column(3), i, j, at))
-                    p = gather(low, np.maximum(high - low - (length - passage), 0))
+                    p = gather(low, np.maximum(high - low - less, 0))
                 text, s, e, a = ranges(data, at, length, p)
-                end = a - w + 1 + length
-                pair = (span_hash(data, a, a + half) & top) | (span_hash(data, a + half, end) >> np.uint64(32))
+                n = (a - s) // cell - (a - e) // cell + 1
+                part = np.repeat(np.arange(len(n)), n)
+                text, a, c = text[part], a[part], gather((a - e) // cell, n)
+                first, last = a - (c + 1) * cell + 1, a - c * cell
+                s, e = np.maximum(s[part], first), np.minimum(e[part], last)
                 whole = span_hash(data, s, e + length)
+                pair = whole if cell == 1 else (span_hash(data, last, last + half) & top) | (span_hash(data, last + half, first + length) >> np.uint64(32))
                 ids = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array((s - at[text]).astype(np.int32)), pa.array((e - at[text]).astype(np.int32)), pa.array(pair.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "row", "s", "e", "pair", "whole"])
 
@@ -127,30 +132,8 @@ def _places(spans: pa.Array, i: int, j: int, at: np.ndarray) -> tuple[np.ndarray
     return s + shift, e + shift + 1
 
 
-def _strings(docs: DataFrame, length: int) -> DataFrame:
-    """(id, row, p, name) of each string that starts in one of the spans of docs (id, row, t, spans)."""
-
-    def run(batches):
-        for b in batches:
-            texts, spans = text_column(b.column(2)), b.column(3)
-            edge = spans.offsets.to_numpy()
-            s, e = (spans.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
-            for i, j, data, at in slabs(texts):
-                low, high = edge[i], edge[j]
-                text = np.repeat(np.arange(i, j), np.diff(edge[i : j + 1]))
-                size = e[low:high] - s[low:high] + 1
-                p = gather(s[low:high], size)
-                text = np.repeat(text, size)
-                start = p + at[text - i]
-                name = span_hash(data, start, start + length)
-                ids = pa.array(text)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array(p.astype(np.int32)), pa.array(name.view(np.int64))], names=["id", "row", "p", "name"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row int, p int, name long")
-
-
-def _spans_of(df: DataFrame, low, high) -> DataFrame:
-    return df.groupBy("id", "row").agg(F.collect_list(F.struct(low.cast("int").alias("s"), high.cast("int").alias("e"))).alias("spans"))
+def _spans_of(df: DataFrame) -> DataFrame:
+    return df.groupBy("id", "row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def _with_text(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -169,27 +152,33 @@ def _matching(rows: DataFrame, counted: DataFrame, keys: list[str], how: str) ->
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def repeated(docs: DataFrame, length: int, keep: Scratch, passage: int | None = None) -> DataFrame:
+def repeated(docs: DataFrame, length: int, keep: Scratch, less: int | None = None) -> DataFrame:
     """(id, row, spans) of the texts of docs (id, row, t) that hold a repeated string: the starts s..e of such strings.
 
-    passage: see _positions; docs then has spans too.
+    less: see _positions; docs then has spans too.
     """
-    # what Python names is made twice rather than kept: it is larger than the texts' own share of the disk
-    named = keep(_positions(docs, length, passage)) if passage else _positions(docs, length)
-    twice = keep(named.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"))
-    alive = keep(_matching(named, twice, ["pair"], "left_semi"))
-    settled = keep(alive.groupBy("pair", "whole").agg(F.count("*").alias("n")).where("n > 1"))
-    past = _matching(alive, settled, ["pair", "whole"], "left_semi")
-    edges = keep(_matching(alive, settled, ["pair", "whole"], "left_anti"))
-    open_pairs = edges.groupBy("pair").agg(F.count("*").alias("n")).select("pair")
-    other = past.groupBy("pair", "whole").agg(F.min(F.struct("id", "row", "s", "e")).alias("x")).join(open_pairs, "pair", "left_semi").select("x.*")
-    # at every size the texts are dealt by their key and not joined to a broadcast table, which grows
-    ask = edges.select("id", "row", "s", "e").unionByName(other)
-    text = _with_text(docs.select("id", "row", "t"), _spans_of(ask, F.col("s"), F.col("e")), "inner")
-    strings = _strings(text.select("id", "row", "t", "spans"), length)
-    again = strings.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    single = strings.join(again, "name", "left_semi")
-    return keep(_spans_of(past.select("id", "row", "s", "e").unionByName(single.select("id", "row", F.col("p").alias("s"), F.col("p").alias("e"))), F.col("s"), F.col("e")))
+    w, found, text = width(length), [], docs
+    place = ("id", "row", "s", "e")
+    for cell in dict.fromkeys((w, w // 8, 1)):
+        named = _positions(text, length, cell, less)
+        named = named.select(*place, "pair") if cell == 1 else named
+        # the names of all starts are made twice rather than kept: they are larger than the texts' own share of the disk
+        named = named if less is None else keep(named)
+        twice = keep(named.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1"))
+        alive = _matching(named, twice, ["pair"], "left_semi")
+        if cell == 1:
+            found.append(alive.select(*place))
+            break
+        alive = keep(alive)
+        settled = keep(alive.groupBy("pair", "whole").agg(F.count("*").alias("n")).where("n > 1"))
+        past = _matching(alive, settled, ["pair", "whole"], "left_semi")
+        found.append(past.select(*place))
+        edges = keep(_matching(alive, settled, ["pair", "whole"], "left_anti"))
+        other = past.groupBy("pair", "whole").agg(F.min(F.struct(*place)).alias("x")).join(edges.select("pair").distinct(), "pair", "left_semi").select("x.*")
+        # at every size the texts are dealt by their key and not joined to a broadcast table, which grows
+        ask = _spans_of(edges.select(*place).unionByName(other))
+        text, less = _with_text(docs.select("id", "row", "t"), ask, "inner").select("id", "row", "t", "spans"), 0
+    return keep(_spans_of(reduce(DataFrame.unionByName, found)))
 
 
 def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +237,7 @@ def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
         short = repeated(rows, passage, keep)
         starts = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"] + 1)
         inside = _with_text(rows, short.where(starts > length - passage), "inner").select("id", "row", "t", "spans")
-        far = repeated(inside, length, keep, passage)
+        far = repeated(inside, length, keep, length - passage)
         none = F.lit(None).cast(short.schema["spans"].dataType)
         both = short.select("id", "row", none.alias("spans"), F.col("spans").alias("passages")).unionByName(far.select("id", "row", "spans", none.alias("passages")))
         found = written(both.groupBy("id", "row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")))
