@@ -137,19 +137,21 @@ def _spans_of(df: DataFrame) -> DataFrame:
 
 
 def _with_text(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    spans = spans.withColumnsRenamed({"id": "_id", "row": "_row"})
-    return docs.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), how).drop("_id", "_row")
+    # at every size the texts are dealt by their key and not joined to a broadcast table, which grows; spans, the smaller side of a partition, is hashed, so texts are not sorted
+    spans = spans.withColumnsRenamed({"id": "_id", "row": "_row"}).hint("shuffle_hash")
+    return docs.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), how).drop("_id", "_row")
 
 
 def _matching(rows: DataFrame, counted: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """rows whose keys are in counted (keys, n) or, left_anti, are not; keys with many rows are dealt to SALTS tasks."""
+    """rows whose keys are in counted (keys, n), or (left) all, with `there` where they are; keys with many rows are dealt to SALTS tasks."""
     total = counted.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(counted.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("_hot")))
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
     each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    right = counted.select(*keys).join(hot, keys, "left").select(*keys, F.explode(each).alias("_salt"))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    there = [F.lit(True).alias("there")] if how == "left" else []
+    right = counted.select(*keys).join(hot, keys, "left").select(*keys, F.explode(each).alias("_salt"), *there)
+    return left.join(right.hint("shuffle_hash"), [*keys, "_salt"], how).drop("_salt")
 
 
 def repeated(docs: DataFrame, length: int, keep: Scratch, less: int | None = None) -> DataFrame:
@@ -171,13 +173,14 @@ def repeated(docs: DataFrame, length: int, keep: Scratch, less: int | None = Non
             break
         alive = keep(alive)
         settled = keep(alive.groupBy("pair", "whole").agg(F.count("*").alias("n")).where("n > 1"))
-        past = _matching(alive, settled, ["pair", "whole"], "left_semi")
+        marked = keep(_matching(alive, settled, ["pair", "whole"], "left"))
+        past, edges = marked.where("there"), marked.where("there is null")
         found.append(past.select(*place))
-        edges = keep(_matching(alive, settled, ["pair", "whole"], "left_anti"))
-        other = past.groupBy("pair", "whole").agg(F.min(F.struct(*place)).alias("x")).join(edges.select("pair").distinct(), "pair", "left_semi").select("x.*")
-        # at every size the texts are dealt by their key and not joined to a broadcast table, which grows
+        open_pairs = edges.select("pair").distinct().hint("shuffle_hash")
+        other = past.join(open_pairs, "pair", "left_semi").groupBy("pair", "whole").agg(F.min(F.struct(*place)).alias("x")).select("x.*")
         ask = _spans_of(edges.select(*place).unionByName(other))
-        text, less = _with_text(docs.select("id", "row", "t"), ask, "inner").select("id", "row", "t", "spans"), 0
+        text, less = keep(_with_text(docs.select("id", "row", "t"), ask, "inner").select("id", "row", "t", "spans")), 0
+        docs = text
     return keep(_spans_of(reduce(DataFrame.unionByName, found)))
 
 
@@ -236,7 +239,7 @@ def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     with Scratch(docs.sparkSession) as keep:
         short = repeated(rows, passage, keep)
         starts = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"] + 1)
-        inside = _with_text(rows, short.where(starts > length - passage), "inner").select("id", "row", "t", "spans")
+        inside = keep(_with_text(rows, short.where(starts > length - passage), "inner").select("id", "row", "t", "spans"))
         far = repeated(inside, length, keep, length - passage)
         none = F.lit(None).cast(short.schema["spans"].dataType)
         both = short.select("id", "row", none.alias("spans"), F.col("spans").alias("passages")).unionByName(far.select("id", "row", "spans", none.alias("passages")))
@@ -274,7 +277,7 @@ def remove(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     key = names[docs.columns.index(id_col)]
     found = found.select(F.col("id").alias("found_id"), F.col("row").alias("found_row"), F.col("spans").alias("found_spans"))
     same = F.col(key).eqNullSafe(F.col("found_id")) & (_row_of(names[place]) == F.col("found_row"))
-    joined = plain.join(found.hint("merge"), same, "left").select(*names, "found_spans")
+    joined = plain.join(found.hint("shuffle_hash"), same, "left").select(*names, "found_spans")
     schema = docs.schema
 
     def run(batches):
