@@ -176,8 +176,9 @@ def repeated(docs: DataFrame, length: int, keep: Scratch, less: int | None = Non
         marked = keep(_matching(alive, settled, ["pair", "whole"], "left"))
         past, edges = marked.where("there"), marked.where("there is null")
         found.append(past.select(*place))
-        open_pairs = edges.select("pair").distinct().hint("shuffle_hash")
-        other = past.join(open_pairs, "pair", "left_semi").groupBy("pair", "whole").agg(F.min(F.struct(*place)).alias("x")).select("x.*")
+        still_open = keep(twice.join(edges.select("pair").distinct().hint("shuffle_hash"), "pair", "left_semi"))
+        keep.drop(named, twice, alive, settled)
+        other = _matching(past, still_open, ["pair"], "left_semi").groupBy("pair", "whole").agg(F.min(F.struct(*place)).alias("x")).select("x.*")
         ask = _spans_of(edges.select(*place).unionByName(other))
         text, less = keep(_with_text(docs.select("id", "row", "t"), ask, "inner").select("id", "row", "t", "spans")), 0
         docs = text

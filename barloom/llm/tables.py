@@ -46,25 +46,25 @@ class Scratch:
     """Written tables that are deleted when the block ends; what is read after it has to be `written` by itself."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.tables = spark, []
 
     def __enter__(self):
         return self
 
     def __call__(self, df: DataFrame) -> DataFrame:
-        self.paths.append(new_path(self.spark))
-        return written(df, self.paths[-1])
-
-    def keep_last(self, n: int) -> None:
-        """Deletes all tables but the last n."""
-        old, self.paths = self.paths[:-n], self.paths[-n:]
-        for p in old:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+        path = new_path(self.spark)
+        self.tables.append((written(df, path), path))
+        return self.tables[-1][0]
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for _, path in (t for t in self.tables if any(t[0] is f for f in frames)):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.tables = [t for t in self.tables if not any(t[0] is f for f in frames)]
 
     def __exit__(self, *_):
-        self.paths.append("")
-        self.keep_last(1)
+        self.drop(*(t[0] for t in self.tables))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
