@@ -6,7 +6,7 @@ Symbols are small whole numbers. A frame under five values gives null.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.features import with_returns
+from barloom.functions.features import KEYS, with_returns
 from barloom.functions.frames import frame, total
 
 
@@ -94,16 +94,16 @@ def match_entropy(codes: Column, back) -> Column:
     return F.when(n < back + 2, 0.0).otherwise(F.log2(back.cast("double")) * (n - back) / total(F.transform(found, lambda k: k + 1.0)))
 
 
-def rolling_match_entropy(bars: DataFrame, n: int = 60) -> DataFrame:
+def rolling_match_entropy(bars: DataFrame, n: int = 60, keep=KEYS) -> DataFrame:
     """Of n returns as above or below their median, looking back a third of them, 20 at most; null below ten."""
     b = with_returns(bars).withColumn("v", frame("r", 1 - n, 0)).withColumn("k", F.least(F.floor(F.size("v") / 3).cast("int"), F.lit(20)))
     s, m = F.array_sort("v"), F.size("v")
     middle = (F.get(s, F.floor((m - 1) / 2).cast("int")) + F.get(s, F.floor(m / 2).cast("int"))) / 2
     b = b.withColumn("m", middle).withColumn("codes", F.transform("v", lambda x: F.when(x >= F.col("m"), 1).otherwise(0)))
-    return b.select("symbol", "bar_idx", F.when(F.size("v") >= 10, match_entropy(F.col("codes"), F.col("k"))).alias("rolling_kontoyiannis"))
+    return b.select(*keep, F.when(F.size("v") >= 10, match_entropy(F.col("codes"), F.col("k"))).alias("rolling_kontoyiannis"))
 
 
-def encoded_entropies(bars: DataFrame, n: int = 20) -> DataFrame:
+def encoded_entropies(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
     """Fifteen columns entropy_<encoder>_<measure> of the n returns before each bar, and of those one earlier for the two-sided measures."""
     b = with_returns(bars).withColumn("v", frame("r", -n, -1)).withColumn("u", frame("r1", -n, -1))
     size = F.size("v")
@@ -118,4 +118,4 @@ def encoded_entropies(bars: DataFrame, n: int = 20) -> DataFrame:
         x, y = F.slice(c, F.lit(1), m), F.slice(d, F.lit(1), m)
         measures = {"shannon": shannon(c), "redundancy": redundancy(c), "mi": mutual_information(x, y), "nvi": variation(x, y), "kontoyiannis": F.when((k >= 3) & (size >= k + 2), match_entropy(c, k))}
         out += [F.when(ready, v).alias(f"entropy_{name}_{measure}") for measure, v in measures.items()]
-    return b.select("symbol", "bar_idx", *out)
+    return b.select(*keep, *out)

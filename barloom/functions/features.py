@@ -107,17 +107,27 @@ FEATURES = {
 }
 
 
-def features(bars: DataFrame, window: int = 20, names=None) -> DataFrame:
+#: Columns that a feature table keeps of its bars.
+KEYS = ("symbol", "bar_idx")
+
+
+def features(bars: DataFrame, window: int = 20, names=None, keep=(*KEYS, "timestamp")) -> DataFrame:
     b = with_returns(bars)
-    return b.select("symbol", "bar_idx", "timestamp", *(FEATURES[x](window).alias(x) for x in names or FEATURES))
+    return b.select(*keep, *(FEATURES[x](window).alias(x) for x in names or FEATURES))
+
+
+def live_volatility(bars: DataFrame, n: int = 20) -> DataFrame:
+    """bars with live_vol, the deviation of the last n simple returns; 0.01 until there are n."""
+    b = bars.withColumn("_s", F.try_divide(F.col("close") - lag("close"), lag("close")))
+    return b.withColumn("live_vol", F.coalesce(F.when(F.count("_s").over(last(n)) >= n, F.stddev_samp("_s").over(last(n))), F.lit(0.01))).drop("_s")
 
 
-def calendar(bars: DataFrame) -> DataFrame:
+def calendar(bars: DataFrame, keep=KEYS) -> DataFrame:
     """Time of day, of week and of year on the circle, UTC."""
     at = F.timestamp_millis("timestamp")
     hour = F.hour(at) + F.minute(at) / 60.0 + F.second(at) / 3600.0
     turn = lambda x, n: (2 * math.pi) * x / n
     return bars.select(
-        "symbol", "bar_idx", F.sin(turn(hour, 24)).alias("hour_sin"), F.cos(turn(hour, 24)).alias("hour_cos"), F.sin(turn(F.weekday(at), 7)).alias("dow_sin"), F.cos(turn(F.weekday(at), 7)).alias("dow_cos"),
+        *keep, F.sin(turn(hour, 24)).alias("hour_sin"), F.cos(turn(hour, 24)).alias("hour_cos"), F.sin(turn(F.weekday(at), 7)).alias("dow_sin"), F.cos(turn(F.weekday(at), 7)).alias("dow_cos"),
         F.dayofmonth(at).cast("int").alias("day_of_month"), F.sin(turn(F.month(at), 12)).alias("month_sin"), F.cos(turn(F.month(at), 12)).alias("month_cos"),
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from barloom.functions.features import kurt, lag, last, ordered, skew, with_returns
+from barloom.functions.features import KEYS, kurt, lag, last, ordered, skew, with_returns
 
 TINY = 1e-15
 
@@ -122,24 +122,24 @@ def direction() -> Column:
     return F.coalesce(F.last(F.nullif(F.signum(F.col("close") - F.col("prev")), F.lit(0.0)), ignorenulls=True).over(ordered().rowsBetween(W.unboundedPreceding, 0)), F.lit(1.0))
 
 
-def breaks(bars: DataFrame, n: int = 50) -> DataFrame:
+def breaks(bars: DataFrame, n: int = 50, keep=KEYS) -> DataFrame:
     b = bars.withColumn("x", F.ln("close"))
-    return b.select("symbol", "bar_idx", level_cusum("x", n).alias("csw_cusum"), *(trend_t("x", t, n).alias(f"martingale_{t}_t") for t in TRENDS))
+    return b.select(*keep, level_cusum("x", n).alias("csw_cusum"), *(trend_t("x", t, n).alias(f"martingale_{t}_t") for t in TRENDS))
 
 
-def entropies(bars: DataFrame, n: int = 20) -> DataFrame:
+def entropies(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
     b = with_returns(bars).withColumn("frame", frame("r", 1 - n, 0))
     v = F.col("frame")
-    return b.select("symbol", "bar_idx", entropy(v).alias("rolling_shannon_entropy"), entropy(v, corrected=True).alias("rolling_plugin_entropy"), lempel_ziv(v).alias("rolling_lempel_ziv"))
+    return b.select(*keep, entropy(v).alias("rolling_shannon_entropy"), entropy(v, corrected=True).alias("rolling_plugin_entropy"), lempel_ziv(v).alias("rolling_lempel_ziv"))
 
 
-def spreads(bars: DataFrame, n: int = 20) -> DataFrame:
+def spreads(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
     """Corwin-Schultz spread and tick rule, means of n bars."""
     b = with_returns(bars).withColumn("cs", corwin_schultz()).withColumn("way", direction())
-    return b.select("symbol", "bar_idx", F.avg("cs").over(last(n)).alias("corwin_schultz_spread"), F.avg("way").over(last(n)).alias("tick_rule"))
+    return b.select(*keep, F.avg("cs").over(last(n)).alias("corwin_schultz_spread"), F.avg("way").over(last(n)).alias("tick_rule"))
 
 
-def volume_and_duration(bars: DataFrame, n: int = 20) -> DataFrame:
+def volume_and_duration(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
     """Logs, first and second differences, and rolling moments of dollar volume, duration and log price."""
     b = bars.withColumn("log_dollar_volume", F.log1p(F.greatest("dollar_volume", F.lit(0.0)))).withColumn("log_duration", F.log1p(F.col("duration_us").cast("double"))).withColumn("log_price", F.ln("close"))
     for x in ("dollar_volume", "log_duration"):
@@ -147,7 +147,7 @@ def volume_and_duration(bars: DataFrame, n: int = 20) -> DataFrame:
     seconds = F.col("duration_us") / 1e6  # the variance of microseconds has no digits left after its point
     b = b.withColumn("duration_s", seconds)
     return b.select(
-        "symbol", "bar_idx", "log_dollar_volume", "log_duration", "dollar_volume_velocity", "dollar_volume_acceleration", "log_duration_velocity", "log_duration_acceleration",
+        *keep, "log_dollar_volume", "log_duration", "dollar_volume_velocity", "dollar_volume_acceleration", "log_duration_velocity", "log_duration_acceleration",
         kurt("dollar_volume", last(n)).alias("dollar_volume_kurt"), (F.var_samp("duration_s").over(last(n)) * 1e12).alias("duration_variance"), skew("duration_s", last(n)).alias("duration_skew"), kurt("duration_s", last(n)).alias("duration_kurt"),
         skew("log_price", last(n)).alias("log_price_skew"), kurt("log_price", last(n)).alias("log_price_kurt"),
     )

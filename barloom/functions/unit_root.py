@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.features import lag, ordered, with_returns
+from barloom.functions.features import KEYS, lag, ordered, with_returns
 from barloom.functions.frames import TINY, difference_weights, frame, total
 
 # The response surface of the test's p values (constant, one series): normal quantile = sum of c[k] * t**k.
@@ -74,14 +74,14 @@ def _rows(first: int, final: int) -> Column:
     return frame(r, first, final)
 
 
-def unit_root(bars: DataFrame, x=None, n: int = 50) -> DataFrame:
+def unit_root(bars: DataFrame, x=None, n: int = 50, keep=KEYS) -> DataFrame:
     """Of the n bars before each: the larger t of its two halves, and the supremum over its first max(15, n / 3) bars and more."""
     b = with_lags(bars, F.ln("close") if x is None else x)
     half, o = n // 2, ordered()
     early, late = window_t(o.rowsBetween(2 - n, half - n - 1)), window_t(o.rowsBetween(2 + half - n, -1))
     full = F.col("bar_idx") >= n
     b = b.withColumn("_a", early).withColumn("_b", late).withColumn("_s", supremum_t(_rows(2 - n, -1), max(15, n // 3) - 2))
-    return b.select("symbol", "bar_idx", F.when(full & F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b")).alias("chow_type_df"), F.when(full, F.col("_s")).alias("rolling_sadf"))
+    return b.select(*keep, F.when(full & F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest("_a", "_b")).alias("chow_type_df"), F.when(full, F.col("_s")).alias("rolling_sadf"))
 
 
 def sadf(bars: DataFrame, x=None, least: int = 20) -> DataFrame:
@@ -183,5 +183,7 @@ def decayed_volatility(bars: DataFrame, span: int = 20) -> DataFrame:
     spread = lambda a: F.sqrt(F.greatest(a["q"] / a["w"] - a["s"] / a["w"] * a["s"] / a["w"], F.lit(0.0)) * a["w"] * a["w"] / F.nullif(a["w"] * a["w"] - a["ww"], F.lit(0.0)))
     f = frame("r", -int(40 / -math.log(keep)), 0)
     b = with_returns(bars).withColumn("_v", F.when(F.size(f) >= max(2, span // 2), F.aggregate(f, zero, step, spread)))
-    past, coming = ordered().rowsBetween(W.unboundedPreceding, 0), ordered().rowsBetween(0, W.unboundedFollowing)
-    return b.withColumn("vol", F.greatest(F.coalesce(F.last("_v", True).over(past), F.first("_v", True).over(coming)), F.lit(1e-12))).drop("_v", "prev", "r", "s", "r1")
+    # a frame to the end of a series would be read anew for every row; before the first known one there is only that
+    first = F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("bar_idx"))).over(W.partitionBy("symbol"))
+    known = F.last("_v", True).over(ordered().rowsBetween(W.unboundedPreceding, 0))
+    return b.withColumn("vol", F.greatest(F.coalesce(known, first), F.lit(1e-12))).drop("_v", "prev", "r", "s", "r1")

@@ -1,5 +1,6 @@
 """Bars: relational ones as aggregations, threshold and adaptive ones as one ordered fold per symbol."""
 
+import json
 import re
 
 import numpy as np
@@ -46,19 +47,29 @@ def tick_bars(trades: DataFrame, ticks: int = 1000) -> DataFrame:
     return ohlcv(rows, "symbol", "bar_idx").where(F.col("tick_count") == ticks)
 
 
+# The names under which the estimates of an adaptive bar are saved.
+SAVED = {"imbalance": ("expected_imbalance",), "run": ("expected_run_up", "expected_run_down")}
+
+
 class Fold:
     """State of one symbol's open bar and of the rule that closes it; `step` takes trades in order and returns the bars closed.
 
     rule: 'threshold', 'imbalance' or 'run'; value: 'tick', 'volume' or 'dollar'.
+    The state has a fixed size: of the open bar only running values are kept.
     """
 
     def __init__(self, rule: str, value: str, threshold: float = 0.0, first: int = 1000, span: int = 100):
-        self.rule, self.value, self.threshold, self.first, self.alpha = rule, value, threshold, first, 2 / (span + 1)
-        self.bar, self.done, self.total, self.up, self.down, self.buys = [], 0, 0.0, 0.0, 0.0, 0
-        self.ticks, self.rate, self.p = float(first), None, 0.5
+        self.rule, self.value, self.threshold, self.first, self.span, self.alpha = rule, value, threshold, first, span, 2 / (span + 1)
+        self.done, self.ticks, self.rate, self.p, self.counts = 0, float(first), None, 0.5, []
+        self._open()
+
+    def _open(self) -> None:
+        self.n, self.total, self.up, self.down, self.buys = 0, 0.0, 0.0, 0.0, 0
+        self.bar = [0.0] * 6  # open, high, low, close, volume, dollar volume
+        self.began = 0
 
     def state(self) -> dict:
-        return dict(self.__dict__, bar=[list(x) for x in self.bar])
+        return dict(self.__dict__, bar=list(self.bar), counts=list(self.counts))
 
     @classmethod
     def load(cls, state: dict) -> "Fold":
@@ -66,24 +77,39 @@ class Fold:
         fold.__dict__.update(state)
         return fold
 
+    def estimates(self) -> dict:
+        """What a later session needs; the open bar is not part of it."""
+        out = {"expected_ticks": self.ticks, "bar_tick_counts": self.counts[-self.span :], "expected_num_ticks_init": self.first, "num_prev_bars": self.span, "bars_completed": self.done}
+        if self.rule == "run":
+            out["p_buy"] = self.p
+        return {**out, **dict(zip(SAVED[self.rule], self.rate or (None, None)))}
+
+    def resume(self, saved: dict) -> "Fold":
+        """Takes estimates over; names that are missing leave what is there."""
+        self.ticks, self.counts, self.done = saved.get("expected_ticks", self.ticks), list(saved.get("bar_tick_counts", [])), saved.get("bars_completed", self.done)
+        self.p = saved.get("p_buy", self.p)
+        rate = [saved.get(k) for k in SAVED[self.rule]]
+        self.rate = self.rate if None in rate else rate
+        return self
+
     def _blend(self, old: float, new: float) -> float:
         return self.alpha * new + (1 - self.alpha) * old
 
     def _closes(self) -> bool:
-        n = len(self.bar)
         if self.rule == "threshold":
             return self.total >= self.threshold
         if self.rate is None:
-            return n >= self.first
+            return self.n >= self.first
         if self.rule == "imbalance":
             return abs(self.total) >= self.ticks * self.rate[0]
         p = self.p
         return max(p * self.up, (1 - p) * self.down) >= self.ticks * max(p * self.rate[0], (1 - p) * self.rate[1])
 
     def _learn(self) -> None:
-        n = len(self.bar)
+        n = self.n
         if self.rule == "threshold":
             return
+        self.counts = [*self.counts, n][-self.span :]
         self.ticks = min(max(self._blend(self.ticks, n), 0.5 * self.first), 2.0 * self.first)
         if self.rule == "imbalance":
             seen, least = [abs(self.total) / n], 1.0
@@ -96,7 +122,13 @@ class Fold:
         """trades: (time, price, qty, is_buyer_maker) in order."""
         out = []
         for time, price, qty, maker in trades:
-            self.bar.append((time, price, qty))
+            b = self.bar
+            if not self.n:
+                b[0], b[1], b[2], self.began = price, price, price, time
+            b[1], b[2], b[3] = max(b[1], price), min(b[2], price), price
+            b[4] += qty
+            b[5] += price * qty
+            self.n += 1
             v = {"tick": 1.0, "volume": qty, "dollar": price * qty}[self.value]
             sign = -1.0 if maker else 1.0
             self.total += v if self.rule == "threshold" else sign * v
@@ -105,23 +137,69 @@ class Fold:
             else:
                 self.down += v
             if self._closes():
-                t, p, q = (np.array(x) for x in zip(*self.bar))
-                n = len(t)
-                out.append((self.done, int(t[-1]), float(p[0]), float(p.max()), float(p.min()), float(p[-1]), float(q.sum()), float((p * q).sum()), n, int((t[-1] - t[0]) * 1000) if n > 1 else 0))
+                out.append((self.done, int(time), *map(float, b), self.n, int((time - self.began) * 1000) if self.n > 1 else 0))
                 self._learn()
-                self.bar, self.done, self.total, self.up, self.down, self.buys = [], self.done + 1, 0.0, 0.0, 0.0, 0
+                self.done += 1
+                self._open()
         return out
 
 
-def folded_bars(trades: DataFrame, **rule) -> DataFrame:
-    """Bars whose end depends on the bars before: a symbol's trades in order through one Fold."""
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["time", "id"])
-        bars = Fold(**rule).step(zip(*(frame[c].tolist() for c in ("time", "price", "qty", "is_buyer_maker"))))
-        return pd.DataFrame([(key[0], *b) for b in bars], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return trades.select("symbol", "id", "time", "price", "qty", "is_buyer_maker").groupBy("symbol").applyInPandas(run, SCHEMA)
+def _folded(trades: DataFrame, rule: dict, states: DataFrame | None, at_end: bool, schema: str) -> DataFrame:
+    """A symbol's trades in order through one Fold: Spark deals and sorts them, and the fold goes on from Arrow batch to batch, so no symbol is held in memory."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames):
+        symbol, fold = None, None
+        for frame in frames:
+            out = []
+            names, saved = frame["symbol"].to_numpy(), frame["saved"].to_numpy()
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(frame)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                if names[a] != symbol or fold is None:
+                    if fold is not None and at_end:
+                        out.append((symbol, json.dumps(fold.estimates())))
+                    symbol, fold = names[a], Fold(**rule)
+                while a < b and saved[a] is not None:  # estimates come before the first trade
+                    fold.resume(json.loads(saved[a]))
+                    a += 1
+                part = frame.iloc[a:b]
+                bars = fold.step(zip(*(part[c].tolist() for c in ("time", "price", "qty", "is_buyer_maker"))))
+                if not at_end:
+                    out += [(symbol, *x) for x in bars]
+            yield pd.DataFrame(out, columns=columns)
+        if fold is not None and at_end:
+            yield pd.DataFrame([(symbol, json.dumps(fold.estimates()))], columns=columns)
+
+    rows = trades.select("symbol", "id", "time", "price", "qty", "is_buyer_maker", F.lit(None).cast("string").alias("saved"))
+    if states is not None:
+        first = F.lit(-(2**63))
+        rows = rows.unionByName(states.select("symbol", first.alias("id"), first.alias("time"), F.lit(0.0).alias("price"), F.lit(0.0).alias("qty"), F.lit(False).alias("is_buyer_maker"), F.col("state").alias("saved")))
+    return rows.repartition("symbol").sortWithinPartitions("symbol", "time", "id").mapInPandas(run, schema)
+
+
+def folded_bars(trades: DataFrame, states: DataFrame | None = None, **rule) -> DataFrame:
+    """Bars whose end depends on the bars before. states: (symbol, state) of an earlier session."""
+    return _folded(trades, rule, states, False, SCHEMA)
+
+
+def fold_states(trades: DataFrame, states: DataFrame | None = None, **rule) -> DataFrame:
+    """(symbol, state): the estimates of adaptive bars after all trades, as JSON."""
+    return _folded(trades, rule, states, True, "symbol string, state string")
+
+
+def save_states(states: DataFrame, path: str) -> None:
+    """One JSON file for each symbol, in a folder of its name."""
+    states.select("symbol", "state").repartition("symbol").write.mode("overwrite").partitionBy("symbol").text(path)
+
+
+def load_states(spark, path: str) -> DataFrame:
+    """What save_states has written; empty if nothing was."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "symbol string, state string")
+    return spark.read.schema("value string, symbol string").text(path).select("symbol", F.col("value").alias("state"))
 
 
 #: The ten bar types.

@@ -36,7 +36,12 @@ def trend_scanning(bars: DataFrame, horizons=(5, 10, 20, 40, 80), least: float =
 
 
 def directional_changes(bars: DataFrame, thetas=(0.01, 0.02)) -> DataFrame:
-    """Reversals by theta from the last extreme: one fold for each symbol and theta."""
+    """Reversals by theta from the last extreme: one fold for each symbol and theta.
+
+    thetas: numbers for all symbols, or a table (symbol, theta). overshoot is how far
+    the price went on past the last reversal, in thetas of its price. A series under
+    two bars has no events.
+    """
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("bar_idx")
@@ -45,17 +50,43 @@ def directional_changes(bars: DataFrame, thetas=(0.01, 0.02)) -> DataFrame:
             up, extreme, start, theta = price[1] >= price[0], price[0], price[0], key[1]
             for i in range(1, len(price)):
                 p = price[i]
-                if (p > extreme) == up and p != extreme:
-                    extreme = p
-                elif (extreme - p if up else p - extreme) / extreme >= theta:
-                    rows.append((key[0], int(frame["bar_idx"].iat[i]), int(frame["timestamp"].iat[i]), -1 if up else 1, theta, abs(extreme - start) / start))
+                extreme = max(extreme, p) if up else min(extreme, p)
+                if extreme > 0 and (extreme - p if up else p - extreme) / extreme >= theta:
+                    unit = start * theta
+                    rows.append((key[0], int(frame["bar_idx"].iat[i]), int(frame["timestamp"].iat[i]), -1 if up else 1, theta, abs(extreme - start) / unit if unit > 0 else 0.0))
                     up, extreme, start = not up, p, p
         return pd.DataFrame(rows, columns=["symbol", "bar_idx", "timestamp", "label", "theta", "overshoot"])
 
-    each = bars.select("symbol", "bar_idx", "timestamp", "close", F.explode(F.array(*(F.lit(float(t)) for t in thetas))).alias("theta"))
+    b = bars.select("symbol", "bar_idx", "timestamp", "close")
+    each = b.join(thetas, "symbol") if isinstance(thetas, DataFrame) else b.withColumn("theta", F.explode(F.array(*(F.lit(float(t)) for t in thetas))))
     return each.groupBy("symbol", "theta").applyInPandas(run, "symbol string, bar_idx long, timestamp long, label int, theta double, overshoot double")
 
 
+def thetas_from_volatility(bars: DataFrame, window: int = 50, multipliers=(2.0, 3.0, 5.0, 8.0, 13.0)) -> DataFrame:
+    """(symbol, theta): multiples of the deviation of a symbol's last `window` log returns (of 0.01 without returns).
+
+    The last returns set the thetas of the whole series, so early events look ahead.
+    """
+    r = F.ln("close") - F.ln(F.lag("close").over(ordered()))
+    late = bars.withColumn("_r", r).withColumn("_k", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bar_idx")))).where(F.col("_k") <= window)
+    vol = late.groupBy("symbol").agg(F.greatest(F.coalesce(F.stddev_pop("_r"), F.lit(0.01)), F.lit(1e-8)).alias("vol"))
+    return vol.select("symbol", F.explode(F.array(*(F.greatest(F.col("vol") * float(m), F.lit(1e-6)) for m in multipliers))).alias("theta"))
+
+
+#: The ways to label bars. Only the first knows barriers; the others take their own parameters.
+LABELINGS = {
+    "triple_barrier": triple_barrier,
+    "trend_scanning": trend_scanning,
+    "directional_change": lambda bars, window=50, multipliers=(2.0, 3.0, 5.0, 8.0, 13.0): directional_changes(bars, thetas_from_volatility(bars, window, multipliers)),
+}
+
+
+def labels(bars: DataFrame, method: str, **parameters) -> DataFrame:
+    if method not in LABELINGS:
+        raise ValueError(f"unknown labelling: {method}")
+    return LABELINGS[method](bars, **parameters)
+
+
 def weights(bars: DataFrame, hold: int = 50, half_life: float = -1.0) -> DataFrame:
     """Uniqueness, attribution and time decay of the label spans [i, i + hold), and their normalised product."""
     spans = bars.select("symbol", F.col("bar_idx").alias("i"), F.least(F.col("bar_idx") + hold, F.max("bar_idx").over(W.partitionBy("symbol"))).alias("end"))
@@ -93,3 +124,21 @@ def discretize(x, step: int = 10) -> F.Column:
     """The nearest level, the lower one of two as near."""
     levels = F.array(*(F.lit(i / step) for i in range(step + 1)))
     return F.array_min(F.transform(levels, lambda v: F.struct(F.abs(x - v).alias("d"), v.alias("v"))))["v"]
+
+
+def concurrency(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points (symbol, time, ...) with n_open, how many spans (symbol, start, end) hold their time, ends included; 1 at least.
+
+    A running sum over starts, points and ends of a symbol in one order, not a join of points and spans.
+    """
+    none = F.lit(None).cast(points.select(F.struct("*").alias("p")).schema["p"].dataType)
+    step = spans.select("symbol", F.col("start").alias("_t"), F.lit(0).alias("_kind"), F.lit(1).alias("_d"), none.alias("p")).unionByName(spans.select("symbol", F.col("end").alias("_t"), F.lit(2).alias("_kind"), F.lit(-1).alias("_d"), none.alias("p")))
+    rows = points.select("symbol", F.col("time").alias("_t"), F.lit(1).alias("_kind"), F.lit(0).alias("_d"), F.struct("*").alias("p")).unionByName(step)
+    live = F.sum("_d").over(W.partitionBy("symbol").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("n_open", live).where("_kind = 1").select("p.*", F.greatest("n_open", F.lit(1)).cast("long").alias("n_open"))
+
+
+def bet_sizes(p, n_open=None) -> F.Column:
+    """Size of a probability, averaged over the bets open with it, at the nearest level."""
+    size = bet_size(p)
+    return discretize(size if n_open is None else size / F.greatest(n_open, F.lit(1)))

@@ -5,6 +5,8 @@ the second model learns from the first one's answers to bars it has not seen.
 """
 
 import random
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -15,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import features as ft
+from barloom.functions.table import all_features
 from barloom.operators import labels as ol
+from barloom.operators import simulation as sim
 
 #: Bars that a label looks ahead, by labelling.
 SPANS = {"triple_barrier": 50, "trend_scanning": 80, "directional_change": 50}
@@ -24,13 +28,36 @@ META = {**PRIMARY, "maxIter": 30, "maxDepth": 4, "minInstancesPerNode": 30}
 KEYS = ("symbol", "bar_idx", "timestamp")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with bar_idx counted anew from 0."""
+    return rows.withColumn("bar_idx", (F.row_number().over(W.partitionBy("symbol").orderBy("timestamp", "bar_idx")) - 1).cast("long"))
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """Rows with a label; an error if one is neither -1 nor 1."""
+    known = labels.where("label is not null")
+    if known.where(~F.col("label").isin(-1, 1)).take(1):
+        raise ValueError("labels have to be -1 or 1")
+    return known
+
+
 def matrix(bars: DataFrame, labels: DataFrame | None, names, window: int = 20) -> DataFrame:
-    """Keys, features, weight and label of the bars that have them all; features are carried forward where one is missing."""
+    """Keys, prices and features of the bars that have them all, features carried forward where one is missing; with labels also label and weight.
+
+    With labels, bars without one go first: the features look back over labelled
+    bars only, as they are numbered then, and weights are those of the rows that
+    are left, numbered again. Bars that only a time-out ended thus leave by what
+    came after them, which flatters a model; for scoring, all bars count.
+    """
+    b = bars if labels is None else _numbered(bars.join(known_labels(labels).select("symbol", "bar_idx", "label"), ["symbol", "bar_idx"]))
     past = ft.ordered().rowsBetween(W.unboundedPreceding, 0)
-    f = ft.features(bars, window, names).select(*KEYS, *(F.last(F.nanvl(n, F.lit(None).cast("double")), True).over(past).alias(n) for n in names)).dropna(subset=list(names))
+    kept = [*KEYS, *(c for c in ("close", "high", "low") if c not in names), *([] if labels is None else ["label"])]
+    f = all_features(b, window=window, only=names)
+    f = f.select(*kept, *(F.last(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), True).over(past).alias(n) for n in names)).dropna(subset=list(names))
     if labels is None:
         return f
-    return f.join(labels.where("label is not null").select("symbol", "bar_idx", "label"), ["symbol", "bar_idx"]).join(ol.weights(bars).select("symbol", "bar_idx", "weight"), ["symbol", "bar_idx"])
+    f = _numbered(f)
+    return f.join(ol.weights(f).select("symbol", "bar_idx", "weight"), ["symbol", "bar_idx"])
 
 
 def _balanced(m: DataFrame, target) -> DataFrame:
@@ -68,35 +95,40 @@ def fit_meta(m: DataFrame, names, params: dict | None = None) -> PipelineModel:
     return _fit(_balanced(m, F.col("primary_side") == F.col("label")), [*names, "primary_side"], {**META, **(params or {})})
 
 
-def _folds(m: DataFrame, bars: DataFrame, folds: int, hold: int, embargo: float):
-    roles = ol.purged_folds(bars, folds, hold, embargo)
+def _folds(m: DataFrame, folds: int, hold: int, embargo: float):
+    roles = ol.purged_folds(m, folds, hold, embargo)
     for k in range(folds):
         r = m.join(roles.where((F.col("fold") == k) & F.col("role").isin("train", "test")).select("symbol", "bar_idx", "role"), ["symbol", "bar_idx"])
         yield r.where("role = 'train'").drop("role"), r.where("role = 'test'").drop("role")
 
 
-def unseen_sides(m: DataFrame, bars: DataFrame, names, folds: int = 5, hold: int = 50, embargo: float = 0.01, params: dict | None = None) -> DataFrame:
-    """m with the side that a model of the other folds gives each bar."""
-    out = None
-    for train, test in _folds(m, bars, folds, hold, embargo):
-        part = with_side(fit_primary(train, names, params), test)
-        out = part if out is None else out.unionByName(part)
-    return out
+def unseen_sides(m: DataFrame, names, folds: int = 5, hold: int = 50, embargo: float = 0.01, params: dict | None = None, at_once: int = 1) -> DataFrame:
+    """m with the side that a model of the other folds gives each bar; a fold whose other bars have one label only gives none."""
+
+    def part(pair):
+        train, test = pair
+        return with_side(fit_primary(train, names, params), test) if len(train.select("label").distinct().take(2)) == 2 else None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = [p for p in pool.map(part, _folds(m, folds, hold, embargo)) if p is not None]
+    if not parts:
+        raise ValueError("no fold has both labels in its other bars")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scores(sided: DataFrame) -> dict:
-    """Accuracy, precision and recall of primary_side, long being positive; 0 where undefined."""
+    """Accuracy, precision and recall of primary_side, long being positive, and the log loss of p_long; 0 where undefined."""
     right, longs, said = F.col("primary_side") == F.col("label"), F.col("label") == 1, F.col("primary_side") == 1
-    r = sided.agg(F.avg(right.cast("double")).alias("accuracy"), F.try_divide(F.count_if(right & said), F.count_if(said)).alias("precision"), F.try_divide(F.count_if(right & longs), F.count_if(longs)).alias("recall"), F.count("*").alias("n")).first()
+    r = sided.agg(F.avg(right.cast("double")).alias("accuracy"), F.try_divide(F.count_if(right & said), F.count_if(said)).alias("precision"), F.try_divide(F.count_if(right & longs), F.count_if(longs)).alias("recall"), F.count("*").alias("n"), (-F.avg(F.ln(F.greatest(F.when(longs, F.col("p_long")).otherwise(1 - F.col("p_long")), F.lit(1e-15))))).alias("log_loss")).first()
     return {k: v or 0.0 for k, v in r.asDict().items()}
 
 
-def tune(m: DataFrame, bars: DataFrame, names, trials: int = 10, folds: int = 3, hold: int = 50, measure: str = "recall", seed: int = 42) -> dict:
+def tune(m: DataFrame, names, trials: int = 10, folds: int = 3, hold: int = 50, measure: str = "recall", seed: int = 42) -> dict:
     """The parameters of `trials` random ones with the best mean measure over purged folds."""
-    pick, best = random.Random(seed), (-1.0, {})
+    pick, best = random.Random(seed), (float("-inf"), {})
     for _ in range(trials):
         params = {"maxIter": pick.choice((20, 50, 100)), "maxDepth": pick.randint(3, 7), "stepSize": pick.choice((0.02, 0.05, 0.1)), "subsamplingRate": pick.choice((0.6, 0.8, 1.0)), "minInstancesPerNode": pick.choice((10, 20, 50))}
-        value = [scores(with_side(fit_primary(train, names, params), test))[measure] for train, test in _folds(m, bars, folds, hold, 0.01)]
+        value = [(-1 if measure == "log_loss" else 1) * scores(with_side(fit_primary(train, names, params), test))[measure] for train, test in _folds(m, folds, hold, 0.01)]
         best = max(best, (sum(value) / len(value), params), key=lambda x: x[0])
     return best[1]
 
@@ -110,7 +142,7 @@ def train(bars: DataFrame, labels: DataFrame, names, hold: int = 50, folds: int
         if not m.take(1):
             raise ValueError("no labelled bar has all features")
         primary = fit_primary(m, names, params)
-        sided = unseen_sides(m, bars, names, folds, hold, params=params).persist()
+        sided = unseen_sides(m, names, folds, hold, params=params, at_once=4).persist()
         try:
             # the last fifth of each symbol's bars judges the second model, then it learns from all
             place = sided.withColumn("_late", F.percent_rank().over(W.partitionBy("symbol").orderBy("bar_idx")) >= 0.8)
@@ -132,33 +164,124 @@ def load(path: str, names) -> dict:
     return {"primary": PipelineModel.load(f"{path}/primary"), "meta": PipelineModel.load(f"{path}/meta"), "features": list(names)}
 
 
-def signals(models: dict, bars: DataFrame, vol: str = "vol", horizon: int = 10, least_meta: float = 0.5, least_size: float = 0.1, hold_ms: int = 3_600_000) -> DataFrame:
-    """Signals of bars with a volatility: side, size by the second model's probability, price barriers 2 deviations off and a time barrier."""
+def importance(model: PipelineModel, names) -> list[tuple[str, float]]:
+    """Features of a fitted model by what they add to its splits, the most first."""
+    return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+
+
+def missing(models: dict, features: DataFrame) -> list[str]:
+    """Features that a model needs and a table lacks."""
+    return [n for n in models["features"] if n not in features.columns]
+
+
+def signals(models: dict, bars: DataFrame, vol: str = "vol", horizon: int = 10, least_meta: float = 0.5, least_size: float = 0.1, hold_ms: int = 3_600_000, averaged: bool = False) -> DataFrame:
+    """Signals of bars with a volatility: side, size by the second model's probability, price barriers 2 deviations off and a time barrier.
+
+    Without a second model (meta is None) the first one's probability of its side
+    takes its place. averaged: sizes are divided by the signals open at their time.
+    """
     names = models["features"]
-    m = _probability(models["meta"], with_side(models["primary"], matrix(bars, None, names)), "meta_probability")
-    s = m.join(bars.select("symbol", "bar_idx", "close", vol), ["symbol", "bar_idx"]).withColumn("size", ol.discretize(ol.bet_size(F.col("meta_probability"))))
+    m = with_side(models["primary"], matrix(bars, None, names))
+    own = F.when(F.col("primary_side") == 1, F.col("p_long")).otherwise(1 - F.col("p_long"))
+    m = _probability(models["meta"], m, "meta_probability") if models.get("meta") is not None else m.withColumn("meta_probability", own)
+    s = m.select("symbol", "bar_idx", "timestamp", "primary_side", "meta_probability").join(bars.select("symbol", "bar_idx", "close", vol), ["symbol", "bar_idx"]).where(F.col("meta_probability") >= least_meta)
+    s = s.withColumn("time", F.col("timestamp"))
+    if averaged:
+        s = ol.concurrency(s, s.select("symbol", F.col("timestamp").alias("start"), (F.col("timestamp") + hold_ms).alias("end")))
+    s = s.withColumn("size", ol.bet_sizes(F.col("meta_probability"), F.col("n_open") if averaged else None))
     off = 2 * F.col("primary_side") * F.col(vol)
-    return s.where((F.col("meta_probability") >= least_meta) & (F.col("size") >= least_size)).select(
+    return s.where(F.col("size") >= least_size).select(
         "symbol", "bar_idx", "timestamp", F.col("primary_side").alias("side"), "size", F.col("close").alias("entry_price"), (F.col("close") * (1 - off)).alias("sl_price"), (F.col("close") * (1 + off)).alias("pt_price"), (F.col("timestamp") + hold_ms).alias("time_barrier"), "meta_probability",
     )
 
 
-def walk_forward(bars: DataFrame, labels: DataFrame, names, windows: DataFrame, params: dict | None = None, least_train: int = 50, least_test: int = 10) -> DataFrame:
-    """(window, metric, value) of models trained on each window's first part and judged on its second; windows with too few rows have none.
+#: Measures of a window, rounded as in the table of runs.
+MEASURES = {"oos_accuracy": 4, "oos_precision": 4, "oos_recall": 4, "primary_recall": 4, "meta_precision": 4, "sharpe": 2, "max_dd": 2, "total_return": 2, "win_rate": 1, "num_trades": 0, "num_test_signals": 0}
+
+
+def window_signals(scored: DataFrame, labeling: str, hold: int, stop: float = 2.0, take: float = 2.0, minute_ms: int = 60_000) -> DataFrame:
+    """Signals of scored test rows that the second model holds for right (more than half): barriers a bar's range away, the time barrier `hold` minutes."""
+    reach = F.col("high") - F.col("low")
+    barred = (F.lit(labeling) == "triple_barrier") & (reach > 0)
+    price = lambda k: F.when(barred, F.col("close") + k * F.col("primary_side") * reach)
+    return scored.where("p_right > 0.5").select(
+        "symbol", F.col("bar_idx").alias("signal_id"), "timestamp", F.col("primary_side").alias("side"), ol.bet_size(F.col("p_right")).alias("size"), F.col("close").alias("entry_price"), price(-stop).alias("sl_price"), price(take).alias("pt_price"),
+        (F.col("timestamp") + hold * minute_ms).alias("time_barrier"), F.lit(labeling).alias("labeling_method"), F.col("p_right").alias("meta_probability"),
+    )
+
+
+def _window(m: DataFrame, window: int, names, labeling: str, hold: int, folds: int, params, meta_params, least, capital: float, fee_bps: float):
+    """The measures of one window of m (window, part); None where there are too few rows."""
+    made = []
+
+    def part(name):
+        rows = m.where((F.col("window") == window) & (F.col("part") == name)).drop("window", "part").persist()
+        made.append(rows)
+        return rows
+
+    try:
+        seen, coming = part("train"), part("test")
+        if seen.count() < least[0] or coming.count() < least[1] or len(seen.select("label").distinct().take(2)) < 2:
+            return None
+        primary = fit_primary(seen, names, params)
+        sided = unseen_sides(seen, names, folds, hold, params=params).persist()
+        made.append(sided)
+        right = F.col("primary_side") == F.col("label")
+        tested = with_side(primary, coming)
+        # where the first model is never or always right there is nothing for a second one to learn
+        if len(sided.select(right).distinct().take(2)) == 2:
+            tested = _probability(fit_meta(sided, names, meta_params), tested, "p_right")
+        else:
+            tested = tested.withColumn("p_right", F.when(F.col("primary_side") == 1, F.col("p_long")).otherwise(1 - F.col("p_long")))
+        tested = tested.persist()
+        made.append(tested)
+        s = scores(tested)
+        sure = tested.where("p_right > 0.5").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("p")).first()
+        out = {"oos_accuracy": s["accuracy"], "oos_precision": s["precision"], "oos_recall": s["recall"], "primary_recall": scores(with_side(primary, seen))["recall"], "meta_precision": sure.p or 0.0, "num_test_signals": sure.n}
+        out |= {k: 0.0 for k in ("sharpe", "max_dd", "total_return", "win_rate", "num_trades")}
+        if sure.n:
+            _, results = sim.simulate(window_signals(tested, labeling, hold), tested, "simple", capital, fee_bps)
+            r = results.agg(*(F.avg(c).alias(c) for c in ("sharpe", "max_dd", "total_return", "win_rate")), F.sum("num_trades").alias("num_trades")).first()
+            out |= r.asDict()
+        return [(window, k, round(float(out[k]), digits)) for k, digits in MEASURES.items()]
+    finally:
+        for rows in made:
+            rows.unpersist()
 
-    windows: rows of walk_forward.boundaries without keys, a few dozen.
+
+def in_windows(trades: DataFrame, windows: list) -> DataFrame:
+    """trades once for each part of a window that holds their time (ends included), the symbol being symbol|window|part: a tape of its own, whose bars start anew."""
+    part = lambda w, name, start, end: F.struct(F.lit(w.window).alias("window"), F.lit(name).alias("part"), F.lit(start).alias("start"), F.lit(end).alias("end"))
+    all_parts = F.array(*(p for w in windows for p in (part(w, "train", w.train_start, w.train_end), part(w, "test", w.test_start, w.test_end))))
+    rows = trades.withColumn("_w", F.explode(F.filter(all_parts, lambda p: (p["start"] <= F.col("time")) & (F.col("time") <= p["end"]))))
+    return rows.withColumn("symbol", F.concat_ws("|", "symbol", "_w.window", "_w.part")).drop("_w")
+
+
+def walk_forward(trades: DataFrame, windows: DataFrame, make_bars, make_labels, names, labeling: str = "triple_barrier", hold: int = 50, folds: int = 5, params: dict | None = None, meta_params: dict | None = None, least=(50, 10), capital: float = 10_000.0, fee_bps: float = 10.0, at_once: int = 4) -> DataFrame:
+    """(window, metric, value) of each window: bars, labels and features made anew from its trades, both models fitted on its first part, and on its second part their measures and the performance of their signals (the mean over symbols).
+
+    windows: rows of walk_forward.boundaries without keys, a few dozen. Bars and
+    features of all windows are one job; windows do not depend on each other, so the
+    models of `at_once` are fitted side by side. Windows with too few rows are left
+    out; fewer than three that work are an error.
     """
-    m = matrix(bars, labels, names).persist()
-    out, spark = [], bars.sparkSession
+    every = windows.orderBy("window").collect()
+    b = make_bars(in_windows(trades, every))
+    m = matrix(b, make_labels(b), names)
+    place = F.split("symbol", r"\|")
+    m = m.withColumn("window", F.element_at(place, -2).cast("int")).withColumn("part", F.element_at(place, -1)).persist()
     try:
-        for w in windows.orderBy("window").collect():
-            inside = lambda a, b: m.where((F.col("timestamp") >= a) & (F.col("timestamp") < b))  # noqa: B023, E731
-            seen, coming = inside(w.train_start, w.train_end), inside(w.test_start, w.test_end)
-            if seen.count() < least_train or coming.count() < least_test:
-                continue
-            model = fit_primary(seen, names, params)
-            s = scores(with_side(model, coming))
-            out += [(w.window, f"oos_{k}", float(s[k])) for k in ("accuracy", "precision", "recall")] + [(w.window, "insample_recall", float(scores(with_side(model, seen))["recall"]))]
+        with ThreadPoolExecutor(at_once) as pool:
+            parts = list(pool.map(lambda w: _window(m, w.window, names, labeling, hold, folds, params, meta_params, least, capital, fee_bps), every))
     finally:
         m.unpersist()
-    return spark.createDataFrame(out, "window int, metric string, value double")
+    if sum(part is not None for part in parts) < 3:
+        raise ValueError("fewer than three windows have enough rows")
+    return trades.sparkSession.createDataFrame([x for part in parts if part for x in part], "window int, metric string, value double")
+
+
+def overfitting_gap(measured: DataFrame) -> DataFrame:
+    """(insample_recall, oos_accuracy, gap): means over the windows of walk_forward, and their difference."""
+    mean = lambda name: F.avg(F.when(F.col("metric") == name, F.col("value")))
+    r, a = mean("primary_recall"), mean("oos_accuracy")
+    return measured.agg(F.round(r, 4).alias("insample_recall"), F.round(a, 4).alias("oos_accuracy"), F.round(r - a, 4).alias("gap"))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.operators.simulation import funding_cost, limit_price
+from barloom.operators.simulation import funding_cost, limit_price, transaction_cost
 
 
 def place(signals: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -41,8 +41,9 @@ def fills(orders: DataFrame, trades: DataFrame, timeout_ms: int = 60_000) -> Dat
     # the first trade after the time-out, by one sort of both sides
     shape = "struct<time:long,id:long,price:double,qty:double,is_buyer_maker:boolean>"
     marks = o.select("symbol", F.col("until").alias("time"), "signal_id", F.lit(None).cast(shape).alias("t")).unionByName(t.select("symbol", "time", F.lit(None).cast("long").alias("signal_id"), F.struct("time", "id", "price", "qty", "is_buyer_maker").cast(shape).alias("t")))
-    ahead = W.partitionBy("symbol").orderBy("time", F.col("t").isNull(), F.col("t.id")).rowsBetween(0, W.unboundedFollowing)
-    after = marks.withColumn("t", F.first("t", True).over(ahead)).where("signal_id is not null and t is not null").select("symbol", "signal_id", "t.*")
+    # backwards in time, so that the frame only grows
+    later = W.partitionBy("symbol").orderBy(F.desc("time"), F.desc(F.col("t").isNull()), F.desc("t.id")).rowsBetween(W.unboundedPreceding, 0)
+    after = marks.withColumn("t", F.last("t", True).over(later)).where("signal_id is not null and t is not null").select("symbol", "signal_id", "t.*")
     near = o.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("submitted") / span), F.floor(F.col("until") / span)))).select("symbol", "signal_id", "submitted", "until", "bucket")
     during = near.join(t.withColumn("bucket", F.floor(F.col("time") / span)), ["symbol", "bucket"]).where("time > submitted and time <= until").select("symbol", "signal_id", "time", "id", "price", "qty", "is_buyer_maker")
     met = during.unionByName(after).join(o, ["symbol", "signal_id"])
@@ -57,10 +58,26 @@ def fills(orders: DataFrame, trades: DataFrame, timeout_ms: int = 60_000) -> Dat
     return r.select("symbol", "signal_id", "side", "size", "limit_price", "submitted", status.alias("status"), F.col("f.time").alias("fill_time"), F.col("f.price").alias("fill_price"), (F.col("f.time") - F.col("submitted")).alias("queue_wait_ms"))
 
 
+def with_costs(filled: DataFrame, spread: float = 2e-4, **costs) -> DataFrame:
+    """Orders with order_type and costs (simulation.transaction_cost, funding from submission to fill included); both null where an order is not filled.
+
+    spread: of the fill price, where filled has no column spread.
+    """
+    there, notional = F.col("fill_price").isNotNull(), F.abs(F.col("size") * F.col("fill_price"))
+    part = F.try_divide("spread", "fill_price") if "spread" in filled.columns else F.lit(spread)
+    paid = funding_cost(F.col("submitted"), F.col("fill_time"), notional, F.col("side"))
+    f = filled.withColumn("order_type", F.when(there, "maker"))
+    return f.withColumn("costs", F.when(there, transaction_cost(notional, F.col("order_type"), part, paid, **costs)))
+
+
 def fill_stats(filled: DataFrame) -> DataFrame:
-    """Counts, fill rate in percent and mean wait of each symbol's orders."""
+    """Of each symbol's orders: counts, fill rate and share of maker fills in percent, mean wait and mean slippage in basis points; 0 without fills."""
     done = F.count_if(F.col("status") == "filled")
-    return filled.groupBy("symbol").agg(F.count("*").alias("submitted"), done.alias("filled"), F.count_if(F.col("status") == "expired").alias("expired"), (done / F.count("*") * 100).alias("fill_rate"), F.coalesce(F.avg("queue_wait_ms"), F.lit(0.0)).alias("avg_wait_ms"))
+    f = with_costs(filled)
+    return f.groupBy("symbol").agg(
+        F.count("*").alias("submitted"), done.alias("filled"), F.count_if(F.col("status") == "expired").alias("expired"), (done / F.count("*") * 100).alias("fill_rate"), F.coalesce(F.avg("queue_wait_ms"), F.lit(0.0)).alias("avg_wait_ms"),
+        F.coalesce(F.avg(F.try_divide("costs.slippage", "costs.notional") * 1e4), F.lit(0.0)).alias("avg_slippage_bps"), F.coalesce(F.try_divide(F.count_if(F.col("order_type") == "maker"), done) * 100, F.lit(0.0)).alias("maker_ratio"),
+    )
 
 
 def accepted(signals: DataFrame, seed: int = 42) -> DataFrame:
@@ -72,7 +89,8 @@ def accepted(signals: DataFrame, seed: int = 42) -> DataFrame:
 
 def funding(signals: DataFrame, held: DataFrame, bars: DataFrame) -> DataFrame:
     """(symbol, bar_idx, funding) that positions pay as they close: of the size times the price they leave at."""
-    s = signals.select("symbol", "signal_id", F.col("timestamp").alias("entry"), "sl_price", "pt_price")
+    priced = F.col("labeling_method") == "triple_barrier" if "labeling_method" in signals.columns else F.lit(True)
+    s = signals.select("symbol", "signal_id", F.col("timestamp").alias("entry"), *(F.when(priced, F.col(c)).alias(c) for c in ("sl_price", "pt_price")))
     b = bars.select("symbol", F.col("bar_idx").alias("leave"), F.col("timestamp").alias("ts"), "low", "high", "close")
     x = held.where("leave is not null").join(s, ["symbol", "signal_id"]).join(b, ["symbol", "leave"])
     long = F.col("side") > 0

@@ -1,5 +1,7 @@
 """Costs, funding, limit prices, fill probability, and the equity of signals, as column expressions and windows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,14 +38,74 @@ def fill_probability(distance: Column, flow: Column, dt: Column, a: float = 1.0,
     return F.least(F.greatest(1 - F.exp(-rate), F.lit(0.0)), F.lit(1.0))
 
 
+def exchange_fee(notional: Column, order_type: Column, maker_bps: float = 2.0, taker_bps: float = 5.0) -> Column:
+    return notional * F.when(order_type == "maker", maker_bps).otherwise(taker_bps) / 1e4
+
+
+def spread_cost(spread: Column, notional: Column) -> Column:
+    """Half of a spread given as a fraction of the price."""
+    return F.when((spread > 0) & (notional > 0), spread / 2 * notional).otherwise(0.0)
+
+
+def slippage(notional: Column, volume: float = 1e9, volatility: float = 0.02, scale: float = 1.0) -> Column:
+    """Of an order: scale * volatility * root of its share of the daily volume, times its notional."""
+    if volume <= 0:
+        return F.lit(0.0)
+    return F.when(notional > 0, scale * volatility * F.sqrt(notional / volume) * notional).otherwise(F.when(notional.isNotNull(), 0.0))
+
+
+def market_impact(notional: Column, volume: float = 1e9, volatility: float = 0.02, scale: float = 1.0) -> Column:
+    return 0.1 * slippage(notional, volume, volatility, scale)
+
+
+def transaction_cost(notional: Column, order_type: Column, spread: Column, funding: Column, maker_bps: float = 2.0, taker_bps: float = 5.0, volume: float = 1e9, volatility: float = 0.02, scale: float = 1.0) -> Column:
+    """All costs of an order as a struct, with their total and that in basis points of the notional."""
+    parts = {"exchange_fee": exchange_fee(notional, order_type, maker_bps, taker_bps), "funding_cost": funding, "spread_cost": spread_cost(spread, notional), "slippage": slippage(notional, volume, volatility, scale), "market_impact": market_impact(notional, volume, volatility, scale)}
+    total = sum(parts.values(), F.lit(0.0))
+    bps = F.when(notional > 0, total / notional * 1e4).otherwise(0.0)
+    return F.struct(*(v.alias(k) for k, v in parts.items()), total.alias("total"), notional.alias("notional"), bps.alias("total_bps"))
+
+
+def _first_bars(points: DataFrame, bars: DataFrame) -> DataFrame:
+    """points (symbol, time, ...) with at, the first bar of the symbol not before their time; null if there is none. One sort of both sides."""
+    none = F.lit(None).cast(points.select(F.struct("*").alias("p")).schema["p"].dataType)
+    rows = points.select("symbol", F.col("time").alias("_t"), F.lit(None).cast("long").alias("at"), F.struct("*").alias("p")).unionByName(bars.select("symbol", F.col("timestamp").alias("_t"), F.col("bar_idx").alias("at"), none.alias("p")))
+    # backwards in time, at one time bars before points: the last bar met is the first not before
+    back = W.partitionBy("symbol").orderBy(F.desc("_t"), F.col("p").isNotNull(), F.desc("at")).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("at", F.last("at", True).over(back)).where("p is not null").select("p.*", "at")
+
+
+#: Bars whose extremes are looked at together when a price barrier is searched.
+BLOCK = 64
+
+
 def positions(signals: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars [enter, leave) of each signal: enter at the first bar not before it, leave at the first one at its time barrier or past a price barrier."""
-    s = signals.select("symbol", "signal_id", F.col("timestamp").alias("sig_ts"), "side", "size", "sl_price", "pt_price", "time_barrier")
-    b = bars.select("symbol", "bar_idx", F.col("timestamp").alias("ts"), "low", "high")
-    entered = s.join(b.select("symbol", "bar_idx", "ts"), "symbol").where("ts >= sig_ts").groupBy(*s.columns).agg(F.min("bar_idx").alias("enter"))
-    over = (F.col("ts") >= F.col("time_barrier")) | F.when(F.col("side") > 0, (F.col("low") <= F.col("sl_price")) | (F.col("high") >= F.col("pt_price"))).otherwise((F.col("high") >= F.col("sl_price")) | (F.col("low") <= F.col("pt_price")))
-    left = entered.join(b, "symbol").where((F.col("bar_idx") >= F.col("enter")) & over).groupBy("symbol", "signal_id").agg(F.min("bar_idx").alias("leave"))
-    return entered.join(left, ["symbol", "signal_id"], "left").select("symbol", "signal_id", "side", "size", "enter", "leave")
+    """Bars [enter, leave) of each signal: enter at the first bar not before it, leave at the first one at its time barrier or past a price barrier.
+
+    Price barriers hold for signals labelled by triple_barrier (all, where there is
+    no labeling_method). They are searched in the blocks of BLOCK bars between entry
+    and time barrier by the blocks' extremes, and then in three blocks bar by bar: a
+    signal meets its own span of bars, not all of its symbol.
+    """
+    priced = F.col("labeling_method") == "triple_barrier" if "labeling_method" in signals.columns else F.lit(True)
+    sl, pt = (F.when(priced, F.col(c)).alias(c) for c in ("sl_price", "pt_price"))
+    s = signals.select("symbol", "signal_id", F.col("timestamp").alias("time"), "side", "size", sl, pt, "time_barrier")
+    entered = _first_bars(s, bars).where("at is not null").withColumnRenamed("at", "enter").drop("time")
+    timed = _first_bars(entered.withColumnRenamed("time_barrier", "time"), bars)
+    last = F.max("bar_idx").over(W.partitionBy("symbol"))
+    b = bars.select("symbol", "bar_idx", "low", "high", F.floor(F.col("bar_idx") / BLOCK).alias("block"), last.alias("last"))
+    blocks = b.groupBy("symbol", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
+    timed = timed.withColumn("until", F.when(F.col("time").isNotNull(), F.greatest("at", "enter"))).drop("time", "at")
+    over = F.when(F.col("side") > 0, (F.col("low") <= F.col("sl_price")) | (F.col("high") >= F.col("pt_price"))).otherwise((F.col("high") >= F.col("sl_price")) | (F.col("low") <= F.col("pt_price")))
+    ends = bars.groupBy("symbol").agg(F.max("bar_idx").alias("last"))
+    barred = timed.where("sl_price is not null or pt_price is not null").join(ends, "symbol").withColumn("end", F.coalesce("until", "last"))
+    first, final = F.floor(F.col("enter") / BLOCK), F.floor(F.col("end") / BLOCK)
+    inner = barred.where(final > first + 1).withColumn("block", F.explode(F.sequence(first + 1, final - 1))).join(blocks.drop("last"), ["symbol", "block"]).where(over)
+    inner = inner.groupBy("symbol", "signal_id").agg(F.min("block").alias("crossed"))
+    look = barred.join(inner, ["symbol", "signal_id"], "left").withColumn("block", F.explode(F.array_distinct(F.array_compact(F.array(first, F.col("crossed"), final)))))
+    met = look.drop("last").join(b.drop("last"), ["symbol", "block"]).where((F.col("bar_idx") >= F.col("enter")) & (F.col("bar_idx") <= F.col("end")) & over)
+    met = met.groupBy("symbol", "signal_id").agg(F.min("bar_idx").alias("met"))
+    return timed.join(met, ["symbol", "signal_id"], "left").select("symbol", "signal_id", "side", "size", "enter", F.least("until", "met").alias("leave"))
 
 
 def exposure(held: DataFrame, bars: DataFrame) -> DataFrame:
@@ -66,3 +128,76 @@ def equity(exposed: DataFrame, capital: float = 10_000.0, fee_bps: float = 10.0)
     b = b.withColumn("equity", capital * F.exp(F.sum(F.ln(factor)).over(ordered().rowsBetween(W.unboundedPreceding, 0))))
     peak = F.greatest(F.lit(capital), F.max("equity").over(ordered().rowsBetween(W.unboundedPreceding, 0)))
     return b.select("symbol", "bar_idx", "timestamp", "exposure", "equity", (F.col("equity") / peak - 1).alias("drawdown"))
+
+
+def closed(signals: DataFrame, held: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, signal_id, bar_idx, ret) of each position that was left: its return from the signal's price (the close of its first bar without one) to the barrier met, the stop first, or the close."""
+    priced = F.col("labeling_method") == "triple_barrier" if "labeling_method" in signals.columns else F.lit(True)
+    entry = F.col("entry_price") if "entry_price" in signals.columns else F.lit(None).cast("double")
+    s = signals.select("symbol", "signal_id", entry.alias("entry"), *(F.when(priced, F.col(c)).alias(c) for c in ("sl_price", "pt_price")))
+    b = bars.select("symbol", F.col("bar_idx").alias("leave"), "low", "high", "close")
+    x = held.where("leave is not null").join(s, ["symbol", "signal_id"]).join(b, ["symbol", "leave"])
+    x = x.join(bars.select("symbol", F.col("bar_idx").alias("enter"), F.col("close").alias("first_close")), ["symbol", "enter"])
+    long = F.col("side") > 0
+    stopped = F.when(long, F.col("low") <= F.col("sl_price")).otherwise(F.col("high") >= F.col("sl_price"))
+    taken = F.when(long, F.col("high") >= F.col("pt_price")).otherwise(F.col("low") <= F.col("pt_price"))
+    price = F.when(stopped, F.col("sl_price")).when(taken, F.col("pt_price")).otherwise(F.col("close"))
+    start = F.coalesce("entry", "first_close")
+    return x.select("symbol", "signal_id", F.col("leave").alias("bar_idx"), (F.col("side") * F.try_divide(price - start, start)).alias("ret"))
+
+
+YEAR_MS, BARS_A_YEAR = 365.25 * 24 * 3600 * 1000, 525_600
+
+
+def performance(curve: DataFrame, trades: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """(symbol, sharpe, max_dd, total_return, win_rate, num_trades) of equity curves (symbol, bar_idx, timestamp, equity, drawdown) and closed positions (symbol, ret).
+
+    Sharpe is yearly, by the mean distance of bars, from equity in cents; drawdown,
+    return and wins are in percent; 0 where something is undefined.
+    """
+    c = curve.withColumn("equity", F.round("equity", 2)).withColumn("drawdown", F.round("drawdown", 6))
+    c = c.withColumn("_r", F.try_divide(F.col("equity"), F.lag("equity").over(ordered())) - 1)
+    gap = (F.max("timestamp") - F.min("timestamp")) / F.nullif(F.count("*") - 1, F.lit(0))
+    year = F.when(gap > 0, YEAR_MS / gap).otherwise(float(BARS_A_YEAR))
+    stats = c.groupBy("symbol").agg(
+        F.when(F.stddev_pop("_r") > 0, F.avg("_r") / F.stddev_pop("_r") * F.sqrt(year)).otherwise(0.0).alias("sharpe"),
+        (F.min("drawdown") * 100).alias("max_dd"),
+        ((F.max_by("equity", "bar_idx") - capital) / capital * 100).alias("total_return"),
+    )
+    won = trades.groupBy("symbol").agg(F.count("*").alias("num_trades"), (F.count_if(F.col("ret") > 0) / F.count("*") * 100).alias("win_rate"))
+    return stats.join(won, "symbol", "left").select("symbol", F.round("sharpe", 2).alias("sharpe"), F.round("max_dd", 2).alias("max_dd"), F.round("total_return", 2).alias("total_return"), F.round(F.coalesce("win_rate", F.lit(0.0)), 1).alias("win_rate"), F.coalesce("num_trades", F.lit(0)).alias("num_trades"))
+
+
+def bars_of_signals(signals: DataFrame, bars: DataFrame) -> DataFrame:
+    """The bars between a symbol's first signal and its last time barrier (last signal, if none has one), numbered from 0."""
+    bounds = signals.groupBy("symbol").agg(F.min("timestamp").alias("_from"), F.coalesce(F.max("time_barrier"), F.max("timestamp")).alias("_to"))
+    b = bars.join(bounds, "symbol").where("timestamp between _from and _to").drop("_from", "_to")
+    return b.withColumn("bar_idx", (F.row_number().over(W.partitionBy("symbol").orderBy("timestamp", "bar_idx")) - 1).cast("long"))
+
+
+MODES = ("simple", "realistic", "both")
+
+
+def simulate(signals: DataFrame, bars: DataFrame, mode: str = "simple", capital: float = 10_000.0, fee_bps: float = 10.0, **costs) -> tuple[DataFrame, DataFrame]:
+    """Equity curves (mode, symbol, bar_idx, timestamp, exposure, equity, drawdown, invested) and performance (mode, symbol, ...), in one mode or both; without signals or bars both are empty.
+
+    signals: symbol, signal_id, timestamp, side, size, sl_price, pt_price, time_barrier,
+    and, if known, entry_price, labeling_method and meta_probability (0.5 without).
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    from barloom.operators import orders
+
+    if "meta_probability" not in signals.columns:
+        signals = signals.withColumn("meta_probability", F.lit(0.5))
+    bars = bars.join(signals.select("symbol").distinct(), "symbol", "left_semi")
+    curves, results = [], []
+    for each in ("simple", "realistic") if mode == "both" else (mode,):
+        taken = signals if each == "simple" else orders.accepted(signals)
+        held = positions(taken, bars)
+        exposed = exposure(held, bars)
+        curve = equity(exposed, capital, fee_bps) if each == "simple" else orders.realistic_equity(exposed, orders.funding(taken, held, bars), capital, **costs)
+        curve = curve.select(F.lit(each).alias("mode"), "symbol", "bar_idx", "timestamp", "exposure", "equity", "drawdown", (F.abs("exposure") * F.col("equity")).alias("invested"))
+        curves.append(curve)
+        results.append(performance(curve, closed(taken, held, bars), capital).select(F.lit(each).alias("mode"), "*"))
+    return reduce(DataFrame.unionByName, curves), reduce(DataFrame.unionByName, results)

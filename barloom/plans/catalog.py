@@ -25,7 +25,9 @@ _W = " WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx), w AS (PARTITION BY sy
 
 
 def _rounded(df, digits=6):
-    return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+    """digits: of all columns, or of each by name (6 where it has none)."""
+    of = lambda c: digits.get(c, 6) if isinstance(digits, dict) else digits
+    return df.select(*((F.round(c, of(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
 def _r(x, name, digits=6):
@@ -60,9 +62,32 @@ FROM walk w JOIN n USING (symbol, k) GROUP BY n.symbol, w.bar HAVING bool_or(w.c
 
 register("b04_volume_bars", lambda t: ob.bars(t, "volume", threshold=10.0), _greedy("qty", "10.0"))
 register("b05_dollar_bars", lambda t: ob.bars(t, "dollar", threshold=500.0), _greedy("price * qty", "500.0"))
+_ALPHA = 2 / 21
+
+
+def _adaptive(value, rule):
+    """Imbalance and run bars (first 20, span 20) as a recursion along each symbol's trades: the state before a trade, then whether it closes the bar."""
+    blend = lambda new, old: f"{_ALPHA!r} * ({new}) + {1 - _ALPHA!r} * {old}"
+    learn = lambda seen, old, least: f"CASE WHEN NOT w.closed THEN w.{old} WHEN w.{old} IS NULL THEN CASE WHEN {seen} > 0 THEN {seen} ELSE {least} END ELSE {blend(seen, 'w.' + old)} END AS {old}"
+    if rule == "imbalance":
+        rates = learn("abs(w.th) / w.n", "ra", "1.0") + ", NULL::DOUBLE AS rb, w.p"
+        closes = "abs(th) >= et * ra"
+    else:
+        rates = learn("w.up / w.n", "ra", "0.5") + ", " + learn("w.dn / w.n", "rb", "0.5") + f", CASE WHEN w.closed THEN least(greatest({blend('w.buys / w.n', 'w.p')}, 0.01), 0.99) ELSE w.p END AS p"
+        closes = "greatest(p * up, (1 - p) * dn) >= et * greatest(p * ra, (1 - p) * rb)"
+    old = lambda c, zero: f"CASE WHEN w.closed THEN {zero} ELSE w.{c} END"
+    return f"""WITH RECURSIVE {_CTE[5:].split("g AS", 1)[0]} n AS (SELECT *, {value}::DOUBLE AS v, CASE WHEN is_buyer_maker THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sg, row_number() OVER (PARTITION BY symbol ORDER BY time, id) AS k FROM tape),
+walk(symbol, k, bar, n, th, up, dn, buys, et, ra, rb, p, closed) AS (SELECT DISTINCT symbol, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0::BIGINT, 20.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, 0.5::DOUBLE, false FROM n UNION ALL
+SELECT symbol, k, bar, n, th, up, dn, buys, et, ra, rb, p, CASE WHEN ra IS NULL THEN n >= 20 ELSE {closes} END FROM (SELECT n.symbol, n.k, w.bar + CASE WHEN w.closed THEN 1 ELSE 0 END AS bar, {old("n", "0")} + 1 AS n, {old("th", "0.0")} + n.sg * n.v AS th,
+{old("up", "0.0")} + CASE WHEN n.sg > 0 THEN n.v ELSE 0.0 END AS up, {old("dn", "0.0")} + CASE WHEN n.sg < 0 THEN n.v ELSE 0.0 END AS dn, {old("buys", "0")} + CASE WHEN n.sg > 0 THEN 1 ELSE 0 END AS buys,
+CASE WHEN w.closed THEN least(greatest({blend("w.n", "w.et")}, 10.0), 40.0) ELSE w.et END AS et, {rates} FROM walk w JOIN n ON n.symbol = w.symbol AND n.k = w.k + 1) x)
+SELECT n.symbol, w.bar AS bar_idx, max(n.time) AS timestamp, {_r("arg_min(n.price, n.k)", "open")}, {_r("max(n.price)", "high")}, {_r("min(n.price)", "low")}, {_r("arg_max(n.price, n.k)", "close")}, {_r("sum(n.qty)", "volume")}, {_r("sum(n.price * n.qty)", "dollar_volume")}, count(*) AS tick_count, CASE WHEN count(*) > 1 THEN (max(n.time) - min(n.time)) * 1000 ELSE 0 END AS duration_us
+FROM walk w JOIN n USING (symbol, k) GROUP BY n.symbol, w.bar HAVING bool_or(w.closed)"""
+
+
 for _rule in ("imbalance", "run"):
-    for _value in ("tick", "volume", "dollar"):
-        register(f"b{'08' if _rule == 'imbalance' else '10'}_{_value}_{_rule}_bars", lambda t, k=f"{_value}_{_rule}": ob.bars(t, k, first=20, span=20))
+    for _value, _of in (("tick", "1.0"), ("volume", "qty"), ("dollar", "price * qty")):
+        register(f"b{'08' if _rule == 'imbalance' else '10'}_{_value}_{_rule}_bars", lambda t, k=f"{_value}_{_rule}": ob.bars(t, k, first=20, span=20), _adaptive(_of, _rule))
 
 _RS = "ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)"
 _SKEW = "CASE WHEN count({x}) OVER w >= 3 THEN skewness({x}) OVER w END"
@@ -91,6 +116,7 @@ _SQL = {
 for _name, _sql in _SQL.items():
     _f = _name.split("_", 1)[1]
     register(_name, lambda t, f=_f: ft.features(six_hours(t), 20, [f]).drop("timestamp"), f"SELECT symbol, bar_idx, {_r(_sql, _f, 5)} FROM b" + _W, 5)
+register("f46_live_volatility", lambda t: ft.live_volatility(six_hours(t)).select("symbol", "bar_idx", "live_vol"), f"SELECT symbol, bar_idx, {_r('coalesce(CASE WHEN count(s) OVER w >= 20 THEN stddev_samp(s) OVER w END, 0.01)', 'live_vol', 5)} FROM b" + _W, 5)
 register("f10_returns", lambda t: ft.with_returns(six_hours(t)).select("symbol", "bar_idx", F.col("r").alias("returns"), F.abs("r").alias("returns_abs")), f"SELECT symbol, bar_idx, {_r('r', 'returns')}, {_r('abs(r)', 'returns_abs')} FROM b")
 register("f06_vol_velocity", lambda t: ft.features(six_hours(t), 20, ["rogers_satchell_vol"]).withColumn("vol_velocity", F.col("rogers_satchell_vol") - ft.lag("rogers_satchell_vol")).select("symbol", "bar_idx", "vol_velocity"), f"SELECT symbol, bar_idx, {_r('v - lag(v) OVER (PARTITION BY symbol ORDER BY bar_idx)', 'vol_velocity')} FROM (SELECT symbol, bar_idx, {_SQL['f01_rogers_satchell_vol']} AS v FROM b{_W})")
 _O = "OVER (PARTITION BY symbol ORDER BY bar_idx)"
@@ -100,7 +126,11 @@ _AT = {"poly": "t", "exp": "exp(t / 50.0)", "power": "sqrt(t)"}
 _FIT = {k: f"regr_slope(y, {x}) / nullif(sqrt(greatest(regr_syy(y, {x}) - power(regr_slope(y, {x}), 2) * regr_sxx(y, {x}), 0) / 48 / regr_sxx(y, {x})), 0)" for k, x in _AT.items()}
 register("f20_breaks", lambda t: fr.breaks(six_hours(t)), ", fr AS (SELECT b.symbol, b.bar_idx, x.bar_idx - b.bar_idx + 51 AS t, ln(x.close) AS y FROM bars b JOIN bars x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 50 AND b.bar_idx - 1 WHERE b.bar_idx >= 50), dv AS (SELECT *, y - avg(y) OVER (PARTITION BY symbol, bar_idx) AS d FROM fr), cu AS (SELECT *, sum(d) OVER (PARTITION BY symbol, bar_idx ORDER BY t) AS c FROM dv), br AS (SELECT symbol, bar_idx, max(abs(c)) / stddev_samp(y) / sqrt(50) AS csw, " + ", ".join(f"{v} AS {k}" for k, v in _FIT.items()) + f" FROM cu GROUP BY ALL) SELECT symbol, bar_idx, {_r('csw', 'csw_cusum')}, " + ", ".join(_r(k, f"martingale_{k}_t") for k in _AT) + " FROM bars LEFT JOIN br USING (symbol, bar_idx)")
 register("f25_entropies", lambda t: fr.entropies(six_hours(t)).drop("rolling_lempel_ziv"), f", fr AS (SELECT b.symbol, b.bar_idx, x.r FROM b JOIN b x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 19 AND b.bar_idx AND x.r IS NOT NULL), lo AS (SELECT *, min(r) OVER f AS l, max(r) OVER f AS h, count(*) OVER f AS n FROM fr WINDOW f AS (PARTITION BY symbol, bar_idx)), c AS (SELECT symbol, bar_idx, n, CASE WHEN h > l THEN least(floor((r - l) / (h - l) * 10), 9) ELSE 0 END AS bin, count(*) AS k FROM lo GROUP BY ALL), e AS (SELECT symbol, bar_idx, n, ln(max(n)) - sum(k * ln(k)) / max(n) AS s, count(*) AS m FROM c WHERE n >= 5 GROUP BY symbol, bar_idx, n) SELECT symbol, bar_idx, {_r('s', 'rolling_shannon_entropy')}, {_r('s + (m - 1) / (2.0 * n)', 'rolling_plugin_entropy')} FROM bars LEFT JOIN e USING (symbol, bar_idx)")
-register("f27_lempel_ziv", lambda t: fr.entropies(six_hours(t)).select("symbol", "bar_idx", "rolling_lempel_ziv"))
+# the parse as a recursion: phrases so far, where this one starts and how long it is
+register("f27_lempel_ziv", lambda t: fr.entropies(six_hours(t)).select("symbol", "bar_idx", "rolling_lempel_ziv"), f"""WITH RECURSIVE {_CTE[5:].rstrip()}, fr AS (SELECT symbol, bar_idx, list(r) FILTER (r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 19 PRECEDING) AS v FROM b),
+tx AS (SELECT symbol, bar_idx, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS t FROM fr WHERE len(v) >= 5),
+lz(symbol, bar_idx, t, c, pos, size) AS (SELECT symbol, bar_idx, t, 1, 1, 1 FROM tx UNION ALL SELECT symbol, bar_idx, t, CASE WHEN seen THEN c ELSE c + 1 END, CASE WHEN seen THEN pos ELSE pos + size END, CASE WHEN seen THEN size + 1 ELSE 1 END FROM (SELECT *, contains(substr(t, 1, pos + size - 1), substr(t, pos + 1, size)) AS seen FROM lz WHERE pos + size <= length(t)) y)
+SELECT bars.symbol, bars.bar_idx, {_r("e.v", "rolling_lempel_ziv")} FROM bars LEFT JOIN (SELECT symbol, bar_idx, max(c) / (length(t) / log2(length(t))) AS v FROM lz GROUP BY symbol, bar_idx, t) e USING (symbol, bar_idx)""")
 _K = 3 - 2 * 2**0.5
 _CS = f"with_one AS (SELECT *, ln(high / low) ** 2 + ln(lag(high) {_O} / lag(low) {_O}) ** 2 AS one, ln(greatest(high, lag(high) {_O}) / least(low, lag(low) {_O})) ** 2 AS two, CASE WHEN close > prev THEN 1.0 WHEN close < prev THEN -1.0 END AS move FROM b), al AS (SELECT *, CASE WHEN bar_idx > 0 THEN (sqrt(2 * one) - sqrt(one)) / {_K!r} - sqrt(two / {_K!r}) END AS a, coalesce(last_value(move IGNORE NULLS) {_O}, 1.0) AS way FROM with_one)"
 register("f39_spreads", lambda t: fr.spreads(six_hours(t)), f", {_CS} SELECT symbol, bar_idx, {_r('avg(CASE WHEN a IS NULL THEN NULL ELSE greatest(2 * (exp(a) - 1) / (1 + exp(a)), 0) END) OVER w', 'corwin_schultz_spread')}, {_r('avg(way) OVER w', 'tick_rule')} FROM al{_W}")
@@ -132,7 +162,20 @@ h AS (SELECT v.symbol, v.bar_idx, min(f.bar_idx) AS k FROM v JOIN v f ON f.symbo
 SELECT v.symbol, v.bar_idx, v.timestamp, CAST(CASE WHEN f.bar_idx IS NULL THEN NULL WHEN f.low <= v.close * (1 - v.vol) THEN -1 ELSE 1 END AS BIGINT) AS label, {_r('v.close * (1 - v.vol)', 'sl_price')}, {_r('v.close * (1 + v.vol)', 'pt_price')}, last_value(v.timestamp) OVER (PARTITION BY v.symbol ORDER BY v.bar_idx ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS time_barrier_ts FROM v LEFT JOIN h USING (symbol, bar_idx) LEFT JOIN v f ON f.symbol = h.symbol AND f.bar_idx = h.k""")
 _T = "CASE WHEN count(*) OVER h{h} >= 3 THEN regr_slope(close, bar_idx) OVER h{h} / sqrt(greatest(greatest(regr_syy(close, bar_idx) OVER h{h} - power(regr_slope(close, bar_idx) OVER h{h}, 2) * regr_sxx(close, bar_idx) OVER h{h}, 0) / (count(*) OVER h{h} - 2) / regr_sxx(close, bar_idx) OVER h{h}, 1e-30)) WHEN count(*) OVER h{h} = 2 THEN regr_slope(close, bar_idx) OVER h{h} ELSE 0 END AS t{h}"
 register("l03_trend_scanning", lambda t: ol.trend_scanning(six_hours(t), (5, 10, 20)), ", t AS (SELECT symbol, bar_idx, timestamp, " + ", ".join(_T.format(h=h) for h in (5, 10, 20)) + " FROM bars WINDOW " + ", ".join(f"h{h} AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN CURRENT ROW AND {h} FOLLOWING)" for h in (5, 10, 20)) + f"), p AS (SELECT *, CASE WHEN abs(t5) >= abs(t10) AND abs(t5) >= abs(t20) THEN 5 WHEN abs(t10) >= abs(t20) THEN 10 ELSE 20 END AS best_horizon FROM t), q AS (SELECT *, CASE best_horizon WHEN 5 THEN t5 WHEN 10 THEN t10 ELSE t20 END AS tv FROM p) SELECT symbol, bar_idx, timestamp, CAST(CASE WHEN abs(tv) >= 1 THEN CASE WHEN tv > 0 THEN 1 ELSE -1 END END AS BIGINT) AS label, CAST(best_horizon AS BIGINT) AS best_horizon, {_r('tv', 't_value', 5)} FROM q", 5)
-register("l05_directional_change", lambda t: ol.directional_changes(six_hours(t), (0.5, 1.0)))
+
+
+def _reversals(thetas):
+    """Directional changes as a recursion along each symbol's bars for each theta; thetas: the CTEs that give th (symbol, theta)."""
+    return f"""WITH RECURSIVE {_CTE[5:].rstrip()}, {thetas}, c AS (SELECT symbol, bar_idx AS k, timestamp, close AS p FROM bars),
+walk(symbol, theta, k, up, ex, st, way, over) AS (SELECT c.symbol, th.theta, c.k, d.p >= c.p, c.p, c.p, 0, 0.0::DOUBLE FROM c JOIN c d ON d.symbol = c.symbol AND d.k = 1 JOIN th ON th.symbol = c.symbol WHERE c.k = 0 UNION ALL
+SELECT symbol, theta, k, CASE WHEN hit THEN NOT up ELSE up END, CASE WHEN hit THEN p ELSE e END, CASE WHEN hit THEN p ELSE st END, CASE WHEN hit THEN CASE WHEN up THEN -1 ELSE 1 END ELSE 0 END, CASE WHEN hit THEN abs(e - st) / (st * theta) ELSE 0.0 END FROM
+(SELECT *, e > 0 AND CASE WHEN up THEN e - p ELSE p - e END / e >= theta AS hit FROM (SELECT c.symbol, w.theta, c.k, w.up, w.st, c.p, CASE WHEN w.up THEN greatest(w.ex, c.p) ELSE least(w.ex, c.p) END AS e FROM walk w JOIN c ON c.symbol = w.symbol AND c.k = w.k + 1) y) x)
+SELECT w.symbol, w.k AS bar_idx, c.timestamp, CAST(w.way AS BIGINT) AS label, {_r("w.theta", "theta", 5)}, {_r("w.over", "overshoot", 5)} FROM walk w JOIN c ON c.symbol = w.symbol AND c.k = w.k WHERE w.way <> 0"""
+
+
+register("l05_directional_change", lambda t: ol.directional_changes(six_hours(t), (0.5, 1.0)), _reversals("th AS (SELECT symbol, unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS theta FROM (SELECT DISTINCT symbol FROM bars))"), 5)
+# returns of this tape are large, so its thetas are small multiples of their deviation
+register("l06_volatility_changes", lambda t: ol.labels(six_hours(t), "directional_change", window=50, multipliers=(0.2, 0.3, 0.5)), _reversals("vo AS (SELECT symbol, greatest(coalesce(stddev_pop(r), 0.01), 1e-8) AS vol FROM (SELECT symbol, r FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) <= 50) GROUP BY symbol), th AS (SELECT symbol, greatest(vol * unnest([0.2::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]), 1e-6) AS theta FROM vo)"), 5)
 register("w01_sample_weights", lambda t: ol.weights(six_hours(t), 10, 86400000.0 * 7).drop("weight"), f""", n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS nb, coalesce(abs(r), 0) AS a FROM b), sp AS (SELECT symbol, bar_idx AS i, least(bar_idx + 10, nb - 1) AS e FROM n),
 c AS (SELECT n.symbol, n.bar_idx, count(sp.i) AS concurrency FROM n LEFT JOIN sp ON sp.symbol = n.symbol AND n.bar_idx >= sp.i AND n.bar_idx < sp.e GROUP BY ALL),
 u AS (SELECT sp.symbol, sp.i, sp.e, coalesce(sum(1.0 / c.concurrency) / nullif(max(sp.e - sp.i), 0), 0) AS uniq, coalesce(sum(n.a), 0) AS moved FROM sp LEFT JOIN n ON n.symbol = sp.symbol AND n.bar_idx >= sp.i AND n.bar_idx < sp.e LEFT JOIN c ON c.symbol = n.symbol AND c.bar_idx = n.bar_idx GROUP BY ALL)
@@ -149,14 +192,14 @@ register("e08_limit_price", lambda t: src.quotes(t).select("id", sim.limit_price
 register("e09_fill_probability", lambda t: t.select("id", sim.fill_probability(F.col("qty"), F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0), F.col("price") / 10).alias("p")), f"SELECT id, {_r('1 - exp(-exp(-1.5 * qty) * exp(CASE WHEN is_buyer_maker THEN -0.5 ELSE 0.5 END) * price / 10)', 'p')} FROM tape")
 
 
-def _signals(bars):
-    """One signal at every seventh bar."""
+def _signals(bars, reach=0.6):
+    """A signal at every bar."""
     side = F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1)
-    s = bars.where("bar_idx % 7 = 3").select("symbol", F.col("bar_idx").alias("signal_id"), "timestamp", side.alias("side"), (F.col("bar_idx") % 10 / 10.0 + 0.1).alias("size"), "close")
-    return s.select("symbol", "signal_id", "timestamp", "side", "size", (F.col("close") * (1 - 0.6 * F.col("side"))).alias("sl_price"), (F.col("close") * (1 + 0.6 * F.col("side"))).alias("pt_price"), (F.col("timestamp") + 86400000 * 2).alias("time_barrier"))
+    s = bars.select("symbol", F.col("bar_idx").alias("signal_id"), "timestamp", side.alias("side"), (F.col("bar_idx") % 10 / 10.0 + 0.1).alias("size"), "close")
+    return s.select("symbol", "signal_id", "timestamp", "side", "size", (F.col("close") * (1 - reach * F.col("side"))).alias("sl_price"), (F.col("close") * (1 + reach * F.col("side"))).alias("pt_price"), (F.col("timestamp") + 86400000 * 2).alias("time_barrier"))
 
 
-_SIG = """, sg AS (SELECT symbol, bar_idx AS signal_id, timestamp, CASE WHEN bar_idx % 2 = 0 THEN 1 ELSE -1 END AS side, bar_idx % 10 / 10.0::DOUBLE + 0.1 AS size, close FROM bars WHERE bar_idx % 7 = 3),
+_SIG = """, sg AS (SELECT symbol, bar_idx AS signal_id, timestamp, CASE WHEN bar_idx % 2 = 0 THEN 1 ELSE -1 END AS side, bar_idx % 10 / 10.0::DOUBLE + 0.1 AS size, close FROM bars),
 en AS (SELECT sg.symbol, sg.signal_id, sg.side, sg.size, sg.close, sg.timestamp + 172800000 AS tb, min(x.bar_idx) AS enter FROM sg JOIN bars x ON x.symbol = sg.symbol AND x.timestamp >= sg.timestamp GROUP BY ALL),
 ex AS (SELECT en.symbol, en.signal_id, min(x.bar_idx) AS leave FROM en JOIN bars x ON x.symbol = en.symbol AND x.bar_idx >= en.enter AND (x.timestamp >= en.tb OR CASE WHEN en.side > 0 THEN x.low <= en.close * (1 - 0.6 * en.side) OR x.high >= en.close * (1 + 0.6 * en.side) ELSE x.high >= en.close * (1 - 0.6 * en.side) OR x.low <= en.close * (1 + 0.6 * en.side) END) GROUP BY ALL),
 held AS (SELECT en.symbol, en.signal_id, en.side, en.size, en.enter, ex.leave FROM en LEFT JOIN ex USING (symbol, signal_id))"""

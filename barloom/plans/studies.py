@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from barloom.functions import encodings as en
 from barloom.functions import features as ft
 from barloom.functions import unit_root as ur
+from barloom.functions import table
 from barloom.functions.frames import difference_weights
+from barloom.operators import bars as ob
 from barloom.operators import labels as ol
 from barloom.operators import learning, orders
 from barloom.operators import simulation as sim
 from barloom.operators import walk_forward as wf
-from barloom.plans.catalog import _EXP, _O, _SIG, _SQL, _W, ORACLES, QUERIES, _r, _signals, register, six_hours
+from barloom.plans.catalog import _CTE, _EXP, _O, _SIG, _SQL, _W, ORACLES, QUERIES, _r, _signals, register, six_hours
 from barloom.sources import trades as src
 from barloom.streaming import signals as live
 
@@ -153,13 +155,15 @@ tp AS (SELECT *, lag(time) OVER (PARTITION BY symbol ORDER BY time, id) AS was F
 hs AS (SELECT *, through OR (queue_ahead > 0 AND sum(used) OVER (PARTITION BY symbol, signal_id ORDER BY time, id) >= queue_ahead) AS hit FROM mt), ff AS (SELECT symbol, signal_id, min(time) FILTER (hit) AS fill_time, arg_min(price, (time, id)) FILTER (hit) AS fill_price, bool_or(late) AS late FROM hs GROUP BY ALL),
 fl AS (SELECT o.symbol, o.signal_id, o.side, o.size, o.limit_price, o.submitted, CASE WHEN ff.fill_time IS NOT NULL THEN 'filled' WHEN late THEN 'expired' ELSE 'open' END AS status, ff.fill_time, ff.fill_price, ff.fill_time - o.submitted AS queue_wait_ms FROM ords o LEFT JOIN ff USING (symbol, signal_id))"""
 register("e11_fills", lambda t: orders.fills(_orders(t), t, 7_200_000), f"{_ORD} SELECT symbol, signal_id, CAST(side AS INTEGER) AS side, {_r('size', 'size')}, {_r('limit_price', 'limit_price')}, submitted, status, fill_time, {_r('fill_price', 'fill_price')}, queue_wait_ms FROM fl")
-register("e11_fill_stats", lambda t: orders.fill_stats(orders.fills(_orders(t), t, 7_200_000)), f"{_ORD} SELECT symbol, count(*) AS submitted, count(*) FILTER (status = 'filled') AS filled, count(*) FILTER (status = 'expired') AS expired, {_r('''count(*) FILTER (status = 'filled') / count(*) * 100''', 'fill_rate')}, {_r('coalesce(avg(queue_wait_ms), 0)', 'avg_wait_ms')} FROM fl GROUP BY symbol")
+register("e11_fill_stats", lambda t: orders.fill_stats(orders.fills(_orders(t), t, 7_200_000)), f"{_ORD} SELECT symbol, count(*) AS submitted, count(*) FILTER (status = 'filled') AS filled, count(*) FILTER (status = 'expired') AS expired, {_r('''count(*) FILTER (status = 'filled') / count(*) * 100''', 'fill_rate')}, {_r('coalesce(avg(queue_wait_ms), 0)', 'avg_wait_ms')}, {_r('coalesce(avg(0.02 * sqrt(size * fill_price / 1e9) * 1e4), 0)', 'avg_slippage_bps')}, CASE WHEN count(*) FILTER (status = 'filled') > 0 THEN 100.0 ELSE 0.0 END AS maker_ratio FROM fl GROUP BY symbol")
+_COST = "price * qty * CASE WHEN is_buyer_maker THEN 2.0 ELSE 5.0 END / 1e4"
+_SLIP = "0.02 * sqrt(price * qty / 1e9) * price * qty"
+register("e06_transaction_costs", lambda t: t.withColumn("c", sim.transaction_cost(F.col("quote_qty"), F.when(F.col("is_buyer_maker"), "maker").otherwise("taker"), F.col("qty") / 1000, F.col("qty") / 100)).select("id", "c.*"), f"SELECT id, {_r(_COST, 'exchange_fee', 7)}, {_r('qty / 100', 'funding_cost', 7)}, {_r('qty / 2000 * price * qty', 'spread_cost', 7)}, {_r(_SLIP, 'slippage', 7)}, {_r(f'0.1 * {_SLIP}', 'market_impact', 7)}, {_r(f'{_COST} + qty / 100 + qty / 2000 * price * qty + 1.1 * {_SLIP}', 'total', 7)}, {_r('price * qty', 'notional', 7)}, {_r(f'({_COST} + qty / 100 + qty / 2000 * price * qty + 1.1 * {_SLIP}) / (price * qty) * 1e4', 'total_bps', 7)} FROM tape", 7)
 
 
 def _far(bars):
     """Signals whose price barriers are so far off that most positions are held to their time barrier."""
-    close = (F.col("sl_price") + F.col("pt_price")) / 2
-    return _signals(bars).withColumn("close", close).withColumn("sl_price", F.col("close") * (1 - 20 * F.col("side"))).withColumn("pt_price", F.col("close") * (1 + 20 * F.col("side"))).drop("close")
+    return _signals(bars, 20)
 
 
 def _wide(sql):
@@ -178,7 +182,7 @@ def _held(t):
     return sim.exposure(sim.positions(_far(b), b), b)
 
 
-_TAKEN = _SIG.replace("FROM bars WHERE bar_idx % 7 = 3)", "FROM bars WHERE bar_idx % 7 = 3 AND ('0x' || substr(md5('42:' || symbol || ':' || bar_idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE < power(bar_idx % 5 / 10.0::DOUBLE + 0.6, 2))")
+_TAKEN = _SIG.replace("close FROM bars)", "close FROM bars WHERE ('0x' || substr(md5('42:' || symbol || ':' || bar_idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE < power(bar_idx % 5 / 10.0::DOUBLE + 0.6, 2))")
 _REAL = _EXP.replace(_SIG, _TAKEN) + """, fu AS (SELECT h.symbol, h.leave AS bar_idx, sum((x.timestamp // 28800000 - g.timestamp // 28800000) * 1e-4 * h.side * abs(h.size * CASE WHEN (h.side > 0 AND x.low <= g.close * (1 - 0.6 * h.side)) OR (h.side < 0 AND x.high >= g.close * (1 - 0.6 * h.side)) THEN g.close * (1 - 0.6 * h.side) WHEN (h.side > 0 AND x.high >= g.close * (1 + 0.6 * h.side)) OR (h.side < 0 AND x.low <= g.close * (1 + 0.6 * h.side)) THEN g.close * (1 + 0.6 * h.side) ELSE x.close END)) AS funding FROM held h JOIN sg g USING (symbol, signal_id) JOIN bars x ON x.symbol = h.symbol AND x.bar_idx = h.leave WHERE x.timestamp > g.timestamp GROUP BY ALL),
 st AS (SELECT ep.symbol, ep.bar_idx, ep.exposure, coalesce(fu.funding, 0.0) AS due, coalesce(lag(exposure) OVER o, 0.0) AS before, coalesce(close / lag(close) OVER o - 1, 0.0) AS ret FROM ep LEFT JOIN fu USING (symbol, bar_idx) WINDOW o AS (PARTITION BY ep.symbol ORDER BY ep.bar_idx)),
 wk(symbol, bar_idx, equity) AS (SELECT DISTINCT symbol, -1::BIGINT, 10000.0::DOUBLE FROM st UNION ALL SELECT s.symbol, s.bar_idx, e - CASE WHEN abs(s.exposure - s.before) > 1e-9 THEN abs(s.exposure - s.before) * abs(e) * (3e-4 + 1.1 * 0.02 * sqrt(abs(s.exposure - s.before) * abs(e) / 1e9)) ELSE 0 END FROM (SELECT st.*, (wk.equity - st.due) * (1 + st.before * st.ret) AS e FROM wk JOIN st ON st.symbol = wk.symbol AND st.bar_idx = wk.bar_idx + 1) s)"""
@@ -187,26 +191,107 @@ register("t05_exposure_changes", lambda t: live.changes(_held(t)).select("symbol
 register("t03_last_bars", lambda t: live.last_bars(six_hours(t)).where(F.col("all_bars") >= live.LEAST).select("symbol", "bar_idx", "timestamp", "close"), f", n AS (SELECT symbol, timestamp, close, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC) AS k FROM bars QUALIFY k <= 100), m AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM n) SELECT symbol, n - k AS bar_idx, timestamp, {_r('close', 'close')} FROM m WHERE n >= 25")
 register("m06_label_spans", lambda t: six_hours(t).select("symbol", "bar_idx", *(F.least(F.col("bar_idx") + n, F.max("bar_idx").over(W.partitionBy("symbol"))).alias(k) for k, n in learning.SPANS.items())), ", m AS (SELECT symbol, bar_idx, max(bar_idx) OVER (PARTITION BY symbol) AS e FROM bars) SELECT symbol, bar_idx, " + ", ".join(f"least(bar_idx + {n}, e) AS {k}" for k, n in learning.SPANS.items()) + " FROM m")
 
-_SMALL = {"maxIter": 4, "maxDepth": 3, "minInstancesPerNode": 5, "subsamplingRate": 1.0}
-_NAMES = ("rogers_satchell_vol", "garman_klass_vol", "returns_variance", "returns_autocorr", "amihud_lambda", "vpin")
+
+def _mixed(bars):
+    """Signals of two labellings, of which one has no price barriers."""
+    return _signals(bars).withColumn("labeling_method", F.when(F.col("signal_id") % 3 == 0, "trend_scanning").otherwise("triple_barrier"))
+
+
+def _performance(t, start=None, end=None):
+    """Of the signals in a range of time, on the bars from the first of them to the last time barrier."""
+    b = six_hours(t)
+    s = src.in_range(_mixed(b), start, end, "timestamp")
+    return sim.simulate(s, sim.bars_of_signals(s, b), "simple")[1].drop("mode")
+
+
+def _performance_sql(start, end):
+    hit = "g.lab = 'triple_barrier' AND CASE WHEN g.side > 0 THEN {low} ELSE {high} END"
+    stop = hit.format(low="x.low <= g.close * (1 - 0.6 * g.side)", high="x.high >= g.close * (1 - 0.6 * g.side)")
+    take = hit.format(low="x.high >= g.close * (1 + 0.6 * g.side)", high="x.low <= g.close * (1 + 0.6 * g.side)")
+    return f""", sg AS (SELECT symbol, bar_idx AS signal_id, timestamp AS ts, timestamp + 172800000 AS tb, CASE WHEN bar_idx % 2 = 0 THEN 1 ELSE -1 END AS side, bar_idx % 10 / 10.0::DOUBLE + 0.1 AS size, close, CASE WHEN bar_idx % 3 = 0 THEN 'trend_scanning' ELSE 'triple_barrier' END AS lab FROM bars WHERE timestamp BETWEEN {start} AND {end}),
+lim AS (SELECT symbol, min(ts) AS lo, max(tb) AS hi FROM sg g GROUP BY symbol), x AS (SELECT bars.symbol, bars.timestamp, bars.low, bars.high, bars.close AS px, row_number() OVER (PARTITION BY bars.symbol ORDER BY bars.timestamp) - 1 AS k FROM bars JOIN lim ON lim.symbol = bars.symbol AND bars.timestamp BETWEEN lo AND hi),
+en AS (SELECT g.symbol, g.signal_id, min(x.k) AS enter FROM sg g JOIN x ON x.symbol = g.symbol AND x.timestamp >= g.ts GROUP BY ALL),
+ex AS (SELECT g.symbol, g.signal_id, min(x.k) AS leave FROM sg g JOIN en USING (symbol, signal_id) JOIN x ON x.symbol = g.symbol AND x.k >= en.enter AND (x.timestamp >= g.tb OR ({stop}) OR ({take})) GROUP BY ALL),
+hd AS (SELECT g.symbol, g.signal_id, g.side, g.size, en.enter, ex.leave FROM sg g JOIN en USING (symbol, signal_id) LEFT JOIN ex USING (symbol, signal_id)),
+ep AS (SELECT x.symbol, x.k, x.timestamp, x.px, CASE WHEN count(hd.side) > 0 THEN greatest(-1, least(1, avg(hd.side * hd.size))) ELSE 0.0 END AS e FROM x LEFT JOIN hd ON hd.symbol = x.symbol AND x.k >= hd.enter AND (hd.leave IS NULL OR x.k < hd.leave) GROUP BY ALL),
+fa AS (SELECT *, (1 + coalesce(lag(e) OVER o, 0) * coalesce(px / lag(px) OVER o - 1, 0)) * (1 - CASE WHEN abs(e - coalesce(lag(e) OVER o, 0)) > 1e-9 THEN abs(e - coalesce(lag(e) OVER o, 0)) * 0.001 ELSE 0 END) AS f FROM ep WINDOW o AS (PARTITION BY symbol ORDER BY k)),
+eq AS (SELECT *, 10000 * exp(sum(CASE WHEN f > 0 THEN ln(f) END) OVER (PARTITION BY symbol ORDER BY k)) AS q FROM fa), dd AS (SELECT *, round(q, 2) AS q2, round(q / greatest(10000, max(q) OVER (PARTITION BY symbol ORDER BY k)) - 1, 6) AS d FROM eq), rt AS (SELECT *, q2 / lag(q2) OVER (PARTITION BY symbol ORDER BY k) - 1 AS rr FROM dd),
+st AS (SELECT symbol, CASE WHEN stddev_pop(rr) > 0 THEN avg(rr) / stddev_pop(rr) * sqrt(31557600000.0 / ((max(timestamp) - min(timestamp)) / (count(*) - 1))) ELSE 0 END AS sharpe, min(d) * 100 AS dd, (arg_max(q2, k) - 10000) / 100 AS ret FROM rt GROUP BY symbol),
+cl AS (SELECT g.symbol, g.side * (CASE WHEN {stop} THEN g.close * (1 - 0.6 * g.side) WHEN {take} THEN g.close * (1 + 0.6 * g.side) ELSE x.px END - f.px) / f.px AS ret FROM sg g JOIN hd USING (symbol, signal_id) JOIN x ON x.symbol = g.symbol AND x.k = hd.leave JOIN x f ON f.symbol = g.symbol AND f.k = hd.enter), cn AS (SELECT symbol, count(*) AS n, count(*) FILTER (ret > 0) / count(*) * 100 AS won FROM cl GROUP BY symbol)
+SELECT st.symbol, {_r("round(sharpe, 2)", "sharpe")}, {_r("round(dd, 2)", "max_dd")}, {_r("round(st.ret, 2)", "total_return")}, {_r("round(coalesce(won, 0), 1)", "win_rate")}, coalesce(n, 0) AS num_trades FROM st LEFT JOIN cn USING (symbol)"""
+
+
+register("e05_performance", _performance, _performance_sql(0, 9_000_000_000_000))
+register("q08_equity_of_range", lambda t: _performance(t, 1_704_500_000_000, 1_705_500_000_000), _performance_sql(1_704_500_000_000, 1_705_500_000_000))
+
+
+def _both_modes(t):
+    b = six_hours(t)
+    curves, _ = sim.simulate(_mixed(b).withColumn("meta_probability", F.col("signal_id") % 5 / 10.0 + 0.6), b, "both")
+    return curves.groupBy("mode", "symbol").agg(F.count("*").alias("n_bars"))
+
+
+register("e04_modes", _both_modes, " SELECT mode, symbol, count(*) AS n_bars FROM bars CROSS JOIN (SELECT unnest(['simple', 'realistic']) AS mode) GROUP BY ALL")
+
+
+def _averaged_bets(t):
+    b = six_hours(t).select("symbol", "bar_idx", F.col("timestamp").alias("time"))
+    spans = b.select("symbol", F.col("time").alias("start"), (F.col("time") + F.col("bar_idx") % 5 * 21_600_000).alias("end"))
+    return ol.concurrency(b, spans).select("symbol", "bar_idx", "n_open", ol.bet_sizes(F.col("bar_idx") % 11 / 20.0 + 0.5, F.col("n_open")).alias("size"))
+
+
+_LEVEL = "list_min(list_transform(range(11), lambda i: {d: abs(z - i / 10.0), v: i / 10.0})).v"
+register("m08_averaged_bets", _averaged_bets, f", sp AS (SELECT symbol, timestamp AS a, timestamp + bar_idx % 5 * 21600000 AS e FROM bars), op AS (SELECT bars.symbol, bars.bar_idx, greatest(count(sp.a), 1) AS n_open FROM bars LEFT JOIN sp ON sp.symbol = bars.symbol AND bars.timestamp BETWEEN sp.a AND sp.e GROUP BY ALL), z AS (SELECT *, least(greatest(2 * (bar_idx % 11 / 20.0::DOUBLE + 0.5) - 1, 0), 1) / n_open AS z FROM op) SELECT symbol, bar_idx, n_open, {_r(_LEVEL, 'size')} FROM z")
+
+# the fractional difference at the least order, from the parts of f15_least_d
+_F15, _F15_END = ORACLES["f15_least_d"].rsplit(" SELECT s.symbol", 1)
+_FFD_SQL = f"{_F15}, md AS (SELECT s.symbol{_F15_END}), fd AS (SELECT bars.symbol, bars.bar_idx, md.min_d AS ffd_d, df.v FROM bars JOIN md USING (symbol) LEFT JOIN df ON df.symbol = bars.symbol AND df.bar_idx = bars.bar_idx AND abs(df.o - md.min_d) < 1e-9), fv AS (SELECT *, v - lag(v) {_O} AS v1 FROM fd) SELECT symbol, bar_idx, {_r('v', 'ffd_close')}, ffd_d, {_r('v1', 'price_velocity')}, {_r(f'v1 - lag(v1) {_O}', 'price_acceleration')} FROM fv"
+register("f16_differenced", lambda t: table.differenced(six_hours(t)), _FFD_SQL)
+
+
+def _feature_table(t):
+    """All features; the values whose last digits the summation's order decides are set to null or scaled as in their own queries."""
+    w = F.dense_rank().over(W.partitionBy("symbol").orderBy(F.floor(F.col("time") / 21_600_000))) - 1
+    f = table.all_features(six_hours(t), t.withColumn("bar_idx", w.cast("long")))
+    spread = F.col("spread_variance") > 1e-9
+    f = f.withColumn("duration_variance", F.col("duration_variance") / 1e12).withColumn("spread_skew", F.when(spread, F.col("spread_skew"))).withColumn("spread_kurtosis", F.when(spread, F.col("spread_kurtosis")))
+    return f.select("symbol", "bar_idx", *table.names(True))
+
+
+_FLOW = f", im AS (SELECT symbol, time, id, sum(CASE WHEN is_buyer_maker THEN qty ELSE -qty END) OVER w / sum(qty) OVER w AS x, avg(CASE WHEN is_buyer_maker THEN -1.0 ELSE 1.0 END) OVER w AS y FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY time, id ROWS 19 PRECEDING)), k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time // 21600000) - 1 AS bar_idx, arg_max(x, (time, id)) AS x, arg_max(y, (time, id)) AS y FROM im GROUP BY symbol, time // 21600000) SELECT bars.symbol, bars.bar_idx, {_r('bars.dollar_volume', 'dollar_volume')}, bars.duration_us, {_r('k.x', 'order_book_imbalance')}, {_r('k.y', 'trade_flow_imbalance')} FROM bars LEFT JOIN k USING (symbol, bar_idx)"
+_PARTS = ("f16_differenced", "f10_returns", "f25_entropies", "f27_lempel_ziv", "f28_rolling_kontoyiannis", "f19_recursive_cusum", "f20_breaks", "f21_unit_root_frames", "f34_encoded_entropies", *_SQL, "f06_vol_velocity", "f06_vol_acceleration", "f07_volume_and_duration", "f39_spreads", "f43_spread_moments", "f43_spread_shape", "f44_calendar")
+#: Digits that the parts' own queries keep, where they are not 6.
+_DIGITS = {
+    **{n.split("_", 1)[1]: 5 for n in _SQL}, **{c: 5 for c in ("bde_cusum", "chow_type_df", "rolling_sadf", "volume_variance", "volume_skew", "spread_skew")}, "spread_skew": 4, "spread_kurtosis": 4,
+    **{c: 4 for c in ("log_dollar_volume", "log_duration", "volume_velocity", "volume_acceleration", "duration_velocity", "duration_acceleration", "volume_kurtosis", "duration_variance", "duration_skew", "duration_kurtosis", "log_price_skew", "log_price_kurtosis")},
+}
+
+
+_RENAME = ", ".join(f"{a} AS {b}" for a, b in table.NAMES.items())
+_JOINED = " ".join(f"LEFT JOIN ({ORACLES[n]}) p{i} USING (symbol, bar_idx)" for i, n in enumerate(_PARTS, 1))
+register("u03_all_features", _feature_table, f"WITH p0 AS ({_CTE + _FLOW}) SELECT * RENAME ({_RENAME}) FROM p0 {_JOINED}", _DIGITS)
 
 
 def _labelled(t):
     b = ur.decayed_volatility(six_hours(t))
-    return b, ol.triple_barrier(b, hold=10, stop=0.5, take=2.0)
+    return b, _barriers(b)
+
+
+def _barriers(b):
+    return ol.triple_barrier(b if "vol" in b.columns else ur.decayed_volatility(b), hold=10, stop=0.5, take=2.0)
 
 
 def _trained(t):
-    """Signals of models trained on the whole tape."""
+    """Signals of models trained on the whole tape, with all features."""
     b, labels = _labelled(t)
-    return learning.signals(learning.train(b, labels, _NAMES, hold=10, folds=2, params=_SMALL), b)
+    return learning.signals(learning.train(b, labels, table.names(), hold=10), b, averaged=True)
 
 
 def _walked(t):
-    b, labels = _labelled(t)
     span = t.agg(F.min("time").alias("start"), F.max("time").alias("end")).where("start is not null")
-    out = learning.walk_forward(b, labels, _NAMES, wf.boundaries(span, 10, 5, 5), _SMALL)
-    return wf.bootstrap(out.withColumn("run", F.lit("tape")))
+    hours = lambda rows: ob.time_bars(rows, "1h")
+    measured = learning.walk_forward(t, wf.boundaries(span, 14, 5, 5), hours, _barriers, table.names(), hold=10)
+    return wf.bootstrap(measured.withColumn("run", F.lit("tape")))
 
 
 register("m05_trained_signals", _trained)
