@@ -90,12 +90,21 @@ def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int =
     return b.withColumnsRenamed(NAMES)
 
 
+_ENTROPIES = [f"entropy_{e}_{m}" for e in en.ENCODERS for m in ("shannon", "redundancy", "mi", "nvi", "kontoyiannis")]
+# The features in the order of stored models, by family.
+_FAMILIES = (
+    "ffd_close ffd_d price_velocity price_acceleration returns returns_abs rolling_shannon_entropy rolling_plugin_entropy rolling_lempel_ziv rolling_kontoyiannis_entropy",
+    "bde_cusum csw_cusum chow_type_df rolling_sadf martingale_poly_t martingale_exp_t martingale_power_t",
+    " ".join(_ENTROPIES),
+    "rogers_satchell_vol garman_klass_vol yang_zhang_vol realized_volatility bipower_variation vol_velocity vol_acceleration",
+    "dollar_volume log_dollar_volume duration_us log_duration volume_velocity volume_acceleration volume_variance volume_skew volume_kurtosis duration_velocity duration_acceleration duration_variance duration_skew duration_kurtosis",
+    "log_price_std log_price_skew log_price_kurtosis",
+    "amihud_lambda roll_spread corwin_schultz_spread tick_rule hasbrouck_lambda vpin spread_variance spread_skew spread_kurtosis",
+    "hour_sin hour_cos dow_sin dow_cos dom month_sin month_cos",
+    "returns_variance returns_skew returns_kurtosis returns_autocorr",
+)
+
+
 def names(with_trade_features: bool = False) -> list[str]:
-    """The features of all_features, in its order."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    kinds = {"symbol": "string", "bar_idx": "long", "timestamp": "long", "tick_count": "long", "duration_us": "long"}
-    empty = spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in BAR))
-    tape = spark.createDataFrame([], "symbol string, bar_idx long, id long, time long, qty double, is_buyer_maker boolean") if with_trade_features else None
-    return [c for c in all_features(empty, tape).columns if c not in BAR or c in ("dollar_volume", "duration_us")]
+    """The features of all_features."""
+    return [n for family in _FAMILIES for n in family.split()] + ["order_book_imbalance", "trade_flow_imbalance"] * with_trade_features

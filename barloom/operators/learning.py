@@ -23,8 +23,8 @@ from barloom.operators import simulation as sim
 
 #: Bars that a label looks ahead, by labelling.
 SPANS = {"triple_barrier": 50, "trend_scanning": 80, "directional_change": 50}
-PRIMARY = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "seed": 42}
-META = {**PRIMARY, "maxIter": 30, "maxDepth": 4, "minInstancesPerNode": 30}
+PRIMARY = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "seed": 42}
+META = {**PRIMARY, "maxIter": 15, "maxDepth": 3, "minInstancesPerNode": 30}
 KEYS = ("symbol", "bar_idx", "timestamp")
 
 

@@ -95,7 +95,7 @@ def positions(signals: DataFrame, bars: DataFrame) -> DataFrame:
     last = F.max("bar_idx").over(W.partitionBy("symbol"))
     b = bars.select("symbol", "bar_idx", "low", "high", F.floor(F.col("bar_idx") / BLOCK).alias("block"), last.alias("last"))
     blocks = b.groupBy("symbol", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
-    timed = timed.withColumn("until", F.when(F.col("time").isNotNull(), F.greatest("at", "enter"))).drop("time", "at")
+    timed = timed.withColumn("until", F.when(F.col("at").isNotNull(), F.greatest("at", "enter"))).drop("time", "at")
     over = F.when(F.col("side") > 0, (F.col("low") <= F.col("sl_price")) | (F.col("high") >= F.col("pt_price"))).otherwise((F.col("high") >= F.col("sl_price")) | (F.col("low") <= F.col("pt_price")))
     ends = bars.groupBy("symbol").agg(F.max("bar_idx").alias("last"))
     barred = timed.where("sl_price is not null or pt_price is not null").join(ends, "symbol").withColumn("end", F.coalesce("until", "last"))

@@ -129,7 +129,7 @@ register("f25_entropies", lambda t: fr.entropies(six_hours(t)).drop("rolling_lem
 # the parse as a recursion: phrases so far, where this one starts and how long it is
 register("f27_lempel_ziv", lambda t: fr.entropies(six_hours(t)).select("symbol", "bar_idx", "rolling_lempel_ziv"), f"""WITH RECURSIVE {_CTE[5:].rstrip()}, fr AS (SELECT symbol, bar_idx, list(r) FILTER (r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 19 PRECEDING) AS v FROM b),
 tx AS (SELECT symbol, bar_idx, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS t FROM fr WHERE len(v) >= 5),
-lz(symbol, bar_idx, t, c, pos, size) AS (SELECT symbol, bar_idx, t, 1, 1, 1 FROM tx UNION ALL SELECT symbol, bar_idx, t, CASE WHEN seen THEN c ELSE c + 1 END, CASE WHEN seen THEN pos ELSE pos + size END, CASE WHEN seen THEN size + 1 ELSE 1 END FROM (SELECT *, contains(substr(t, 1, pos + size - 1), substr(t, pos + 1, size)) AS seen FROM lz WHERE pos + size <= length(t)) y)
+lz(symbol, bar_idx, t, c, pos, size) AS (SELECT symbol, bar_idx, t, 1, 0, 1 FROM tx UNION ALL SELECT symbol, bar_idx, t, CASE WHEN seen THEN c ELSE c + 1 END, CASE WHEN seen THEN pos ELSE pos + size END, CASE WHEN seen THEN size + 1 ELSE 1 END FROM (SELECT *, contains(substr(t, 1, pos + size - 1), substr(t, pos + 1, size)) AS seen FROM lz WHERE pos + size <= length(t)) y)
 SELECT bars.symbol, bars.bar_idx, {_r("e.v", "rolling_lempel_ziv")} FROM bars LEFT JOIN (SELECT symbol, bar_idx, max(c) / (length(t) / log2(length(t))) AS v FROM lz GROUP BY symbol, bar_idx, t) e USING (symbol, bar_idx)""")
 _K = 3 - 2 * 2**0.5
 _CS = f"with_one AS (SELECT *, ln(high / low) ** 2 + ln(lag(high) {_O} / lag(low) {_O}) ** 2 AS one, ln(greatest(high, lag(high) {_O}) / least(low, lag(low) {_O})) ** 2 AS two, CASE WHEN close > prev THEN 1.0 WHEN close < prev THEN -1.0 END AS move FROM b), al AS (SELECT *, CASE WHEN bar_idx > 0 THEN (sqrt(2 * one) - sqrt(one)) / {_K!r} - sqrt(two / {_K!r}) END AS a, coalesce(last_value(move IGNORE NULLS) {_O}, 1.0) AS way FROM with_one)"
