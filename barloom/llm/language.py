@@ -38,10 +38,50 @@ _CLEAN = LOWER.copy()
 _CLEAN[:65] = 32
 _CLEAN[91:97] = 32
 _CLEAN[123:128] = 32
-_HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
+_ENTITY = re.compile(rb"&#?\w{1,32};")
+_NAME = re.compile(rb"<(script|style)\b", re.I)
+_END = {name: re.compile(rb"</" + name + rb"\s*>", re.I) for name in (b"script", b"style")}
 _DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 
 
+def visible(page: bytes) -> bytes:
+    """The text of a page: without tags, comments, scripts, styles and entities, each a space.
+
+    One pass forward: where something is never closed, that is found once and
+    remembered, so broken pages take no longer than whole ones. What is not closed
+    is text but for its bracket.
+    """
+    out, at, unclosed = [], 0, set()
+
+    def close(kind, find, start):
+        if kind in unclosed:
+            return -1
+        end = find(start)
+        if end < 0:
+            unclosed.add(kind)
+        return end
+
+    while (low := page.find(b"<", at)) >= 0:
+        out.append(page[at:low])
+        end, m = -1, _NAME.match(page, low)
+        if m:
+            name = m[1].lower()
+
+            def after(start, name=name):
+                x = _END[name].search(page, start)
+                return x.end() if x else -1
+
+            end = close(name, after, m.end())
+        elif page.startswith(b"<!--", low):
+            end = close(b"-->", lambda start: page.find(b"-->", start) + 3 if page.find(b"-->", start) >= 0 else -1, low + 4)
+        if end < 0:
+            end = close(b">", lambda start: page.find(b">", start) + 1 or -1, low + 1)
+        at = end if end >= 0 else low + 1
+        out.append(b" ")
+    out.append(page[at:])
+    return _ENTITY.sub(b" ", b"".join(out))
+
+
 def trigram_buckets(data: np.ndarray, at: np.ndarray):
     """Bucket of the trigram at each byte, and whether it lies in its text and has a letter in the middle."""
     clean = _CLEAN[data].astype(np.uint32)
@@ -94,7 +134,7 @@ def read_pages(pages: DataFrame, langs: list[str], logs: np.ndarray, id_col: str
                     page = raw[at[x] : at[x + 1]]
                     m = _DECLARED.search(page)
                     declared.append(m[1].decode().lower() if m else "")
-                    bare.append(_HIDDEN.sub(b" ", page).decode("utf-8", "ignore"))
+                    bare.append(visible(page).decode("utf-8", "ignore"))
             out = np.zeros((b.num_rows, k))
             for i, j, data, at in slabs(pa.array(bare, pa.string())):
                 bucket, ok, _ = trigram_buckets(data, at)

@@ -7,9 +7,9 @@
    slot has a value below rank j no element can lower it at rank j, and the rest
    is skipped.
 2. Rows with equal sets are one node, whatever their ids. Nodes that agree in
-   one of ``BANDS`` bands of ``ROWS`` slots share a bucket (a pair of similarity
-   0.85 misses every one with probability below 1e-6), and buckets that share
-   nodes share a cluster.
+   one band of ``ROWS`` slots share a bucket; there are as many bands as it takes
+   for a pair at the threshold to miss every one with probability below ``MISS``,
+   and buckets that share nodes share a cluster.
 3. In a cluster all nodes are verified against each other on their full sets.
    A large cluster is cut into blocks and every two blocks meet in one task, so
    no task holds more than two blocks; a task returns only the links of a
@@ -22,6 +22,8 @@ are linked by their texts alone; other columns are not read; an empty table give
 an empty result.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,8 +35,7 @@ from .components import UnionFind, components
 from .tables import written
 from .textbytes import GOLD, LOWER, distinct, mix, shingles, slabs, span_hash, text_column, words
 
-BANDS, ROWS = 32, 6
-SLOTS = BANDS * ROWS
+ROWS, MISS = 6, 1e-6
 #: Of a block of a cluster: documents, and shingles together.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 EMPTY = np.uint64(2**64 - 1)
@@ -48,38 +49,44 @@ def shingle_sets(column, k: int):
         yield i, j, *distinct(*shingles(span_hash(low, starts, ends), first, k))
 
 
-def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SuperMinHash of each set: SLOTS values, the rank in the upper half and the random number in the lower."""
+def band_count(percent: int) -> int:
+    """Bands for a threshold: 30 at 85 percent, 46 at 80."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+def signatures(sets: np.ndarray, at: np.ndarray, slots: int) -> np.ndarray:
+    """SuperMinHash of each set: `slots` values, the rank in the upper half and the random number in the lower."""
     n = len(at) - 1
-    out = np.full(n * SLOTS, EMPTY, np.uint64)
+    out = np.full(n * slots, EMPTY, np.uint64)
     doc = np.repeat(np.arange(n), np.diff(at))
     element, row, order = sets, None, None
-    for j in range(SLOTS):
+    for j in range(slots):
         r = mix(element + np.uint64((j + 1) * int(GOLD) & (2**64 - 1)))
-        k = j + (((r & np.uint64(0xFFFFFFFF)) * np.uint64(SLOTS - j)) >> np.uint64(32)).astype(np.int64)
+        k = j + (((r & np.uint64(0xFFFFFFFF)) * np.uint64(slots - j)) >> np.uint64(32)).astype(np.int64)
         if order is None:
             slot = k
         else:
             slot = order[row, k].astype(np.int64)
             order[row, k] = order[row, j]
-        np.minimum.at(out, doc * SLOTS + slot, np.uint64(j) << np.uint64(32) | r >> np.uint64(32))
-        going = (out.reshape(n, SLOTS).max(1) >= np.uint64(j + 1) << np.uint64(32)) & (np.diff(at) > 0)
+        np.minimum.at(out, doc * slots + slot, np.uint64(j) << np.uint64(32) | r >> np.uint64(32))
+        going = (out.reshape(n, slots).max(1) >= np.uint64(j + 1) << np.uint64(32)) & (np.diff(at) > 0)
         take = going[doc]
         if not take.any():
             break
         if order is None:
-            order = np.tile(np.arange(SLOTS, dtype=np.uint8), (int(take.sum()), 1))
+            order = np.tile(np.arange(slots, dtype=np.uint16), (int(take.sum()), 1))
             row = np.arange(len(order))
             order[row, k[take]] = 0
         elif not take.all():
             row = row[take]
         element, doc = element[take], doc[take]
-    return out.reshape(n, SLOTS)
+    return out.reshape(n, slots)
 
 
 def bands(signature: np.ndarray) -> np.ndarray:
-    """BANDS keys of each signature, each of its own range of slots."""
-    parts, key = signature.reshape(-1, BANDS, ROWS), np.arange(BANDS, dtype=np.uint64) * GOLD
+    """Keys of each signature, each of its own range of ROWS slots."""
+    n = signature.shape[1] // ROWS
+    parts, key = signature.reshape(-1, n, ROWS), np.arange(n, dtype=np.uint64) * GOLD
     for i in range(ROWS):
         key = mix(key + parts[:, :, i])
     return key.view(np.int64)
@@ -94,8 +101,9 @@ def _row(docs: DataFrame, id_col: str, text_col: str) -> list:
     return [c.alias(n) for c, n in zip((i.isNull(), F.coalesce(i, F.lit(0).cast(docs.schema[id_col].dataType)), F.xxhash64(text_col)), ROW)]
 
 
-def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketch(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row_text, n_shingles, set_a, set_b, bands) of each row; set_a and set_b name the set."""
+    n_bands = band_count(percent)
 
     def run(batches):
         for b in batches:
@@ -104,9 +112,9 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
                 size = np.diff(at)
                 total = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum([mix(sets), mix(sets ^ GOLD)], axis=1, dtype=np.uint64)], axis=1)
                 a, c = (total[:, at[1:]] - total[:, at[:-1]]).view(np.int64)
-                key = bands(signatures(sets, at))
+                key = bands(signatures(sets, at, n_bands * ROWS))
                 full = np.flatnonzero(size > 0)
-                edges = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
+                edges = np.concatenate([[0], np.cumsum((size > 0) * n_bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), marks.slice(i, j - i), pa.array(size), pa.array(a), pa.array(c), pa.ListArray.from_arrays(pa.array(edges), pa.array(key[full].ravel()))], names=["id", "row_text", "n_shingles", "set_a", "set_b", "bands"])
 
     return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, row_text long, n_shingles long, set_a long, set_b long, bands array<long>")
@@ -171,7 +179,7 @@ def _verified(frames, k: int, percent: int):
 
 def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, and (node, n_shingles, set_a, set_b, first, component, lowest) of each set: its first row, and of the sets linked with it the name and the first row."""
-    sketched = written(sketch(docs, k, id_col, text_col))
+    sketched = written(sketch(docs, k, percent, id_col, text_col))
     none = F.col("id").isNull()
     row = F.struct(none.alias("no_id"), F.coalesce("id", F.lit(0).cast(sketched.schema["id"].dataType)).alias("row_id"), "row_text")
     sets = sketched.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min(row).alias("first"), F.first("bands").alias("bands"))
@@ -219,12 +227,15 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     Of rows that repeat both id and text the first by the other columns stays.
     """
     sketched, named = _found(docs, k, percent, id_col, text_col)
-    one = named.groupBy("component").agg(F.min("first").alias("row")).select("row.*", F.lit(True).alias("_one"))
-    every = sketched.where("n_shingles = 0").select(*_row(sketched, "id", "id")[:2], "row_text").distinct().withColumn("_one", F.lit(False))
-    stay = one.unionByName(every).select(*(F.col(c).alias("_" + c) for c in ROW), "_one")
-    keys = ["_" + c for c in ROW]
-    rows = docs.select("*", *(c.alias(n) for c, n in zip(_row(docs, id_col, text_col), keys)))
-    plain = [f.name for f in docs.schema if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant")]
-    place = F.row_number().over(W.partitionBy(*keys).orderBy(*(F.col(f"`{c}`") for c in plain or keys[:1])))
-    out = rows.join(stay.hint("merge"), keys).withColumn("_place", place).where("not _one or _place = 1")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    one = named.groupBy("component").agg(F.min("first").alias("row")).select("row.*", F.lit(True).alias("one"))
+    every = sketched.where("n_shingles = 0").select(*_row(sketched, "id", "id")[:2], "row_text").distinct().withColumn("one", F.lit(False))
+    stay = one.unionByName(every).select(*ROW, "one")
+    # own names for all columns, so that none of the table's can clash
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    rows = plain.select("*", *_row(plain, key, text))
+    others = [n for n, f in zip(names, docs.schema.fields) if n not in (key, text) and f.dataType.typeName() not in ("map", "variant")]
+    place = F.row_number().over(W.partitionBy(*ROW).orderBy(*(others or ROW[:1])))
+    out = rows.join(stay.hint("merge"), list(ROW)).withColumn("place", place).where("not one or place = 1")
+    return out.select(*names).toDF(*docs.columns)

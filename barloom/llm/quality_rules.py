@@ -31,15 +31,15 @@ _LETTER[97:123] = True
 
 #: Measurements of a document, all long.
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
-#: Rules in bit order: name, and the SQL condition over measurements under which a document fails.
+#: Rules in bit order: name, and when a document fails, of its measurements as columns or as numpy arrays.
 RULES = (
-    ("few_words", "n_words < 50"),
-    ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "100 * n_symbols > 15 * n_words"),
-    ("duplicate_lines", "n_lines >= 4 and 100 * n_dup_lines > 50 * n_lines"),
-    ("capitals", "n_letters >= 100 and 100 * n_upper > 45 * n_letters"),
-    ("long_words", "word_chars > 25 * n_words"),
-    ("short_words", "n_words > 0 and word_chars < 2 * n_words"),
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: 100 * m["n_symbols"] > 15 * m["n_words"]),
+    ("duplicate_lines", lambda m: (m["n_lines"] >= 4) & (100 * m["n_dup_lines"] > 50 * m["n_lines"])),
+    ("capitals", lambda m: (m["n_letters"] >= 100) & (100 * m["n_upper"] > 45 * m["n_letters"])),
+    ("long_words", lambda m: m["word_chars"] > 25 * m["n_words"]),
+    ("short_words", lambda m: (m["n_words"] > 0) & (m["word_chars"] < 2 * m["n_words"])),
 )
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_words"]
@@ -96,7 +96,7 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements and ``fail_bits``, the rules each document failed."""
-    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES))
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(rule({k: F.col(k) for k in MEASURES}), F.lit(BIT[name])).otherwise(F.lit(0)) for name, rule in RULES))
     return measurements(docs, id_col, text_col).withColumn("fail_bits", bits.cast("long"))
 
 
@@ -128,21 +128,8 @@ def filter_documents(docs: DataFrame, version: str = CURRENT, text_col: str = "t
     def run(batches):
         for b in batches:
             m = measure(b.column(b.schema.get_field_index(text_col)))
-            bits = sum(np.where(_fails(name, m), BIT[name], 0) for name, _ in RULES)
+            bits = sum(np.where(rule(m), BIT[name], 0) for name, rule in RULES)
             yield b.filter(pa.array((bits & mask) == 0))
 
     return docs.mapInArrow(run, docs.schema)
 
-
-def _fails(name: str, m: dict[str, np.ndarray]) -> np.ndarray:
-    """RULES in numpy, for filtering in one pass; a test holds both forms against each other."""
-    w = m["n_words"]
-    return {
-        "few_words": w < 50,
-        "repeated_words": 100 * m["n_repeat_words"] > 50 * w,
-        "symbols": 100 * m["n_symbols"] > 15 * w,
-        "duplicate_lines": (m["n_lines"] >= 4) & (100 * m["n_dup_lines"] > 50 * m["n_lines"]),
-        "capitals": (m["n_letters"] >= 100) & (100 * m["n_upper"] > 45 * m["n_letters"]),
-        "long_words": m["word_chars"] > 25 * w,
-        "short_words": (w > 0) & (m["word_chars"] < 2 * w),
-    }[name]
