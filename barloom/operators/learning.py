@@ -20,6 +20,7 @@ from barloom.functions import features as ft
 from barloom.functions.table import all_features
 from barloom.operators import labels as ol
 from barloom.operators import simulation as sim
+from barloom.sources.cut import cut
 
 #: Bars that a label looks ahead, by labelling.
 SPANS = {"triple_barrier": 50, "trend_scanning": 80, "directional_change": 50}
@@ -56,7 +57,8 @@ def matrix(bars: DataFrame, labels: DataFrame | None, names, window: int = 20) -
     f = f.select(*kept, *(F.last(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), True).over(past).alias(n) for n in names)).dropna(subset=list(names))
     if labels is None:
         return f
-    f = _numbered(f)
+    # the plan of all features is long: what trains on the rows does not carry it along
+    f = cut(_numbered(f))
     return f.join(ol.weights(f).select("symbol", "bar_idx", "weight"), ["symbol", "bar_idx"])
 
 
@@ -181,7 +183,7 @@ def signals(models: dict, bars: DataFrame, vol: str = "vol", horizon: int = 10,
     takes its place. averaged: sizes are divided by the signals open at their time.
     """
     names = models["features"]
-    m = with_side(models["primary"], matrix(bars, None, names))
+    m = with_side(models["primary"], cut(matrix(bars, None, names)))
     own = F.when(F.col("primary_side") == 1, F.col("p_long")).otherwise(1 - F.col("p_long"))
     m = _probability(models["meta"], m, "meta_probability") if models.get("meta") is not None else m.withColumn("meta_probability", own)
     s = m.select("symbol", "bar_idx", "timestamp", "primary_side", "meta_probability").join(bars.select("symbol", "bar_idx", "close", vol), ["symbol", "bar_idx"]).where(F.col("meta_probability") >= least_meta)

@@ -258,11 +258,11 @@ def _feature_table(t):
     return f.select("symbol", "bar_idx", *table.names(True))
 
 
-_FLOW = f", im AS (SELECT symbol, time, id, sum(CASE WHEN is_buyer_maker THEN qty ELSE -qty END) OVER w / sum(qty) OVER w AS x, avg(CASE WHEN is_buyer_maker THEN -1.0 ELSE 1.0 END) OVER w AS y FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY time, id ROWS 19 PRECEDING)), k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time // 21600000) - 1 AS bar_idx, arg_max(x, (time, id)) AS x, arg_max(y, (time, id)) AS y FROM im GROUP BY symbol, time // 21600000) SELECT bars.symbol, bars.bar_idx, {_r('bars.dollar_volume', 'dollar_volume')}, bars.duration_us, {_r('k.x', 'order_book_imbalance')}, {_r('k.y', 'trade_flow_imbalance')} FROM bars LEFT JOIN k USING (symbol, bar_idx)"
+_FLOW = f", im AS (SELECT symbol, time, id, sum(CASE WHEN is_buyer_maker THEN qty ELSE -qty END) OVER w / sum(qty) OVER w AS x, avg(CASE WHEN is_buyer_maker THEN -1.0 ELSE 1.0 END) OVER w AS y FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY time, id ROWS 19 PRECEDING)), k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time // 21600000) - 1 AS bar_idx, arg_max(x, (time, id)) AS x, arg_max(y, (time, id)) AS y FROM im GROUP BY symbol, time // 21600000) SELECT bars.symbol, bars.bar_idx, {_r('bars.dollar_volume', 'dollar_volume')}, bars.duration_us, {_r('k.x', 'order_book_imbalance', 9)}, {_r('k.y', 'trade_flow_imbalance', 9)} FROM bars LEFT JOIN k USING (symbol, bar_idx)"
 _PARTS = ("f16_differenced", "f10_returns", "f25_entropies", "f27_lempel_ziv", "f28_rolling_kontoyiannis", "f19_recursive_cusum", "f20_breaks", "f21_unit_root_frames", "f34_encoded_entropies", *_SQL, "f06_vol_velocity", "f06_vol_acceleration", "f07_volume_and_duration", "f39_spreads", "f43_spread_moments", "f43_spread_shape", "f44_calendar")
 #: Digits that the parts' own queries keep, where they are not 6.
 _DIGITS = {
-    **{n.split("_", 1)[1]: 5 for n in _SQL}, **{c: 5 for c in ("bde_cusum", "chow_type_df", "rolling_sadf", "volume_variance", "volume_skew", "spread_skew")}, "spread_skew": 4, "spread_kurtosis": 4,
+    **{n.split("_", 1)[1]: 5 for n in _SQL}, **{c: 5 for c in ("bde_cusum", "chow_type_df", "rolling_sadf", "volume_variance", "volume_skew", "spread_skew")}, "spread_skew": 4, "spread_kurtosis": 4, "order_book_imbalance": 9, "trade_flow_imbalance": 9,
     **{c: 4 for c in ("log_dollar_volume", "log_duration", "volume_velocity", "volume_acceleration", "duration_velocity", "duration_acceleration", "volume_kurtosis", "duration_variance", "duration_skew", "duration_kurtosis", "log_price_skew", "log_price_kurtosis")},
 }
 
