@@ -228,12 +228,14 @@ def _each(texts: pa.Array, spans: pa.Array, length: int):
             yield int(at[k + 1] - at[k]), b"".join(keep), int(first[k + 1] - first[k])
 
 
-def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int = 200) -> DataFrame:
+def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", passage: int | None = None) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, n_passages) of each row of docs.
 
-    The last two are the bytes in repeated strings of `passage` bytes and their
-    runs: passages that are shorter than `length`, which stay in the text.
+    The last two are the bytes in repeated strings of `passage` bytes (200, or length
+    where that is less) and their runs: passages that are shorter than `length`,
+    which stay in the text.
     """
+    passage = passage or min(200, length)
     if not 32 <= passage <= length:
         raise ValueError("passage has to be between 32 bytes and length")
     rows = _rows(docs, id_col, text_col)

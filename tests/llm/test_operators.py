@@ -59,6 +59,61 @@ def test_bpe(docs, rows, none):
     assert collections.Counter((r.doc_id, bytes(r.bytes).decode()) for r in back) == collections.Counter((r[0], r[1] or "") for r in rows)
 
 
+def test_repeated_strings_of_400_bytes(spark):
+    rng = random.Random(5)
+    shared, doubled = prose(rng, 160), prose(rng, 90)[:390]
+    texts = [prose(rng, 60) + shared + prose(rng, 30), shared, shared[50:] + prose(rng, 80), prose(rng, 20) + doubled + prose(rng, 20), doubled + "x", "z" * 401, None, shared[100:499], "q" * 399]
+    times = collections.Counter(b[p : p + 400] for t in texts for b in [(t or "").encode()] for p in range(len(b) - 399))
+    want = {}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for p in range(len(b) - 399):
+            if times[b[p : p + 400]] > 1:
+                gone[p : p + 400] = True
+        want[i] = (int(gone.sum()), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest())
+    got = substring_dedup.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 400).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want and sum(x > 0 for x, _ in want.values()) == 4
+    assert {r.doc_id for r in got if r.n_passage_bytes > 0} == {0, 1, 2, 3, 4, 5, 7, 8}
+
+
+def test_long_pretokens_take_linear_time():
+    import time
+
+    ranks = bpe.read_ranks(RANKS)
+    v, rng = bpe.Vocabulary(ranks), random.Random(2)
+    enc = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    pieces = [b"a" * n for n in (1, 2, 3, 7, 100, 5001)] + [bytes(rng.choice(a) for _ in range(rng.randint(2, 400))) for a in (b"ab", b"aeinst ", b"=-", b"01") for _ in range(40)]
+    ids, at = v.encode_pieces(pieces)
+    assert all(ids[at[i] : at[i + 1]].tolist() == enc.encode_ordinary(p.decode()) for i, p in enumerate(pieces))
+    for what in (b"a", b"ab"):
+        began = time.time()
+        ids, _ = v.encode_pieces([what * (1_000_000 // len(what))])
+        assert time.time() - began < 10 and v.bytes is not None and v.length[ids].sum() == 1_000_000
+
+
+def test_broken_pages_are_read_in_one_pass():
+    import time
+
+    assert language.visible(b"a<b c=\"d\">e<!-- f > g -->h<script>i < j</script>k &amp; l").split() == [b"a", b"e", b"h", b"k", b"l"]
+    for x in (b"<!--", b"<script ", b"<", b"<style>a"):
+        began = time.time()
+        language.visible(x * 100_000)
+        assert time.time() - began < 5
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    rng = random.Random(6)
+    a, b = prose(rng, 80), prose(rng, 70)
+    names = ("_id", "_row", "_spans", "_gone", "_one", "_place", "row", "spans", "component", "one", "there")
+    rows = [(i, t, *[k + i for k in range(len(names))]) for i, t in enumerate([a, a, a + " end", b, None, ""])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect() if r.text) == [rows[0], rows[3]]
+    cut = {r.doc_id: r for r in substring_dedup.remove(docs, 200).collect()}
+    assert cut[1].text == "" and tuple(cut[3]) == rows[3] and cut[4].text is None and cut[0]._spans == rows[0][4]
+
+
 def test_rank_bitmap():
     used, have, rng = bpe.RankBitmap(50_256), set(), random.Random(1)
     for _ in range(2000):
@@ -133,8 +188,12 @@ def test_repeated_strings(docs, rows, none):
         kept = bytes(c for c, g in zip(b, gone) if not g)
         return len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()
 
-    got = collections.Counter(map(tuple, substring_dedup.digest(docs, length).collect()))
-    assert got == collections.Counter((r[0], *want(r[1])) for r in rows)
+    got = substring_dedup.digest(docs, length, passage=60).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == collections.Counter((r[0], *want(r[1])) for r in rows)
+    length, long_times = 60, times
+    times = collections.Counter(b[p : p + length] for r in rows for b in [(r[1] or "").encode()] for p in range(len(b) - length + 1))
+    assert collections.Counter((r.doc_id, r.n_passage_bytes, r.n_passages) for r in got) == collections.Counter((r[0], *want(r[1])[1:3]) for r in rows)
+    length, times = 120, long_times
     assert substring_dedup.digest(none, length).count() == 0
     assert substring_dedup.remove(docs, length).columns == docs.columns
 
