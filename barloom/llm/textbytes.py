@@ -82,13 +82,21 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def running(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial modulo 2**64 over 64-bit values, for run_hash."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _table("pow", len(values)), out=total[1:])
+    return total
+
+
+def run_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run from starts to ends, whatever its length in constant time (Karp-Rabin)."""
+    return mix((total[ends] - total[starts]) * _table("inv", len(total))[starts] + (ends - starts).astype(np.uint64) * GOLD)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64."""
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _table("pow", n), out=total[1:])
-    h = (total[ends] - total[starts]) * _table("inv", n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * GOLD)
+    """A 64-bit hash of each span of bytes."""
+    return run_hash(running(data.astype(np.uint64) + np.uint64(1)), starts, ends)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int):
