@@ -67,3 +67,25 @@ def union_trades(*frames: DataFrame) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out.orderBy("time", "id")
+
+
+# Folders under the data directory, in the order they are listed, with the kind of their files.
+FOLDERS = (("tick_data/futures_um", "aggTrades"), ("trades_data/futures_um", "trades"))
+
+
+def trade_files(spark: SparkSession, root: str, symbol: str, start_ms: int | None = None, end_ms: int | None = None) -> list[tuple[str, str]]:
+    """(path, kind) of a symbol's trade files that can hold trades of the range, by folder and day; reads no file."""
+    out = []
+    for folder, kind in FOLDERS:
+        pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}/{symbol}/{symbol}-{kind}-*.csv")
+        found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        paths = sorted(str(f.getPath()) for f in found)
+        out += [(p, kind) for p in paths if file_in_range(p.rsplit("/", 1)[-1], start_ms, end_ms)]
+    return out
+
+
+def read_symbol(spark: SparkSession, root: str, symbol: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """All trades of a symbol in the range, from the files of both kinds; empty without files."""
+    files = trade_files(spark, root, symbol, start_ms, end_ms)
+    parts = [read_trade_files(spark, [p for p, k in files if k == kind], symbol, kind, start_ms, end_ms) for _, kind in FOLDERS]
+    return parts[0].unionByName(parts[1])

@@ -4,9 +4,10 @@ import json
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from barloom.operators.bars import SCHEMA, Fold
+from barloom.operators.bars import SCHEMA, Fold, interval_ms, ohlcv
 
 
 def stream_bars(trades: DataFrame, **rule) -> DataFrame:
@@ -21,3 +22,13 @@ def stream_bars(trades: DataFrame, **rule) -> DataFrame:
 
     rows = trades.select("symbol", "id", "time", "price", "qty", "is_buyer_maker")
     return rows.groupBy("symbol").applyInPandasWithState(run, SCHEMA, "fold string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_time_bars(trades: DataFrame, interval: str = "1min", late: str = "0 seconds") -> DataFrame:
+    """Time bars of a stream, each once the watermark has passed its window's end: trades more than `late` behind the newest are left out.
+
+    The rows are those of operators.bars.time_bars but for bar_idx, which a stream does not know.
+    """
+    rows = trades.withColumn("_at", F.timestamp_millis("time")).withWatermark("_at", late)
+    window = F.window("_at", f"{interval_ms(interval)} milliseconds")
+    return ohlcv(rows, "symbol", window).drop("window")
