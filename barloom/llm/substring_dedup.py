@@ -32,9 +32,10 @@ than a ``HOT``-th of all rows (fewer than ``HOT``, so they may be broadcast) are
 dealt to ``SALTS`` tasks each when the counts are joined back.
 
 Cases: a null or empty text has no bytes and nothing to remove; texts shorter
-than ``length`` stay whole; a null id is kept; rows with equal ids are told apart
-by their text, and equal rows are repeats of each other; other columns are not
-read; an empty table gives an empty result.
+than ``length`` stay whole; a null id is kept; rows with equal ids (or none) are told
+apart by the length and a 64-bit hash of their text, and equal rows are repeats of
+each other: each copy counts, and the spans of all of them are held once; other
+columns are not read; an empty table gives an empty result.
 """
 
 import hashlib
@@ -93,7 +94,7 @@ def ranges(data: np.ndarray, at: np.ndarray, length: int, p: np.ndarray | None =
 
 
 def _positions(docs: DataFrame, length: int, cell: int, less: int | None = None) -> DataFrame:
-    """(id, row, s, e, pair, whole) of each range of docs (id, row, t), of starts at most cell bytes apart.
+    """(id, row, size, s, e, pair, whole) of each range of docs (id, row, size, t), of starts at most cell bytes apart.
 
     less: docs has spans of starts, and of each run of them all but the last
     `less` are asked for; otherwise every start is.
@@ -103,11 +104,11 @@ def _positions(docs: DataFrame, length: int, cell: int, less: int | None = None)
 
     def run(batches):
         for b in batches:
-            texts = text_column(b.column(2))
+            texts = text_column(b.column(3))
             for i, j, data, at in slabs(texts):
                 p = None
                 if less is not None:
-                    low, high = covered(*_places(b.column(3), i, j, at))
+                    low, high = covered(*_places(b.column(4), i, j, at))
                     p = gather(low, np.maximum(high - low - less, 0))
                 text, s, e, a = ranges(data, at, length, p)
                 n = (a - s) // cell - (a - e) // cell + 1
@@ -118,9 +119,9 @@ def _positions(docs: DataFrame, length: int, cell: int, less: int | None = None)
                 whole = span_hash(data, s, e + length)
                 pair = whole if cell == 1 else (span_hash(data, last, last + half) & top) | (span_hash(data, last + half, first + length) >> np.uint64(32))
                 ids = pa.array(text + i)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(ids), b.column(1).take(ids), pa.array((s - at[text]).astype(np.int32)), pa.array((e - at[text]).astype(np.int32)), pa.array(pair.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "row", "s", "e", "pair", "whole"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(ids) for k in range(3)), pa.array((s - at[text]).astype(np.int32)), pa.array((e - at[text]).astype(np.int32)), pa.array(pair.view(np.int64)), pa.array(whole.view(np.int64))], names=["id", "row", "size", "s", "e", "pair", "whole"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row int, s int, e int, pair long, whole long")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, row long, size int, s int, e int, pair long, whole long")
 
 
 def _places(spans: pa.Array, i: int, j: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,14 +133,19 @@ def _places(spans: pa.Array, i: int, j: int, at: np.ndarray) -> tuple[np.ndarray
     return s + shift, e + shift + 1
 
 
+#: What names a row: its id, and of its text a hash and the bytes.
+KEY = ("id", "row", "size")
+
+
 def _spans_of(df: DataFrame) -> DataFrame:
-    return df.groupBy("id", "row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    # the copies of a row have the same spans: each is held once, so an array is bounded by one text
+    return df.groupBy(*KEY).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def _with_text(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     # at every size the texts are dealt by their key and not joined to a broadcast table, which grows; spans, the smaller side of a partition, is hashed, so texts are not sorted
-    spans = spans.withColumnsRenamed({"id": "_id", "row": "_row"}).hint("shuffle_hash")
-    return docs.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), how).drop("_id", "_row")
+    spans = spans.withColumnsRenamed({k: f"_{k}" for k in KEY}).hint("shuffle_hash")
+    return docs.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")) & (F.col("size") == F.col("_size")), how).drop(*(f"_{k}" for k in KEY))
 
 
 def _matching(rows: DataFrame, counted: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -155,12 +161,12 @@ def _matching(rows: DataFrame, counted: DataFrame, keys: list[str], how: str) ->
 
 
 def repeated(docs: DataFrame, length: int, keep: Scratch, less: int | None = None) -> DataFrame:
-    """(id, row, spans) of the texts of docs (id, row, t) that hold a repeated string: the starts s..e of such strings.
+    """(id, row, size, spans) of the texts of docs (id, row, size, t) that hold a repeated string: the starts s..e of such strings.
 
     less: see _positions; docs then has spans too.
     """
     w, found, text = width(length), [], docs
-    place = ("id", "row", "s", "e")
+    place = (*KEY, "s", "e")
     for cell in dict.fromkeys((w, w // 8, 1)):
         named = _positions(text, length, cell, less)
         named = named.select(*place, "pair") if cell == 1 else named
@@ -180,7 +186,7 @@ def repeated(docs: DataFrame, length: int, keep: Scratch, less: int | None = Non
         keep.drop(named, twice, alive, settled)
         other = _matching(past, still_open, ["pair"], "left_semi").groupBy("pair", "whole").agg(F.min(F.struct(*place)).alias("x")).select("x.*")
         ask = _spans_of(edges.select(*place).unionByName(other))
-        text, less = keep(_with_text(docs.select("id", "row", "t"), ask, "inner").select("id", "row", "t", "spans")), 0
+        text, less = keep(_with_text(docs.select(*KEY, "t"), ask, "inner").select(*KEY, "t", "spans")), 0
         docs = text
     return keep(_spans_of(reduce(DataFrame.unionByName, found)))
 
@@ -195,13 +201,17 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.concatenate([new[1:], [True]])]
 
 
-def _row_of(text_col: str):
-    """Tells rows with one id apart by their text."""
-    return F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int")
+def _text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _row_of(text_col: str) -> list:
+    """Tells rows with one id apart by their text: (row, size)."""
+    return [_text_hash(text_col).alias("row"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size")]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), _row_of(text_col).alias("row"), F.col(text_col).alias("t"))
+    return docs.select(F.col(id_col).alias("id"), *_row_of(text_col), F.col(text_col).alias("t"))
 
 
 def _runs(spans: pa.Array, i: int, j: int, at: np.ndarray, length: int):
@@ -242,25 +252,25 @@ def digest(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     with Scratch(docs.sparkSession) as keep:
         short = repeated(rows, passage, keep)
         starts = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"] + 1)
-        inside = keep(_with_text(rows, short.where(starts > length - passage), "inner").select("id", "row", "t", "spans"))
+        inside = keep(_with_text(rows, short.where(starts > length - passage), "inner").select(*KEY, "t", "spans"))
         far = repeated(inside, length, keep, length - passage)
         none = F.lit(None).cast(short.schema["spans"].dataType)
-        both = short.select("id", "row", none.alias("spans"), F.col("spans").alias("passages")).unionByName(far.select("id", "row", "spans", none.alias("passages")))
-        found = written(both.groupBy("id", "row").agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")))
+        both = short.select(*KEY, none.alias("spans"), F.col("spans").alias("passages")).unionByName(far.select(*KEY, "spans", none.alias("passages")))
+        found = written(both.groupBy(*KEY).agg(F.first("spans", True).alias("spans"), F.first("passages", True).alias("passages")))
 
     def run(batches):
         for b in batches:
-            texts = text_column(b.column(2))
-            out = list(_each(texts, b.column(3), length))
+            texts = text_column(b.column(1))
+            out = list(_each(texts, b.column(2), length))
             covers, counts = [], []
             for i, j, _, at in slabs(texts):
-                low, high, first = _runs(b.column(4), i, j, at, passage)
+                low, high, first = _runs(b.column(3), i, j, at, passage)
                 covers.append(sums(high - low, first))
                 counts.append(np.diff(first))
             cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _, _ in out], pa.int64()), pa.array([n - len(t) for n, t, _ in out], pa.int64()), pa.array([k for _, _, k in out], pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for _, t, _ in out], pa.string()), cat(covers), cat(counts)], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "n_passages"])
 
-    joined = _with_text(rows, found, "left").select("id", "row", "t", "spans", "passages")
+    joined = _with_text(rows, found, "left").select("id", "t", "spans", "passages")
     return joined.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
@@ -278,8 +288,9 @@ def remove(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col:
     names = [f"c{k}" for k in range(n)]
     plain = docs.toDF(*names)
     key = names[docs.columns.index(id_col)]
-    found = found.select(F.col("id").alias("found_id"), F.col("row").alias("found_row"), F.col("spans").alias("found_spans"))
-    same = F.col(key).eqNullSafe(F.col("found_id")) & (_row_of(names[place]) == F.col("found_row"))
+    found = found.select(F.col("id").alias("found_id"), F.col("row").alias("found_row"), F.col("size").alias("found_size"), F.col("spans").alias("found_spans"))
+    row, size = _row_of(names[place])
+    same = F.col(key).eqNullSafe(F.col("found_id")) & (row == F.col("found_row")) & (size == F.col("found_size"))
     joined = plain.join(found.hint("shuffle_hash"), same, "left").select(*names, "found_spans")
     schema = docs.schema
 

@@ -16,8 +16,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D | 1
-_powers = {"pow": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
+#: Run hashes are two polynomials modulo this prime: modulo a power of two, texts made by substitution (Thue-Morse) meet.
+PRIME = (1 << 31) - 1
+_P, _HALF = np.uint64(PRIME), np.uint64(31)
+_BASES = (1_664_525_013, 1_103_515_247)
+_powers = {"pow": np.ones((2, 1), np.uint64), "inv": np.ones((2, 1), np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,13 +34,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _table(kind: str, n: int) -> np.ndarray:
+    """Powers of both bases, or of their inverses, from 0 to n - 1 at least."""
     have = _powers[kind]
-    if len(have) < n:
-        base = _BASE if kind == "pow" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(n, 2 * len(have), 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[kind] = np.cumprod(steps)
-    return have[:n]
+    while have.shape[1] < n:
+        size = have.shape[1]
+        step = np.array([[pow(base if kind == "pow" else pow(base, -1, PRIME), size, PRIME)] for base in _BASES], np.uint64)
+        have = _powers[kind] = np.concatenate([have, have * step % _P], axis=1)
+    return have
 
 
 def text_column(column) -> pa.Array:
@@ -83,20 +86,31 @@ def words(data: np.ndarray, offsets: np.ndarray):
 
 
 def running(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial modulo 2**64 over 64-bit values, for run_hash."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _table("pow", len(values)), out=total[1:])
+    """Prefix sums of both polynomials over bytes or 64-bit hashes, for run_hash."""
+    n = len(values)
+    if values.dtype == np.uint8:
+        lanes = (values.astype(np.uint64) + np.uint64(1),) * 2
+    else:
+        lanes = (values & _P, values >> np.uint64(33))
+    total, powers = np.zeros((2, n + 1), np.uint64), _table("pow", n)
+    for k in range(2):
+        term = lanes[k] * powers[k, :n]
+        if values.dtype != np.uint8 or n > 1 << 23:  # else the sum stays below 2**64 anyway
+            term = (term & _P) + (term >> _HALF)
+        np.cumsum(term, out=total[k, 1:])
     return total
 
 
 def run_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run from starts to ends, whatever its length in constant time (Karp-Rabin)."""
-    return mix((total[ends] - total[starts]) * _table("inv", len(total))[starts] + (ends - starts).astype(np.uint64) * GOLD)
+    """A hash of 62 bits of each run from starts to ends, mixed over 64, whatever its length in constant time (Karp-Rabin)."""
+    inverse = _table("inv", total.shape[1])
+    low, high = ((total[k, ends] - total[k, starts]) % _P * inverse[k, starts] % _P for k in range(2))
+    return mix((low | high << _HALF) + (ends - starts).astype(np.uint64) * GOLD)
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    return run_hash(running(data.astype(np.uint64) + np.uint64(1)), starts, ends)
+    """A hash of each span of bytes."""
+    return run_hash(running(data), starts, ends)
 
 
 def shingles(h: np.ndarray, at: np.ndarray, k: int):
