@@ -1,4 +1,4 @@
-"""Bars: relational ones as aggregations, threshold and adaptive ones as one ordered fold per symbol."""
+"""Bars: relational ones as aggregations, threshold ones by pointers between slices, adaptive ones as one ordered fold per symbol."""
 
 import json
 import re
@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.operators import slices
+from barloom.operators.thresholds import threshold_bars
+
 SCHEMA = "symbol string, bar_idx long, timestamp long, open double, high double, low double, close double, volume double, dollar_volume double, tick_count long, duration_us long"
 _UNIT = {"min": 60_000, "h": 3_600_000, "s": 1000}
 
@@ -41,9 +44,9 @@ def time_bars(trades: DataFrame, interval: str = "1min") -> DataFrame:
     return numbered(bars, "win")
 
 
-def tick_bars(trades: DataFrame, ticks: int = 1000) -> DataFrame:
-    """Every `ticks` trades of a symbol."""
-    rows = trades.withColumn("bar_idx", F.floor((F.row_number().over(W.partitionBy("symbol").orderBy("time", "id")) - 1) / ticks))
+def tick_bars(trades: DataFrame, ticks: int = 1000, bucket: int = slices.BUCKET) -> DataFrame:
+    """Every `ticks` trades of a symbol, numbered by time buckets: no task holds a symbol."""
+    rows = slices.numbered(trades, bucket).withColumn("bar_idx", F.floor(F.col("number") / ticks))
     return ohlcv(rows, "symbol", "bar_idx").where(F.col("tick_count") == ticks)
 
 
@@ -206,8 +209,8 @@ def load_states(spark, path: str) -> DataFrame:
 BARS = {
     "time": lambda t, interval="1min": time_bars(t, interval),
     "tick": lambda t, ticks=1000: tick_bars(t, ticks),
-    "volume": lambda t, threshold=100.0: folded_bars(t, rule="threshold", value="volume", threshold=threshold),
-    "dollar": lambda t, threshold=1e6: folded_bars(t, rule="threshold", value="dollar", threshold=threshold),
+    "volume": lambda t, threshold=100.0, **slicing: threshold_bars(t, "volume", threshold, **slicing),
+    "dollar": lambda t, threshold=1e6, **slicing: threshold_bars(t, "dollar", threshold, **slicing),
     **{f"{v}_{r}": (lambda t, first=1000, span=100, r=r, v=v: folded_bars(t, rule=r, value=v, first=first, span=span)) for r in ("imbalance", "run") for v in ("tick", "volume", "dollar")},
 }
 
