@@ -44,6 +44,8 @@ SCALE, BLOCK, ANCHORS, CHUNK = 256, 4096, 1024, 512
 STEPS = (4, 8, 16, 32)
 #: Tasks that the rows for one part of the anchors are dealt to.
 DEALS = 16
+#: Without bounds.
+LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Pairs that one array of survivors may hold.
 PAIRS = 1 << 18
 
@@ -155,10 +157,11 @@ def survivors(x: Block, y: Block, low: int, high: int, floor: np.ndarray, ceil:
     m = steps[1]
     part = (x.rot[:, :m] @ y.rot[low:high, :m].T).astype(np.float64)
     rest = (x.rest[:, 1:2] * y.rest[None, low:high, 1] if m < x.d else 0.0) + slack * size + 1
+    floor_at, ceil_at = np.where(floor == LEAST, -np.inf, floor), np.where(ceil == MOST, np.inf, ceil)
     match = (x.label[:, None] == y.label[None, low:high]) == same
     with np.errstate(invalid="ignore", over="ignore"):
         # a bound that is not a number drops nothing
-        match &= ~((part + rest < floor[:, None]) | (part - rest > ceil[:, None]))
+        match &= ~((part + rest < floor_at[:, None]) | (part - rest > ceil_at[:, None]))
     i, j = np.nonzero(match)
     for a in range(0, len(i), PAIRS):
         p, q = i[a : a + PAIRS], j[a : a + PAIRS]
@@ -170,7 +173,7 @@ def survivors(x: Block, y: Block, low: int, high: int, floor: np.ndarray, ceil:
             sums = sums + np.einsum("ij,ij->i", x.rot[p, s:e], y.rot[low + q, s:e])
             left = (x.rest[p, k + 1] * y.rest[low + q, k + 1] if e < x.d else 0.0) + slack * size[p, q] + 1
             with np.errstate(invalid="ignore", over="ignore"):
-                stay = ~((sums + left < floor[p]) | (sums - left > ceil[p]))
+                stay = ~((sums + left < floor_at[p]) | (sums - left > ceil_at[p]))
             p, q, sums = p[stay], q[stay], sums[stay]
         if len(p):
             score = exact(x, p, y, low + q)
@@ -186,9 +189,6 @@ def _best(group: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> list
     return [group[first], score[order][first], ids[order][first]]
 
 
-LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-
-
 def nearest(x: Block, y: Block, k: int):
     """Of each anchor in x the first k other rows of its label in y: (row of x, score, id)."""
     group, score, ids = (np.zeros(0, np.int64) for _ in range(3))
