@@ -133,9 +133,9 @@ def entropies(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
     return b.select(*keep, entropy(v).alias("rolling_shannon_entropy"), entropy(v, corrected=True).alias("rolling_plugin_entropy"), lempel_ziv(v).alias("rolling_lempel_ziv"))
 
 
-def spreads(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
-    """Corwin-Schultz spread and tick rule, means of n bars."""
-    b = with_returns(bars).withColumn("cs", corwin_schultz()).withColumn("way", direction())
+def spreads(bars: DataFrame, n: int = 20, keep=KEYS, way: Column | None = None) -> DataFrame:
+    """Corwin-Schultz spread and tick rule, means of n bars. way: the direction of each bar, where it is known already."""
+    b = with_returns(bars).withColumn("cs", corwin_schultz()).withColumn("way", direction() if way is None else way)
     return b.select(*keep, F.avg("cs").over(last(n)).alias("corwin_schultz_spread"), F.avg("way").over(last(n)).alias("tick_rule"))
 
 

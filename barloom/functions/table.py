@@ -8,28 +8,43 @@ from barloom.functions import encodings as en
 from barloom.functions import features as ft
 from barloom.functions import frames as fr
 from barloom.functions import unit_root as ur
+from barloom.functions.differences import convolved
+from barloom.operators.slices import in_slices, last_known
+from barloom.sources.cut import cut
 
 #: Columns that bars may have and that are none of their features.
 BAR = ("symbol", "bar_idx", "timestamp", "open", "high", "low", "close", "volume", "dollar_volume", "tick_count", "duration_us")
 
 
-def differenced(bars: DataFrame, keep=ft.KEYS) -> DataFrame:
+#: Bars of a slice of the feature table, besides the halo before it.
+SLICE = 4096
+
+
+def differenced(bars: DataFrame, keep=ft.KEYS, changes: bool = True) -> DataFrame:
     """ffd_close, ffd_d, price_velocity and price_acceleration: the fractional difference of log closes at the least order that rejects a unit root, its order, and its differences.
 
-    The order is found from the whole series, one row a symbol, and joined back.
+    All orders come from one block convolution; the order is found from the whole
+    series, one row a symbol, and joined back. changes: whether the last two are asked for.
     """
-    orders = [round(0.05 * k, 4) for k in range(1, 21)]
-    weights = {d: fr.difference_weights(d) for d in orders}
-    most = max(map(len, weights.values()))
-    spark = bars.sparkSession
-    table = spark.createDataFrame([(d, w[::-1]) for d, w in weights.items()], "ffd_d double, _w array<double>")
-    least = ur.least_d(bars).select("symbol", F.col("min_d").alias("ffd_d")).join(F.broadcast(table), "ffd_d", "left")
-    b = bars.join(least, "symbol").withColumn("_f", fr.frame(F.ln("close"), 1 - most, 0))
-    n = F.size("_w")
-    full = F.col("bar_idx") >= n - 1
-    b = b.withColumn("ffd_close", F.when(full, fr.total(F.zip_with(F.slice("_f", -n, n), "_w", lambda a, w: a * w)))).drop("_f", "_w")
-    b = b.withColumn("price_velocity", F.col("ffd_close") - ft.lag("ffd_close")).withColumn("price_acceleration", F.col("price_velocity") - ft.lag("price_velocity"))
-    return b.select(*keep, "ffd_close", "ffd_d", "price_velocity", "price_acceleration")
+    grid = ur.order_grid()
+    values = cut(convolved(bars, F.ln("close"), grid))
+    least = ur.least_order(values, grid).withColumnRenamed("min_d", "ffd_d")
+    own = F.get("values", F.array_position(F.array(*(F.lit(d) for d in grid)), F.col("ffd_d")).cast("int") - 1)
+    made = values.join(least, "symbol").select("symbol", "bar_idx", own.alias("ffd_close"), "ffd_d")
+    b = bars.join(made, ["symbol", "bar_idx"])
+    b = in_slices(b, _velocity, SLICE, 2) if changes else b
+    return b.select(*keep, "ffd_close", "ffd_d", *(("price_velocity", "price_acceleration") if changes else ()))
+
+
+def _velocity(b: DataFrame) -> DataFrame:
+    return b.withColumn("price_velocity", F.col("ffd_close") - ft.lag("ffd_close")).withColumn("price_acceleration", F.col("price_velocity") - ft.lag("price_velocity"))
+
+
+def with_direction(bars: DataFrame, size: int = SLICE) -> DataFrame:
+    """bars with _way, the sign of the last move of the close, up before the first one: carried from slice to slice."""
+    move = F.nullif(F.signum(F.col("close") - ft.lag("close")), F.lit(0.0))
+    b = last_known(in_slices(bars, lambda b: b.withColumn("_move", move), size, 1), "_way", F.col("_move"), size)
+    return b.withColumn("_way", F.coalesce("_way", F.lit(1.0))).drop("_move")
 
 
 def trade_features(trades: DataFrame, n: int = 20) -> DataFrame:
@@ -55,21 +70,41 @@ NAMES = {
 _DIFFERENCED = {"ffd_close", "ffd_d", "price_velocity", "price_acceleration"}
 
 
-def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int = 20, only=None) -> DataFrame:
+def halo(window: int = 20) -> int:
+    """Bars that a feature looks back: frames of 3 windows of returns, spread moments over two windows, breaks over 50 and their lags."""
+    return max(3 * window, max(window, 50)) + 8
+
+
+def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int = 20, only=None, size: int = SLICE) -> DataFrame:
     """The columns of bars and the features of each: 76 with dollar_volume and duration_us, which bars have; 78 with trades that have bar_idx.
 
-    A value is null until its frame is long enough. bars: BAR; other columns stay.
-    only: the features that are wanted, to save the order of the difference where it is not.
+    A value is null until its frame is long enough. bars: BAR, numbered from 0; other
+    columns stay. only: the features that are wanted, to save the order of the
+    difference where it is not. The table is worked out on slices of `size` bars with a
+    halo, so a symbol is many tasks; what needs the whole series (the order of the
+    difference, the direction of the last move) comes first.
     """
-    breaks = max(window, 50)
     b = bars
+    with_differences = only is None or bool(_DIFFERENCED & set(only))
+    if with_differences:
+        b = differenced(b, keep=b.columns, changes=False)
+    b = cut(with_direction(b, size))
+    b = in_slices(b, lambda x: _families(x, window, with_differences), size, halo(window)).drop("_way")
+    if trades is not None:
+        b = with_trades(b, trades, keep=b.columns, n=window)
+    return b.withColumnsRenamed(NAMES)
+
+
+def _families(b: DataFrame, window: int, with_differences: bool) -> DataFrame:
+    """The features of bars with _way, each family a step on the same rows."""
+    breaks = max(window, 50)
 
     def step(make, *args, **kw):
         nonlocal b
         b = make(b, *args, keep=b.columns, **kw)
 
-    if only is None or _DIFFERENCED & set(only):
-        step(differenced)
+    if with_differences:
+        b = _velocity(b)
     b = ft.with_returns(b).withColumn("returns", F.col("r")).withColumn("returns_abs", F.abs("r")).drop("prev", "r", "s", "r1")
     step(fr.entropies, window)
     step(en.rolling_match_entropy, 3 * window)
@@ -81,13 +116,11 @@ def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int =
     step(ft.features, window)
     b = b.withColumn("vol_velocity", F.col("rogers_satchell_vol") - ft.lag("rogers_satchell_vol")).withColumn("vol_acceleration", F.col("vol_velocity") - ft.lag("vol_velocity"))
     step(fr.volume_and_duration, window)
-    step(fr.spreads, window)
+    step(fr.spreads, window, way=F.col("_way"))
     w = ft.last(window)
     b = b.withColumn("spread_variance", F.var_samp("roll_spread").over(w)).withColumn("spread_skew", ft.skew("roll_spread", w)).withColumn("spread_kurtosis", ft.kurt("roll_spread", w))
     step(ft.calendar)
-    if trades is not None:
-        step(with_trades, trades, n=window)
-    return b.withColumnsRenamed(NAMES)
+    return b
 
 
 _ENTROPIES = [f"entropy_{e}_{m}" for e in en.ENCODERS for m in ("shannon", "redundancy", "mi", "nvi", "kontoyiannis")]

@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions.differences import convolved
 from barloom.functions.features import KEYS, lag, ordered, with_returns
-from barloom.functions.frames import TINY, difference_weights, frame, total
+from barloom.functions.frames import TINY, frame, total
+from barloom.operators.slices import in_slices
 
 # The response surface of the test's p values (constant, one series): normal quantile = sum of c[k] * t**k.
 P_VALUE = (2.1659, 1.4412, 0.038269)
@@ -97,28 +99,35 @@ def gsadf(bars: DataFrame, x=None, least: int = 20, most: int = 500) -> DataFram
     return b.groupBy("symbol").agg(F.when(F.count("*") >= least + 5, F.max("t")).alias("gsadf"))
 
 
-def least_d(bars: DataFrame, x=None, step: float = 0.05, threshold: float = 1e-5) -> DataFrame:
-    """(symbol, min_d): the least order of difference, in steps up to 1, whose series of 20 values or more rejects a unit root; else 1.
+def order_grid(step: float = 0.05) -> list[float]:
+    """The orders of difference that are tried: multiples of step up to 1."""
+    return [round(step * k, 4) for k in range(1, int(round(1 / step)) + 1)]
+
 
-    All orders share one frame of bars before, as long as the longest list of weights.
+def least_order(values: DataFrame, grid: list[float]) -> DataFrame:
+    """(symbol, min_d) of the differences (symbol, bar_idx, values) of a grid of orders: the least one whose series of 20 values or more rejects a unit root; else 1.
+
+    The moments of the regression are sums over bars; each slice of 10,000 bars gets the two before it for its lags.
     """
-    grid = [round(step * k, 4) for k in range(1, int(round(1 / step)) + 1)]
-    weights = {d: difference_weights(d, threshold) for d in grid}
-    most = max(map(len, weights.values()))
-
-    def value(d):
-        oldest_first = F.from_json(F.lit(str(weights[d][::-1])), "array<double>")
-        n = len(weights[d])
-        return F.when(F.col("bar_idx") >= n - 1, total(F.zip_with(F.slice("_f", -n, n), oldest_first, lambda a, b: a * b)))
-
-    b = bars.withColumn("_x", F.ln("close") if x is None else x).withColumn("_f", frame("_x", 1 - most, 0))
-    each = b.select("symbol", "bar_idx", F.explode(F.array(*(F.struct(F.lit(d).alias("order"), value(d).alias("v")) for d in grid))).alias("e")).select("symbol", "bar_idx", "e.*").where("v is not null")
-    w = W.partitionBy("symbol", "order").orderBy("bar_idx")
-    each = each.withColumn("l", F.lag("v").over(w)).withColumn("d", F.col("v") - F.col("l")).withColumn("z", F.lag("d").over(w))
+    each = values.select("symbol", "bar_idx", F.posexplode("values").alias("k", "v")).where("v is not null")
+
+    def lagged(b):
+        w = W.partitionBy("symbol", "k").orderBy("bar_idx")
+        b = b.withColumn("l", F.lag("v").over(w)).withColumn("d", F.col("v") - F.col("l"))
+        return b.withColumn("z", F.lag("d").over(w))
+
+    each = in_slices(each, lagged, 10_000, 2)
     full, c = F.col("z").isNotNull(), lambda a, b: F.covar_pop(F.when(F.col("z").isNotNull(), F.col(a)), F.col(b))
-    test = each.groupBy("symbol", "order").agg(F.count("*").alias("n"), t_value(F.count_if(full), c("d", "d"), c("l", "l"), c("z", "z"), c("d", "l"), c("d", "z"), c("l", "z")).alias("t"))
-    found = test.where((F.col("n") >= 20) & (F.col("t") < critical_t())).groupBy("symbol").agg(F.min("order").alias("found"))
-    return bars.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce("found", F.lit(1.0)).alias("min_d"))
+    test = each.groupBy("symbol", "k").agg(F.count("*").alias("n"), t_value(F.count_if(full), c("d", "d"), c("l", "l"), c("z", "z"), c("d", "l"), c("d", "z"), c("l", "z")).alias("t"))
+    order = F.get(F.array(*(F.lit(d) for d in grid)), F.col("k"))
+    found = test.where((F.col("n") >= 20) & (F.col("t") < critical_t())).groupBy("symbol").agg(F.min(order).alias("found"))
+    return values.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.coalesce("found", F.lit(1.0)).alias("min_d"))
+
+
+def least_d(bars: DataFrame, x=None, step: float = 0.05, threshold: float = 1e-5) -> DataFrame:
+    """(symbol, min_d): the least order of difference, in steps up to 1, whose series of 20 values or more rejects a unit root; else 1."""
+    grid = order_grid(step)
+    return least_order(convolved(bars, F.ln("close") if x is None else x, grid, threshold), grid)
 
 
 def recursive_cusum(x, n: int = 50) -> Column:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions import features as ft
 from barloom.functions import frames as fr
+from barloom.functions.differences import fractional
 from barloom.operators import bars as ob
 from barloom.operators import labels as ol
 from barloom.operators import simulation as sim
+from barloom.operators.slices import in_slices
 from barloom.sources import trades as src
 
 QUERIES, ORACLES = {}, {}
@@ -44,6 +46,11 @@ def six_hours(tape):
     return ob.time_bars(tape, "6h")
 
 
+def in_parts(make, halo=68):
+    """make on slices of a few bars of the tape's six-hour bars: several tasks for each symbol, small as the tape is."""
+    return lambda t: in_slices(six_hours(t), make, 32, halo)
+
+
 _OHLC = ["open", "high", "low", "close", "volume", "dollar_volume"]
 _BAR = "symbol, timestamp, " + ", ".join(_r(c, c) for c in _OHLC) + ", tick_count, duration_us, bar_idx"
 register("p01_tape", lambda t: t, "SELECT id, symbol, " + ", ".join(_r(c, c) for c in ("price", "qty")) + ", " + _r("price * qty", "quote_qty") + ", time, is_buyer_maker FROM tape")
@@ -115,19 +122,19 @@ _SQL = {
 }
 for _name, _sql in _SQL.items():
     _f = _name.split("_", 1)[1]
-    register(_name, lambda t, f=_f: ft.features(six_hours(t), 20, [f]).drop("timestamp"), f"SELECT symbol, bar_idx, {_r(_sql, _f, 5)} FROM b" + _W, 5)
-register("f46_live_volatility", lambda t: ft.live_volatility(six_hours(t)).select("symbol", "bar_idx", "live_vol"), f"SELECT symbol, bar_idx, {_r('coalesce(CASE WHEN count(s) OVER w >= 20 THEN stddev_samp(s) OVER w END, 0.01)', 'live_vol', 5)} FROM b" + _W, 5)
-register("f10_returns", lambda t: ft.with_returns(six_hours(t)).select("symbol", "bar_idx", F.col("r").alias("returns"), F.abs("r").alias("returns_abs")), f"SELECT symbol, bar_idx, {_r('r', 'returns')}, {_r('abs(r)', 'returns_abs')} FROM b")
+    register(_name, in_parts(lambda b, f=_f: ft.features(b, 20, [f]).drop("timestamp"), 24), f"SELECT symbol, bar_idx, {_r(_sql, _f, 5)} FROM b" + _W, 5)
+register("f46_live_volatility", in_parts(lambda b: ft.live_volatility(b).select("symbol", "bar_idx", "live_vol"), 24), f"SELECT symbol, bar_idx, {_r('coalesce(CASE WHEN count(s) OVER w >= 20 THEN stddev_samp(s) OVER w END, 0.01)', 'live_vol', 5)} FROM b" + _W, 5)
+register("f10_returns", in_parts(lambda b: ft.with_returns(b).select("symbol", "bar_idx", F.col("r").alias("returns"), F.abs("r").alias("returns_abs")), 2), f"SELECT symbol, bar_idx, {_r('r', 'returns')}, {_r('abs(r)', 'returns_abs')} FROM b")
 register("f06_vol_velocity", lambda t: ft.features(six_hours(t), 20, ["rogers_satchell_vol"]).withColumn("vol_velocity", F.col("rogers_satchell_vol") - ft.lag("rogers_satchell_vol")).select("symbol", "bar_idx", "vol_velocity"), f"SELECT symbol, bar_idx, {_r('v - lag(v) OVER (PARTITION BY symbol ORDER BY bar_idx)', 'vol_velocity')} FROM (SELECT symbol, bar_idx, {_SQL['f01_rogers_satchell_vol']} AS v FROM b{_W})")
 _O = "OVER (PARTITION BY symbol ORDER BY bar_idx)"
 _FFD = fr.difference_weights(0.95)
-register("f14_fractional_difference", lambda t: six_hours(t).select("symbol", "bar_idx", fr.fractional_difference(F.ln("close"), 0.95).alias("ffd_close")), f"SELECT symbol, bar_idx, {_r(f'CASE WHEN bar_idx >= {len(_FFD) - 1} THEN list_dot_product(list_resize(list(ln(close)) OVER f, {len(_FFD)}, 0.0), {_FFD[::-1]!r}::DOUBLE[]) END', 'ffd_close')} FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY bar_idx ROWS {len(_FFD) - 1} PRECEDING)")
+register("f14_fractional_difference", lambda t: fractional(six_hours(t), F.ln("close"), 0.95, "ffd_close", size=32), f"SELECT symbol, bar_idx, {_r(f'CASE WHEN bar_idx >= {len(_FFD) - 1} THEN list_dot_product(list_resize(list(ln(close)) OVER f, {len(_FFD)}, 0.0), {_FFD[::-1]!r}::DOUBLE[]) END', 'ffd_close')} FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY bar_idx ROWS {len(_FFD) - 1} PRECEDING)")
 _AT = {"poly": "t", "exp": "exp(t / 50.0)", "power": "sqrt(t)"}
 _FIT = {k: f"regr_slope(y, {x}) / nullif(sqrt(greatest(regr_syy(y, {x}) - power(regr_slope(y, {x}), 2) * regr_sxx(y, {x}), 0) / 48 / regr_sxx(y, {x})), 0)" for k, x in _AT.items()}
-register("f20_breaks", lambda t: fr.breaks(six_hours(t)), ", fr AS (SELECT b.symbol, b.bar_idx, x.bar_idx - b.bar_idx + 51 AS t, ln(x.close) AS y FROM bars b JOIN bars x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 50 AND b.bar_idx - 1 WHERE b.bar_idx >= 50), dv AS (SELECT *, y - avg(y) OVER (PARTITION BY symbol, bar_idx) AS d FROM fr), cu AS (SELECT *, sum(d) OVER (PARTITION BY symbol, bar_idx ORDER BY t) AS c FROM dv), br AS (SELECT symbol, bar_idx, max(abs(c)) / stddev_samp(y) / sqrt(50) AS csw, " + ", ".join(f"{v} AS {k}" for k, v in _FIT.items()) + f" FROM cu GROUP BY ALL) SELECT symbol, bar_idx, {_r('csw', 'csw_cusum')}, " + ", ".join(_r(k, f"martingale_{k}_t") for k in _AT) + " FROM bars LEFT JOIN br USING (symbol, bar_idx)")
-register("f25_entropies", lambda t: fr.entropies(six_hours(t)).drop("rolling_lempel_ziv"), f", fr AS (SELECT b.symbol, b.bar_idx, x.r FROM b JOIN b x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 19 AND b.bar_idx AND x.r IS NOT NULL), lo AS (SELECT *, min(r) OVER f AS l, max(r) OVER f AS h, count(*) OVER f AS n FROM fr WINDOW f AS (PARTITION BY symbol, bar_idx)), c AS (SELECT symbol, bar_idx, n, CASE WHEN h > l THEN least(floor((r - l) / (h - l) * 10), 9) ELSE 0 END AS bin, count(*) AS k FROM lo GROUP BY ALL), e AS (SELECT symbol, bar_idx, n, ln(max(n)) - sum(k * ln(k)) / max(n) AS s, count(*) AS m FROM c WHERE n >= 5 GROUP BY symbol, bar_idx, n) SELECT symbol, bar_idx, {_r('s', 'rolling_shannon_entropy')}, {_r('s + (m - 1) / (2.0 * n)', 'rolling_plugin_entropy')} FROM bars LEFT JOIN e USING (symbol, bar_idx)")
+register("f20_breaks", in_parts(lambda b: fr.breaks(b)), ", fr AS (SELECT b.symbol, b.bar_idx, x.bar_idx - b.bar_idx + 51 AS t, ln(x.close) AS y FROM bars b JOIN bars x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 50 AND b.bar_idx - 1 WHERE b.bar_idx >= 50), dv AS (SELECT *, y - avg(y) OVER (PARTITION BY symbol, bar_idx) AS d FROM fr), cu AS (SELECT *, sum(d) OVER (PARTITION BY symbol, bar_idx ORDER BY t) AS c FROM dv), br AS (SELECT symbol, bar_idx, max(abs(c)) / stddev_samp(y) / sqrt(50) AS csw, " + ", ".join(f"{v} AS {k}" for k, v in _FIT.items()) + f" FROM cu GROUP BY ALL) SELECT symbol, bar_idx, {_r('csw', 'csw_cusum')}, " + ", ".join(_r(k, f"martingale_{k}_t") for k in _AT) + " FROM bars LEFT JOIN br USING (symbol, bar_idx)")
+register("f25_entropies", in_parts(lambda b: fr.entropies(b).drop("rolling_lempel_ziv")), f", fr AS (SELECT b.symbol, b.bar_idx, x.r FROM b JOIN b x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 19 AND b.bar_idx AND x.r IS NOT NULL), lo AS (SELECT *, min(r) OVER f AS l, max(r) OVER f AS h, count(*) OVER f AS n FROM fr WINDOW f AS (PARTITION BY symbol, bar_idx)), c AS (SELECT symbol, bar_idx, n, CASE WHEN h > l THEN least(floor((r - l) / (h - l) * 10), 9) ELSE 0 END AS bin, count(*) AS k FROM lo GROUP BY ALL), e AS (SELECT symbol, bar_idx, n, ln(max(n)) - sum(k * ln(k)) / max(n) AS s, count(*) AS m FROM c WHERE n >= 5 GROUP BY symbol, bar_idx, n) SELECT symbol, bar_idx, {_r('s', 'rolling_shannon_entropy')}, {_r('s + (m - 1) / (2.0 * n)', 'rolling_plugin_entropy')} FROM bars LEFT JOIN e USING (symbol, bar_idx)")
 # the parse as a recursion: phrases so far, where this one starts and how long it is
-register("f27_lempel_ziv", lambda t: fr.entropies(six_hours(t)).select("symbol", "bar_idx", "rolling_lempel_ziv"), f"""WITH RECURSIVE {_CTE[5:].rstrip()}, fr AS (SELECT symbol, bar_idx, list(r) FILTER (r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 19 PRECEDING) AS v FROM b),
+register("f27_lempel_ziv", in_parts(lambda b: fr.entropies(b).select("symbol", "bar_idx", "rolling_lempel_ziv")), f"""WITH RECURSIVE {_CTE[5:].rstrip()}, fr AS (SELECT symbol, bar_idx, list(r) FILTER (r IS NOT NULL) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS 19 PRECEDING) AS v FROM b),
 tx AS (SELECT symbol, bar_idx, array_to_string(list_transform(v, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS t FROM fr WHERE len(v) >= 5),
 lz(symbol, bar_idx, t, c, pos, size) AS (SELECT symbol, bar_idx, t, 1, 0, 1 FROM tx UNION ALL SELECT symbol, bar_idx, t, CASE WHEN seen THEN c ELSE c + 1 END, CASE WHEN seen THEN pos ELSE pos + size END, CASE WHEN seen THEN size + 1 ELSE 1 END FROM (SELECT *, contains(substr(t, 1, pos + size - 1), substr(t, pos + 1, size)) AS seen FROM lz WHERE pos + size <= length(t)) y)
 SELECT bars.symbol, bars.bar_idx, {_r("e.v", "rolling_lempel_ziv")} FROM bars LEFT JOIN (SELECT symbol, bar_idx, max(c) / (length(t) / log2(length(t))) AS v FROM lz GROUP BY symbol, bar_idx, t) e USING (symbol, bar_idx)""")
@@ -136,12 +143,12 @@ _CS = f"with_one AS (SELECT *, ln(high / low) ** 2 + ln(lag(high) {_O} / lag(low
 register("f39_spreads", lambda t: fr.spreads(six_hours(t)), f", {_CS} SELECT symbol, bar_idx, {_r('avg(CASE WHEN a IS NULL THEN NULL ELSE greatest(2 * (exp(a) - 1) / (1 + exp(a)), 0) END) OVER w', 'corwin_schultz_spread')}, {_r('avg(way) OVER w', 'tick_rule')} FROM al{_W}")
 _VD = f", l AS (SELECT *, ln(1 + greatest(dollar_volume, 0)) AS ldv, ln(1 + duration_us::DOUBLE) AS ld, duration_us / 1e6 AS ds, ln(close) AS lp FROM bars), d1 AS (SELECT *, dollar_volume - lag(dollar_volume) {_O} AS v1, ld - lag(ld) {_O} AS l1 FROM l), d2 AS (SELECT *, v1 - lag(v1) {_O} AS v2, l1 - lag(l1) {_O} AS l2 FROM d1)"
 _VDC = {"log_dollar_volume": "ldv", "log_duration": "ld", "dollar_volume_velocity": "v1", "dollar_volume_acceleration": "v2", "log_duration_velocity": "l1", "log_duration_acceleration": "l2", "dollar_volume_kurt": _KURT.format(x="dollar_volume"), "duration_variance": "var_samp(ds) OVER w", "duration_skew": _SKEW.format(x="ds"), "duration_kurt": _KURT.format(x="ds"), "log_price_skew": _SKEW.format(x="lp"), "log_price_kurt": _KURT.format(x="lp")}
-register("f07_volume_and_duration", lambda t: fr.volume_and_duration(six_hours(t)).withColumn("duration_variance", F.col("duration_variance") / 1e12), f"{_VD} SELECT symbol, bar_idx, " + ", ".join(_r(v, k, 4) for k, v in _VDC.items()) + f" FROM d2{_W}", 4)
+register("f07_volume_and_duration", in_parts(lambda b: fr.volume_and_duration(b).withColumn("duration_variance", F.col("duration_variance") / 1e12)), f"{_VD} SELECT symbol, bar_idx, " + ", ".join(_r(v, k, 4) for k, v in _VDC.items()) + f" FROM d2{_W}", 4)
 _SPREAD = _SQL["f38_roll_spread"]
 register("f43_spread_moments", lambda t: (lambda b: b.select("symbol", "bar_idx", F.var_samp("roll_spread").over(ft.last(20)).alias("spread_variance")))(ft.features(six_hours(t), 20, ["roll_spread"])), f", sp AS (SELECT symbol, bar_idx, {_SPREAD} AS x FROM b{_W}) SELECT symbol, bar_idx, {_r('var_samp(x) OVER w', 'spread_variance')} FROM sp{_W}")
 register("f06_vol_acceleration", lambda t: ft.features(six_hours(t), 20, ["rogers_satchell_vol"]).withColumn("v", F.col("rogers_satchell_vol") - ft.lag("rogers_satchell_vol")).select("symbol", "bar_idx", (F.col("v") - ft.lag("v")).alias("vol_acceleration")), f", v AS (SELECT symbol, bar_idx, {_SQL['f01_rogers_satchell_vol']} AS v FROM b{_W}), d AS (SELECT *, v - lag(v) {_O} AS d FROM v) SELECT symbol, bar_idx, {_r(f'd - lag(d) {_O}', 'vol_acceleration')} FROM d")
 _hour = "2 * pi() * (hour(t) + minute(t) / 60.0 + second(t) / 3600.0) / 24"
-register("f44_calendar", lambda t: ft.calendar(six_hours(t)), f"SELECT symbol, bar_idx, {_r(f'sin({_hour})', 'hour_sin')}, {_r(f'cos({_hour})', 'hour_cos')}, {_r('sin(2 * pi() * (isodow(t) - 1) / 7)', 'dow_sin')}, {_r('cos(2 * pi() * (isodow(t) - 1) / 7)', 'dow_cos')}, day(t) AS day_of_month, {_r('sin(2 * pi() * month(t) / 12)', 'month_sin')}, {_r('cos(2 * pi() * month(t) / 12)', 'month_cos')} FROM (SELECT *, make_timestamp(timestamp * 1000) AS t FROM bars)")
+register("f44_calendar", in_parts(lambda b: ft.calendar(b)), f"SELECT symbol, bar_idx, {_r(f'sin({_hour})', 'hour_sin')}, {_r(f'cos({_hour})', 'hour_cos')}, {_r('sin(2 * pi() * (isodow(t) - 1) / 7)', 'dow_sin')}, {_r('cos(2 * pi() * (isodow(t) - 1) / 7)', 'dow_cos')}, day(t) AS day_of_month, {_r('sin(2 * pi() * month(t) / 12)', 'month_sin')}, {_r('cos(2 * pi() * month(t) / 12)', 'month_cos')} FROM (SELECT *, make_timestamp(timestamp * 1000) AS t FROM bars)")
 
 
 def _imbalance(t):

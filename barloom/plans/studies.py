@@ -13,7 +13,7 @@ from barloom.operators import labels as ol
 from barloom.operators import learning, orders
 from barloom.operators import simulation as sim
 from barloom.operators import walk_forward as wf
-from barloom.plans.catalog import _CTE, _EXP, _O, _SIG, _SQL, _W, ORACLES, QUERIES, _r, _signals, register, six_hours
+from barloom.plans.catalog import _CTE, _EXP, _O, _SIG, _SQL, _W, ORACLES, QUERIES, _r, _signals, in_parts, register, six_hours
 from barloom.sources import trades as src
 from barloom.streaming import signals as live
 
@@ -31,7 +31,7 @@ def _t(w, n="count(d)"):
 
 _LAGS = f", y AS (SELECT symbol, bar_idx, ln(close) AS y FROM bars), l0 AS (SELECT *, lag(y) {_O} AS y1, lag(y, 2) {_O} AS y2 FROM y), lg AS (SELECT symbol, bar_idx, y, CASE WHEN y2 IS NOT NULL THEN y - y1 END AS d, CASE WHEN y2 IS NOT NULL THEN y1 END AS l, y1 - y2 AS z FROM l0)"
 _HALF = "OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {} PRECEDING AND {} PRECEDING)"
-register("f21_unit_root_frames", lambda t: ur.unit_root(six_hours(t)), f"""{_LAGS}, h AS (SELECT *, {_t(_HALF.format(48, 26))} AS a, {_t(_HALF.format(23, 1))} AS b FROM lg),
+register("f21_unit_root_frames", in_parts(lambda b: ur.unit_root(b)), f"""{_LAGS}, h AS (SELECT *, {_t(_HALF.format(48, 26))} AS a, {_t(_HALF.format(23, 1))} AS b FROM lg),
 fr AS (SELECT i.symbol, i.bar_idx, x.bar_idx AS k, x.d, x.l, x.z FROM lg i JOIN lg x ON x.symbol = i.symbol AND x.bar_idx BETWEEN i.bar_idx - 48 AND i.bar_idx - 1 WHERE i.bar_idx >= 50),
 gt AS (SELECT symbol, bar_idx, k - bar_idx + 49 AS m, {_t("OVER (PARTITION BY symbol, bar_idx ORDER BY k)")} AS t FROM fr), s AS (SELECT symbol, bar_idx, max(t) AS t FROM gt WHERE m >= 14 GROUP BY ALL)
 SELECT h.symbol, h.bar_idx, {_r("CASE WHEN h.bar_idx >= 50 AND a IS NOT NULL AND b IS NOT NULL THEN greatest(a, b) END", "chow_type_df", 5)}, {_r("s.t", "rolling_sadf", 5)} FROM h LEFT JOIN s USING (symbol, bar_idx)""", 5)
@@ -50,7 +50,7 @@ SELECT walk.symbol, walk.bar_idx, dm.timestamp, CAST(walk.way AS INTEGER) AS way
 _REST = "regr_syy(y, {0}) - regr_sxy(y, {0}) * regr_sxy(y, {0}) / nullif(regr_sxx(y, {0}), 0)"
 register("f18_chow", lambda t: ur.chow(six_hours(t)), f""", q AS (SELECT symbol, bar_idx::DOUBLE AS t, ln(close) AS y, count(*) OVER (PARTITION BY symbol) AS n FROM bars), r AS (SELECT symbol, n, {_REST.format("t")} AS whole, {_REST.format("CASE WHEN t < n // 2 THEN t END")} + {_REST.format("CASE WHEN t >= n // 2 THEN t END")} AS parts FROM q GROUP BY symbol, n)
 SELECT symbol, {_r("CASE WHEN n // 2 >= 3 AND n // 2 <= n - 3 AND parts > 0 THEN (whole - parts) / 2 / (parts / (n - 4)) ELSE 0.0 END", "chow_f")} FROM r""")
-register("f19_recursive_cusum", lambda t: six_hours(t).withColumn("x", F.ln("close")).select("symbol", "bar_idx", ur.recursive_cusum("x").alias("bde_cusum")), f""", fr AS (SELECT b.symbol, b.bar_idx, x.bar_idx - b.bar_idx + 50 AS k, ln(x.close) AS y FROM bars b JOIN bars x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 50 AND b.bar_idx - 1 WHERE b.bar_idx >= 50),
+register("f19_recursive_cusum", in_parts(lambda b: b.withColumn("x", F.ln("close")).select("symbol", "bar_idx", ur.recursive_cusum("x").alias("bde_cusum"))), f""", fr AS (SELECT b.symbol, b.bar_idx, x.bar_idx - b.bar_idx + 50 AS k, ln(x.close) AS y FROM bars b JOIN bars x ON x.symbol = b.symbol AND x.bar_idx BETWEEN b.bar_idx - 50 AND b.bar_idx - 1 WHERE b.bar_idx >= 50),
 e AS (SELECT symbol, bar_idx, k, y - regr_intercept(y, k) OVER p - regr_slope(y, k) OVER p * k AS e FROM fr WINDOW p AS (PARTITION BY symbol, bar_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, sum(e) OVER (PARTITION BY symbol, bar_idx ORDER BY k) AS run FROM e WHERE k >= 12), s AS (SELECT symbol, bar_idx, CASE WHEN stddev_pop(e) < 1e-15 THEN 0.0 ELSE max(abs(run)) / stddev_pop(e) / sqrt(38) END AS v FROM c GROUP BY ALL) SELECT bars.symbol, bars.bar_idx, {_r("s.v", "bde_cusum", 5)} FROM bars LEFT JOIN s USING (symbol, bar_idx)""", 5)
 
@@ -89,8 +89,8 @@ def _entropy_sql():
     return frames + codes + cut + pair + ent + ", f6 AS (SELECT symbol, bar_idx, " + ", ".join(out) + " FROM f5) SELECT bars.symbol, bars.bar_idx, " + ", ".join(f"f6.{x}" for x in names) + " FROM bars LEFT JOIN f6 USING (symbol, bar_idx)"
 
 
-register("f34_encoded_entropies", lambda t: en.encoded_entropies(six_hours(t)), _entropy_sql())
-register("f28_rolling_kontoyiannis", lambda t: en.rolling_match_entropy(six_hours(t)), f", f0 AS (SELECT symbol, bar_idx, list(r) FILTER (r IS NOT NULL) OVER p AS v FROM b WINDOW p AS (PARTITION BY symbol ORDER BY bar_idx ROWS 59 PRECEDING)), f1 AS (SELECT symbol, bar_idx, v, list_median(v) AS m, least(len(v) // 3, 20) AS kw FROM f0 WHERE len(v) >= 10), f2 AS (SELECT symbol, bar_idx, kw, array_to_string(list_transform(v, lambda x: CASE WHEN x >= m THEN 'b' ELSE 'a' END), '') AS t FROM f1), f3 AS (SELECT symbol, bar_idx, {_r(_match('t', 'kw'), 'rolling_kontoyiannis')} FROM f2) SELECT bars.symbol, bars.bar_idx, f3.rolling_kontoyiannis FROM bars LEFT JOIN f3 USING (symbol, bar_idx)")
+register("f34_encoded_entropies", in_parts(lambda b: en.encoded_entropies(b)), _entropy_sql())
+register("f28_rolling_kontoyiannis", in_parts(lambda b: en.rolling_match_entropy(b)), f", f0 AS (SELECT symbol, bar_idx, list(r) FILTER (r IS NOT NULL) OVER p AS v FROM b WINDOW p AS (PARTITION BY symbol ORDER BY bar_idx ROWS 59 PRECEDING)), f1 AS (SELECT symbol, bar_idx, v, list_median(v) AS m, least(len(v) // 3, 20) AS kw FROM f0 WHERE len(v) >= 10), f2 AS (SELECT symbol, bar_idx, kw, array_to_string(list_transform(v, lambda x: CASE WHEN x >= m THEN 'b' ELSE 'a' END), '') AS t FROM f1), f3 AS (SELECT symbol, bar_idx, {_r(_match('t', 'kw'), 'rolling_kontoyiannis')} FROM f2) SELECT bars.symbol, bars.bar_idx, f3.rolling_kontoyiannis FROM bars LEFT JOIN f3 USING (symbol, bar_idx)")
 _MOMENT = "CASE WHEN count(x) OVER w >= {k} AND var_samp(x) OVER w > 1e-9 THEN {f}(x) OVER w END"
 
 
