@@ -6,17 +6,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.features import last, ordered
+from barloom.operators.slices import in_slices, running
+from barloom.sources.cut import cut
 
 
-def triple_barrier(bars: DataFrame, vol: str = "vol", hold: int = 50, stop: float = 2.0, take: float = 2.0) -> DataFrame:
-    """-1 if the low meets the lower barrier first within `hold` bars, 1 if the high meets the upper one, else null; the lower one counts first in a bar."""
+def triple_barrier(bars: DataFrame, vol: str = "vol", hold: int = 50, stop: float = 2.0, take: float = 2.0, ends: bool = False) -> DataFrame:
+    """-1 if the low meets the lower barrier first within `hold` bars, 1 if the high meets the upper one, else null; the lower one counts first in a bar.
+
+    ends: also `end`, the number of the bar that meets a barrier, or of the last one looked at.
+    """
     ahead = ordered().rowsBetween(1, hold)
     b = bars.withColumn("sl_price", F.col("close") * (1 - stop * F.col(vol))).withColumn("pt_price", F.col("close") * (1 + take * F.col(vol)))
     b = b.withColumn("ahead", F.collect_list(F.struct("low", "high")).over(ahead))
-    hit = F.get(F.filter("ahead", lambda x: (x["low"] <= F.col("sl_price")) | (x["high"] >= F.col("pt_price"))), F.lit(0))
-    b = b.withColumn("hit", hit)
+    met = lambda x: F.coalesce((x["low"] <= F.col("sl_price")) | (x["high"] >= F.col("pt_price")), F.lit(False))
+    b = b.withColumn("hit", F.get(F.filter("ahead", met), F.lit(0)))
+    place = F.array_position(F.transform("ahead", met), True)
+    end = F.col("bar_idx") + F.when(place > 0, place).otherwise(F.size("ahead"))
     label = F.when(F.col("hit").isNotNull(), F.when(F.col("hit.low") <= F.col("sl_price"), -1).otherwise(1))
-    return b.select("symbol", "bar_idx", "timestamp", label.alias("label"), "sl_price", "pt_price", F.last("timestamp").over(ordered().rowsBetween(0, hold)).alias("time_barrier_ts"))
+    return b.select("symbol", "bar_idx", "timestamp", label.alias("label"), "sl_price", "pt_price", F.last("timestamp").over(ordered().rowsBetween(0, hold)).alias("time_barrier_ts"), *([end.alias("end")] if ends else []))
 
 
 def trend_scanning(bars: DataFrame, horizons=(5, 10, 20, 40, 80), least: float = 1.0) -> DataFrame:
@@ -105,14 +112,63 @@ def weights(bars: DataFrame, hold: int = 50, half_life: float = -1.0) -> DataFra
     return b.select("symbol", "bar_idx", "concurrency", "uniqueness", "attribution", "decay", (F.col("raw") / F.sum("raw").over(whole)).alias("weight"))
 
 
-def purged_folds(bars: DataFrame, k: int = 5, hold: int = 50, embargo: float = 0.01) -> DataFrame:
-    """For each fold and bar: test, train, or neither (purged or under embargo)."""
-    whole = W.partitionBy("symbol")
-    b = bars.select("symbol", "bar_idx", F.count("*").over(whole).alias("n")).withColumn("size", F.floor(F.col("n") / k))
-    b = b.withColumn("own", F.least(F.floor(F.col("bar_idx") / F.greatest("size", F.lit(1))), F.lit(k - 1))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    start, end = F.col("fold") * F.col("size"), F.when(F.col("fold") == k - 1, F.col("n")).otherwise((F.col("fold") + 1) * F.col("size"))
-    label_end = F.least(F.col("bar_idx") + hold, F.col("n") - 1)
-    role = F.when((F.col("bar_idx") >= start) & (F.col("bar_idx") < end), "test").when((F.col("bar_idx") < start) & (label_end >= start), "purged").when((F.col("bar_idx") >= end) & (F.col("bar_idx") < end + F.floor(F.col("n") * embargo)), "embargo").otherwise("train")
+#: Bars of a slice in running sums along a series.
+SLICE = 100_000
+
+
+def span_weights(bars: DataFrame, spans: DataFrame, half_life: float = -1.0, returns=None, size: int = SLICE) -> DataFrame:
+    """Uniqueness, attribution, decay and weight of any label spans, the columns of spans kept.
+
+    bars: numbered from 0 by bar_idx, with timestamp and close. spans: (symbol, start,
+    end), the bars from start to the one before end, cut to the bars there are; one that
+    holds none has no uniqueness and no return. Uniqueness is the mean of 1 / (spans open
+    at a bar); attribution the span's share of all spans' summed absolute returns
+    (simple ones unless a column is given), equal shares where nothing moved; decay
+    halves every half_life of the time between a span's first bar and the latest first
+    bar; weights are their products, 1e-10 at least, over the sum of a symbol's.
+
+    Running sums along each series are worked out in slices, and a span is two lookups
+    in them, however long it is.
+    """
+    # each table that several sums below start from is cut, or all of them would be worked out anew for each
+    bars = cut(bars.select("symbol", "bar_idx", "timestamp", "close", *([] if returns is None else [returns.alias("_given")])))
+    n = bars.groupBy("symbol").agg(F.count("*").alias("_n"))
+    s = spans.join(n, "symbol").withColumn("_from", F.greatest(F.col("start"), F.lit(0))).withColumn("_to", F.least(F.col("end"), F.col("_n")))
+    s = cut(s.withColumn("_full", F.coalesce(F.col("_from") < F.col("_to"), F.lit(False))))
+    step = lambda at, d: s.where("_full").select("symbol", F.col(at).alias("bar_idx"), F.lit(d).alias("d"))
+    steps = step("_from", 1).unionByName(step("_to", -1)).groupBy("symbol", "bar_idx").agg(F.sum("d").alias("d"))
+    move = (lambda b: b.withColumn("_ret", F.coalesce(F.abs("_given"), F.lit(0.0)))) if returns is not None else (lambda b: b.withColumn("_ret", F.coalesce(F.abs(F.try_divide(F.col("close"), F.lag("close").over(ordered())) - 1), F.lit(0.0))))
+    b = in_slices(bars, move, size, 1).join(steps, ["symbol", "bar_idx"], "left")
+    b = running(b.select("symbol", "bar_idx", "timestamp", "_ret", F.coalesce("d", F.lit(0)).alias("d")), size, concurrency=F.col("d"))
+    b = cut(b).withColumn("_inv", F.when(F.col("concurrency") > 0, 1.0 / F.col("concurrency")).otherwise(0.0))
+    b = cut(running(b, size, _sum_inv=F.col("_inv"), _sum_ret=F.col("_ret")))
+    first = b.select("symbol", F.col("bar_idx").alias("_from"), (F.col("_sum_inv") - F.col("_inv")).alias("_inv_0"), (F.col("_sum_ret") - F.col("_ret")).alias("_ret_0"), F.col("timestamp").alias("_time"))
+    final = b.select("symbol", (F.col("bar_idx") + 1).alias("_to"), F.col("_sum_inv").alias("_inv_1"), F.col("_sum_ret").alias("_ret_1"))
+    s = s.join(first, ["symbol", "_from"], "left").join(final, ["symbol", "_to"], "left")
+    s = s.withColumn("uniqueness", F.when(F.col("_full"), (F.col("_inv_1") - F.col("_inv_0")) / (F.col("_to") - F.col("_from"))).otherwise(0.0))
+    s = s.withColumn("_moved", F.when(F.col("_full"), F.greatest(F.col("_ret_1") - F.col("_ret_0"), F.lit(0.0))).otherwise(0.0))
+    s = cut(s)
+    # sums of a symbol are one row each, joined back: no window holds all of its spans
+    whole = s.groupBy("symbol").agg(F.sum("_moved").alias("_all"), F.count("*").alias("_spans"), F.max("_time").alias("_last"))
+    s = s.join(whole, "symbol").withColumn("attribution", F.when(F.col("_all") > 0, F.col("_moved") / F.col("_all")).otherwise(1.0 / F.col("_spans")))
+    s = s.withColumn("decay", F.pow(F.lit(2.0), -(F.col("_last") - F.col("_time")) / half_life) if half_life > 0 else F.lit(1.0))
+    s = s.withColumn("_raw", F.greatest(F.coalesce(F.col("uniqueness") * F.col("attribution") * F.col("decay"), F.lit(0.0)), F.lit(1e-10)))
+    total = s.groupBy("symbol").agg(F.sum("_raw").alias("_total"))
+    return s.join(total, "symbol").select(*(s[c] for c in spans.columns), "uniqueness", "attribution", "decay", (F.col("_raw") / F.col("_total")).alias("weight"))
+
+
+def purged_folds(bars: DataFrame, k: int = 5, hold: int = 50, embargo: float = 0.01, end=None) -> DataFrame:
+    """For each fold and bar: test, train, or neither (purged or under embargo).
+
+    end: the column with the last bar that a bar's label has looked at, if that is not
+    `hold` bars on. A bar before the test bars is purged where its label reaches them.
+    """
+    counts = bars.groupBy("symbol").agg(F.count("*").alias("n"))
+    label_end = F.least(F.col("bar_idx") + hold, F.col("n") - 1) if end is None else F.col("_end")
+    b = bars.select("symbol", "bar_idx", *([] if end is None else [end.alias("_end")])).join(counts, "symbol").withColumn("size", F.floor(F.col("n") / k))
+    b = b.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    start, last = F.col("fold") * F.col("size"), F.when(F.col("fold") == k - 1, F.col("n")).otherwise((F.col("fold") + 1) * F.col("size"))
+    role = F.when((F.col("bar_idx") >= start) & (F.col("bar_idx") < last), "test").when((F.col("bar_idx") < start) & (label_end >= start), "purged").when((F.col("bar_idx") >= last) & (F.col("bar_idx") < last + F.floor(F.col("n") * embargo)), "embargo").otherwise("train")
     return b.select("symbol", "fold", "bar_idx", role.alias("role"))
 
 

@@ -53,3 +53,14 @@ def last_known(bars: DataFrame, name: str, value: Column, size: int) -> DataFram
     ends = ends.select("symbol", "_slice", before.alias("_end"))
     own = F.last("_v", True).over(W.partitionBy("symbol", "_slice").orderBy("bar_idx").rowsBetween(W.unboundedPreceding, 0))
     return b.join(ends, ["symbol", "_slice"]).withColumn(name, F.coalesce(own, "_end")).drop("_v", "_slice", "_end")
+
+
+def running(bars: DataFrame, size: int, **values: Column) -> DataFrame:
+    """bars with the sum of each value up to each bar, itself included: within a slice by a window, plus what the slices before come to."""
+    b = bars.withColumns({f"_{k}": v for k, v in values.items()}).withColumn("_slice", F.floor(F.col("bar_idx") / size))
+    sums = b.groupBy("symbol", "_slice").agg(*(F.sum(f"_{k}").alias(f"_s_{k}") for k in values))
+    earlier = W.partitionBy("symbol").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("symbol", "_slice", *(F.coalesce(F.sum(f"_s_{k}").over(earlier), F.lit(0)).alias(f"_s_{k}") for k in values))
+    own = W.partitionBy("symbol", "_slice").orderBy("bar_idx").rowsBetween(W.unboundedPreceding, 0)
+    b = b.join(sums, ["symbol", "_slice"])
+    return b.withColumns({k: F.coalesce(F.sum(f"_{k}").over(own), F.lit(0)) + F.col(f"_s_{k}") for k in values}).drop("_slice", *(f"_{k}" for k in values), *(f"_s_{k}" for k in values))

@@ -183,10 +183,27 @@ SELECT w.symbol, w.k AS bar_idx, c.timestamp, CAST(w.way AS BIGINT) AS label, {_
 register("l05_directional_change", lambda t: ol.directional_changes(six_hours(t), (0.5, 1.0)), _reversals("th AS (SELECT symbol, unnest([0.5::DOUBLE, 1.0::DOUBLE]) AS theta FROM (SELECT DISTINCT symbol FROM bars))"), 5)
 # returns of this tape are large, so its thetas are small multiples of their deviation
 register("l06_volatility_changes", lambda t: ol.labels(six_hours(t), "directional_change", window=50, multipliers=(0.2, 0.3, 0.5)), _reversals("vo AS (SELECT symbol, greatest(coalesce(stddev_pop(r), 0.01), 1e-8) AS vol FROM (SELECT symbol, r FROM b QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) <= 50) GROUP BY symbol), th AS (SELECT symbol, greatest(vol * unnest([0.2::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE]), 1e-6) AS theta FROM vo)"), 5)
-register("w01_sample_weights", lambda t: ol.weights(six_hours(t), 10, 86400000.0 * 7).drop("weight"), f""", n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS nb, coalesce(abs(r), 0) AS a FROM b), sp AS (SELECT symbol, bar_idx AS i, least(bar_idx + 10, nb - 1) AS e FROM n),
+register("w01_sample_weights", lambda t: ol.weights(six_hours(t), 10, 86400000.0 * 7), f""", n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS nb, coalesce(abs(r), 0) AS a FROM b), sp AS (SELECT symbol, bar_idx AS i, least(bar_idx + 10, nb - 1) AS e FROM n),
 c AS (SELECT n.symbol, n.bar_idx, count(sp.i) AS concurrency FROM n LEFT JOIN sp ON sp.symbol = n.symbol AND n.bar_idx >= sp.i AND n.bar_idx < sp.e GROUP BY ALL),
-u AS (SELECT sp.symbol, sp.i, sp.e, coalesce(sum(1.0 / c.concurrency) / nullif(max(sp.e - sp.i), 0), 0) AS uniq, coalesce(sum(n.a), 0) AS moved FROM sp LEFT JOIN n ON n.symbol = sp.symbol AND n.bar_idx >= sp.i AND n.bar_idx < sp.e LEFT JOIN c ON c.symbol = n.symbol AND c.bar_idx = n.bar_idx GROUP BY ALL)
-SELECT n.symbol, n.bar_idx, c.concurrency, {_r('u.uniq', 'uniqueness')}, {_r('u.moved / sum(u.moved) OVER (PARTITION BY n.symbol)', 'attribution')}, {_r('power(2.0, -(max(n.timestamp) OVER (PARTITION BY n.symbol) - n.timestamp) / 604800000.0)', 'decay')} FROM n JOIN c USING (symbol, bar_idx) JOIN u ON u.symbol = n.symbol AND u.i = n.bar_idx""")
+u AS (SELECT sp.symbol, sp.i, sp.e, coalesce(sum(1.0 / c.concurrency) / nullif(max(sp.e - sp.i), 0), 0) AS uniq, coalesce(sum(n.a), 0) AS moved FROM sp LEFT JOIN n ON n.symbol = sp.symbol AND n.bar_idx >= sp.i AND n.bar_idx < sp.e LEFT JOIN c ON c.symbol = n.symbol AND c.bar_idx = n.bar_idx GROUP BY ALL),
+z AS (SELECT n.symbol, n.bar_idx, c.concurrency, u.uniq, u.moved / sum(u.moved) OVER (PARTITION BY n.symbol) AS attr, power(2.0, -(max(n.timestamp) OVER (PARTITION BY n.symbol) - n.timestamp) / 604800000.0) AS decay FROM n JOIN c USING (symbol, bar_idx) JOIN u ON u.symbol = n.symbol AND u.i = n.bar_idx)
+SELECT symbol, bar_idx, concurrency, {_r('uniq', 'uniqueness')}, {_r('attr', 'attribution')}, {_r('decay', 'decay')}, {_r('greatest(uniq * attr * decay, 1e-10) / sum(greatest(uniq * attr * decay, 1e-10)) OVER (PARTITION BY symbol)', 'weight', 9)} FROM z""", {"weight": 9})
+# spans that end at the bar that meets a barrier
+_MET = f""", v AS (SELECT *, stddev_samp(r) OVER w AS vol, count(*) OVER (PARTITION BY symbol) AS n FROM b{_W}), h AS (SELECT v.symbol, v.bar_idx, min(f.bar_idx) AS k FROM v JOIN v f ON f.symbol = v.symbol AND f.bar_idx BETWEEN v.bar_idx + 1 AND v.bar_idx + 10 AND (f.low <= v.close * (1 - v.vol) OR f.high >= v.close * (1 + v.vol)) GROUP BY ALL),
+sp AS (SELECT v.symbol, v.bar_idx AS s, coalesce(h.k, least(v.bar_idx + 10, v.n - 1)) AS e, v.n, v.timestamp FROM v LEFT JOIN h USING (symbol, bar_idx))"""
+
+
+def _met_spans(t):
+    b = _with_vol(t)
+    return b, ol.triple_barrier(b, hold=10, stop=1.0, take=1.0, ends=True).select("symbol", F.col("bar_idx").alias("start"), "end")
+
+
+register("w02_span_weights", lambda t: ol.span_weights(*_met_spans(t), 86400000.0 * 7, size=32), f"""{_MET}, a AS (SELECT symbol, bar_idx, coalesce(abs(s), 0) AS a FROM b), c AS (SELECT a.symbol, a.bar_idx, a.a, count(sp.s) AS c FROM a LEFT JOIN sp ON sp.symbol = a.symbol AND a.bar_idx >= sp.s AND a.bar_idx < sp.e GROUP BY ALL),
+u AS (SELECT sp.symbol, sp.s, sp.e, sp.timestamp, coalesce(avg(1.0 / c.c), 0) AS uniq, coalesce(sum(c.a), 0) AS moved FROM sp LEFT JOIN c ON c.symbol = sp.symbol AND c.bar_idx >= sp.s AND c.bar_idx < sp.e GROUP BY ALL),
+z AS (SELECT *, moved / sum(moved) OVER (PARTITION BY symbol) AS attr, power(2.0, -(max(timestamp) OVER (PARTITION BY symbol) - timestamp) / 604800000.0) AS decay FROM u)
+SELECT symbol, s AS start, e AS end, {_r('uniq', 'uniqueness')}, {_r('attr', 'attribution')}, {_r('decay', 'decay')}, {_r('greatest(uniq * attr * decay, 1e-10) / sum(greatest(uniq * attr * decay, 1e-10)) OVER (PARTITION BY symbol)', 'weight', 9)} FROM z""", {"weight": 9})
+register("m01_span_folds", lambda t: (lambda b, sp: ol.purged_folds(b.join(sp.withColumnRenamed("start", "bar_idx"), ["symbol", "bar_idx"]), 5, 10, 0.02, F.col("end")))(*_met_spans(t)), _MET + """, z AS (SELECT symbol, s AS bar_idx, e AS le, n, fold, fold * (n // 5) AS a, CASE WHEN fold = 4 THEN n ELSE (fold + 1) * (n // 5) END AS o FROM (SELECT *, unnest(range(5)) AS fold FROM sp))
+SELECT symbol, fold, bar_idx, CASE WHEN bar_idx >= a AND bar_idx < o THEN 'test' WHEN bar_idx < a AND le >= a THEN 'purged' WHEN bar_idx >= o AND bar_idx < o + floor(n * 0.02) THEN 'embargo' ELSE 'train' END AS role FROM z""")
 register("m01_purged_folds", lambda t: ol.purged_folds(six_hours(t), 5, 10, 0.02), """, n AS (SELECT symbol, bar_idx, count(*) OVER (PARTITION BY symbol) AS n FROM bars), f AS (SELECT *, unnest(range(5)) AS fold FROM n), z AS (SELECT *, fold * (n // 5) AS s, CASE WHEN fold = 4 THEN n ELSE (fold + 1) * (n // 5) END AS e FROM f)
 SELECT symbol, fold, bar_idx, CASE WHEN bar_idx >= s AND bar_idx < e THEN 'test' WHEN bar_idx < s AND least(bar_idx + 10, n - 1) >= s THEN 'purged' WHEN bar_idx >= e AND bar_idx < e + floor(n * 0.02) THEN 'embargo' ELSE 'train' END AS role FROM z""")
 def _p():
