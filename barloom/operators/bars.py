@@ -57,11 +57,12 @@ SAVED = {"imbalance": ("expected_imbalance",), "run": ("expected_run_up", "expec
 class Fold:
     """State of one symbol's open bar and of the rule that closes it; `step` takes trades in order and returns the bars closed.
 
-    rule: 'threshold', 'imbalance' or 'run'; value: 'tick', 'volume' or 'dollar'.
-    The state has a fixed size: of the open bar only running values are kept.
+    rule: 'time', 'threshold', 'imbalance' or 'run'; value: 'tick', 'volume' or 'dollar'.
+    A time bar closes as the first trade of a later window (of `threshold` milliseconds)
+    comes. The state has a fixed size: of the open bar only running values are kept.
     """
 
-    def __init__(self, rule: str, value: str, threshold: float = 0.0, first: int = 1000, span: int = 100):
+    def __init__(self, rule: str, value: str = "tick", threshold: float = 0.0, first: int = 1000, span: int = 100):
         self.rule, self.value, self.threshold, self.first, self.span, self.alpha = rule, value, threshold, first, span, 2 / (span + 1)
         self.done, self.ticks, self.rate, self.p, self.counts = 0, float(first), None, 0.5, []
         self._open()
@@ -69,7 +70,7 @@ class Fold:
     def _open(self) -> None:
         self.n, self.total, self.up, self.down, self.buys = 0, 0.0, 0.0, 0.0, 0
         self.bar = [0.0] * 6  # open, high, low, close, volume, dollar volume
-        self.began = 0
+        self.began = self.last = 0
 
     def state(self) -> dict:
         return dict(self.__dict__, bar=list(self.bar), counts=list(self.counts))
@@ -101,6 +102,8 @@ class Fold:
     def _closes(self) -> bool:
         if self.rule == "threshold":
             return self.total >= self.threshold
+        if self.rule == "time":
+            return False
         if self.rate is None:
             return self.n >= self.first
         if self.rule == "imbalance":
@@ -110,7 +113,7 @@ class Fold:
 
     def _learn(self) -> None:
         n = self.n
-        if self.rule == "threshold":
+        if self.rule in ("threshold", "time"):
             return
         self.counts = [*self.counts, n][-self.span :]
         self.ticks = min(max(self._blend(self.ticks, n), 0.5 * self.first), 2.0 * self.first)
@@ -125,27 +128,48 @@ class Fold:
         """trades: (time, price, qty, is_buyer_maker) in order."""
         out = []
         for time, price, qty, maker in trades:
+            if self.rule == "time" and self.n and time // self.threshold > self.began // self.threshold:
+                out.append(self._closed())
             b = self.bar
             if not self.n:
                 b[0], b[1], b[2], self.began = price, price, price, time
             b[1], b[2], b[3] = max(b[1], price), min(b[2], price), price
             b[4] += qty
             b[5] += price * qty
-            self.n += 1
+            self.n, self.last = self.n + 1, time
             v = {"tick": 1.0, "volume": qty, "dollar": price * qty}[self.value]
             sign = -1.0 if maker else 1.0
-            self.total += v if self.rule == "threshold" else sign * v
+            self.total += sign * v if self.rule in ("imbalance", "run") else v
             if sign > 0:
                 self.up, self.buys = self.up + v, self.buys + 1
             else:
                 self.down += v
             if self._closes():
-                out.append((self.done, int(time), *map(float, b), self.n, int((time - self.began) * 1000) if self.n > 1 else 0))
-                self._learn()
-                self.done += 1
-                self._open()
+                out.append(self._closed())
         return out
 
+    def _closed(self) -> tuple:
+        """The open bar, whose place a new one takes."""
+        bar = (self.done, int(self.last), *map(float, self.bar), self.n, int((self.last - self.began) * 1000) if self.n > 1 else 0)
+        self._learn()
+        self.done += 1
+        self._open()
+        return bar
+
+
+def fold_rule(kind: str, **parameters) -> dict:
+    """The Fold of a bar type, of the parameters that `bars` takes."""
+    value, _, rule = kind.rpartition("_")
+    if kind == "time":
+        return {"rule": "time", "threshold": interval_ms(parameters.get("interval", "1min"))}
+    if kind == "tick":
+        return {"rule": "threshold", "value": "tick", "threshold": parameters.get("ticks", 1000)}
+    if kind in ("volume", "dollar"):
+        return {"rule": "threshold", "value": kind, "threshold": parameters.get("threshold", {"volume": 100.0, "dollar": 1e6}[kind])}
+    if rule not in ("imbalance", "run") or value not in ("tick", "volume", "dollar"):
+        raise ValueError(f"unknown bar type: {kind}")
+    return {"rule": rule, "value": value, "first": parameters.get("first", 1000), "span": parameters.get("span", 100)}
+
 
 def _folded(trades: DataFrame, rule: dict, states: DataFrame | None, at_end: bool, schema: str) -> DataFrame:
     """A symbol's trades in order through one Fold: Spark deals and sorts them, and the fold goes on from Arrow batch to batch, so no symbol is held in memory."""
