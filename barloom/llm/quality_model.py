@@ -3,29 +3,41 @@
 Trusted positives and unlabelled web text are enough to train: the risk of the
 negatives is what remains of the unlabelled risk after the positives' share, the
 class prior, is taken off, and it is held at zero from below (the non-negative
-unbiased risk). The class prior is the rate of positives among the trusted
-labels of the learning fold. The model is a small network over text statistics;
-its logit is put on the scale of the labels by a logistic fit with two
-parameters.
+unbiased risk). Labels of negatives are not used.
 
-The fit uses bounded, documented samples (``POSITIVES``, ``UNLABELLED`` and
-``CALIBRATION`` rows, the first by a hash of the id); every row is scored.
+Unlabelled are all rows of the learning fold. Their means and deviations are sums
+that Spark adds up. A round of the fit gives each partition the network of the round
+before; it goes through all of its rows in small batches against the positives, and
+the networks of all partitions are averaged by their rows. The positives, the only
+labelled rows, are a documented sample of ``POSITIVES`` rows by a hash of their id.
+
+The prior is estimated from positives and unlabelled rows: one half of the positives
+is told apart from the unlabelled rows, and of the scores above any threshold the
+least ratio of the share of unlabelled rows to the share of the other half of the
+positives bounds the prior (the best bin). With the log loss a logit is that of a
+probability; it is shifted until the mean over the unlabelled rows is the prior.
 
 Cases: a null or empty text has zero features and still gets a score; rows with
-equal ids are scored one by one; without labels of both kinds the score is the
-prior (0.5 without any labels); other columns are not read.
+equal ids are scored one by one, and a labelled id stands for one of its rows; without
+positives, or without rows to tell them from, every score is 0.5; other columns are
+not read.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import written
 from .textbytes import slabs, sums, text_column
 
-POSITIVES, UNLABELLED, CALIBRATION = 4000, 6000, 4000
-HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 256, 0.01
+POSITIVES = 4000
+HIDDEN, BATCH, RATE = 24, 256, 0.01
+#: Rounds of the fit for the prior and of the one for the risk, and the least batches that a partition goes through in a round.
+ROUNDS, STEPS = (4, 8), 60
+#: Bins of scores for the prior, and the chance that its bound is wrong.
+BINS, DOUBT = 200, 0.1
 #: Byte classes: lower, upper, digit, space, newline, punctuation, other symbols, beyond ASCII.
 _CLASS = np.full(256, 7, np.uint8)
 _CLASS[:128] = 6
@@ -87,80 +99,164 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, features array<float>")
 
 
+def _loss(f: np.ndarray) -> np.ndarray:
+    """Log loss of a positive; of a negative it is _loss(-f)."""
+    return np.logaddexp(0.0, -f)
+
+
+def _slope(f: np.ndarray) -> np.ndarray:
+    return -1 / (1 + np.exp(np.clip(f, -500, 500)))
+
+
+def risk(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * R+(positives), and R-(unlabelled) - prior * R-(positives), which the non-negative risk holds at 0 from below."""
+    return prior * _loss(f_p).mean(), _loss(-f_u).mean() - prior * _loss(-f_p).mean()
+
+
 class Model:
-    """A network with one hidden layer; ``logit`` is on the scale of the labels after ``calibrate``."""
+    """A network with one hidden layer on features of zero mean and deviation one."""
 
-    def __init__(self, prior: float, seed: int = 7):
+    def __init__(self, mean=0.0, scale=1.0, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.prior, self.rng = prior, rng
-        self.mean, self.scale = np.zeros(N_FEATURES), np.ones(N_FEATURES)
+        self.mean, self.scale, self.shift = mean, scale, 0.0
         self.w = [rng.normal(0, 1 / np.sqrt(N_FEATURES), (N_FEATURES, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
-        self.line = (1.0, 0.0)
 
     def _forward(self, x):
         x = np.clip((x - self.mean) / self.scale, -8, 8)
         hidden = np.tanh(x @ self.w[0] + self.w[1])
         return x, hidden, hidden @ self.w[2] + self.w[3]
 
-    def _gradients(self, x, weight_of):
-        """Gradients of sum(weight * sigmoid loss), where weight_of(f) is the derivative by the logit f."""
-        x, hidden, f = self._forward(x)
-        d = weight_of(f)
-        back = np.outer(d, self.w[2]) * (1 - hidden**2)
-        return [x.T @ back, back.sum(0), hidden.T @ d, np.array([d.sum()])]
-
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> "Model":
-        """Minimises prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)), with the sigmoid loss."""
-        both = np.concatenate([positive, unlabelled])
-        self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self._forward(np.asarray(x, np.float64))[2] + self.shift
+
+    def gradients(self, p: np.ndarray, u: np.ndarray, prior: float | None) -> list[np.ndarray]:
+        """Of the non-negative risk of positives p and unlabelled rows u; prior None: of telling p from u, both weighing the same."""
+        (x_p, h_p, f_p), (x_u, h_u, f_u) = self._forward(p), self._forward(u)
+        n_p, n_u = len(p), len(u)
+        if prior is None:
+            d_p, d_u = 0.5 * _slope(f_p) / n_p, -0.5 * _slope(-f_u) / n_u
+        else:
+            # the derivative of a negative's loss by its logit is -slope(-f)
+            d_u, d_p = -_slope(-f_u) / n_u, prior * _slope(-f_p) / n_p
+            if risk(f_p, f_u, prior)[1] >= 0:
+                d_p = d_p + prior * _slope(f_p) / n_p
+            else:
+                d_p, d_u = -d_p, -d_u
+        out = [np.zeros_like(w) for w in self.w]
+        for x, h, d in ((x_p, h_p, d_p), (x_u, h_u, d_u)):
+            back = np.outer(d, self.w[2]) * (1 - h**2)
+            for k, g in enumerate((x.T @ back, back.sum(0), h.T @ d, np.array([d.sum()]))):
+                out[k] += g
+        return out
+
+    def learn(self, p: np.ndarray, u: np.ndarray, prior: float | None, rng, rate: float) -> None:
+        """Goes through all rows of u in batches, again until there were STEPS of them."""
         m, v, step = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
-        loss = lambda f: 1 / (1 + np.exp(np.clip(f, -30, 30)))  # noqa: E731  of a positive; of a negative it is loss(-f)
-        slope = lambda f: -loss(f) * (1 - loss(f))
-        for _ in range(EPOCHS):
-            order = self.rng.permutation(len(unlabelled))
+        while step < STEPS:
+            order = rng.permutation(len(u))
             for i in range(0, len(order), BATCH):
-                u = unlabelled[order[i : i + BATCH]]
-                p = positive[self.rng.integers(0, len(positive), min(BATCH, len(positive)))]
-                f_p, f_u = self._forward(p)[2], self._forward(u)[2]
-                rest = loss(-f_u).mean() - self.prior * loss(-f_p).mean()
-                minus = lambda x, c: self._gradients(x, lambda f: c * -slope(-f) / len(x))
-                negative = [a + b for a, b in zip(minus(u, 1.0), minus(p, -self.prior))]
-                if rest >= 0:
-                    g = [a + b for a, b in zip(self._gradients(p, lambda f: self.prior * slope(f) / len(p)), negative)]
-                else:
-                    g = [-a for a in negative]
+                g = self.gradients(p[rng.integers(0, len(p), min(BATCH, len(p)))], u[order[i : i + BATCH]], prior)
                 step += 1
                 for k in range(4):
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                    self.w[k] = self.w[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        return self
+                    self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        f = self._forward(np.asarray(x, np.float64))[2]
-        return self.line[0] * f + self.line[1]
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> "Model":
-        self.line = (1.0, 0.0)
-        self.line = fit_line(self.logit(x), y)
-        return self
-
-
-def fit_line(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not below a small positive one) and shift of a logistic fit of y by f, softened towards the middle."""
-    n1, n0 = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = f.std() + 1e-9
-    g, a, b = f / scale, 1.0, 0.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * g + b, -30, 30)))
-        w, r = p * (1 - p) + 1e-6, target - p
-        h = np.array([[(w * g * g).sum() + 1e-2, (w * g).sum()], [(w * g).sum(), w.sum()]])
-        da, db = np.linalg.solve(h, [(r * g).sum() - 1e-2 * (a - 1), r.sum()])
-        a, b = a + np.clip(da, -2, 2), b + np.clip(db, -2, 2)
-        if abs(da) + abs(db) < 1e-6:
-            break
-    return max(a, 1e-3) / scale, b
+
+def _rows(batch) -> np.ndarray:
+    """The features of a batch with the one column."""
+    return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def _summed(feats: DataFrame, run) -> np.ndarray:
+    """The sum over partitions of what run yields for their batches: one row for each place of the sums reaches the driver."""
+    def each(batches):
+        total = run(batches)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
+
+    found = feats.select("features").mapInArrow(each, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    return np.array([r.v for r in found])
+
+
+def _moments(feats: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, mean and deviation of the features of all rows."""
+    def run(batches):
+        total = np.zeros(1 + 2 * N_FEATURES)
+        for b in batches:
+            x = _rows(b)
+            total += np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)])
+        return total
+
+    total = _summed(feats, run)
+    n = max(total[0], 1.0)
+    mean = total[1 : N_FEATURES + 1] / n
+    return total[0], mean, np.sqrt(np.maximum(total[N_FEATURES + 1 :] / n - mean**2, 0)) + 1e-3
+
+
+def _round(feats: DataFrame, model: Model, positive: np.ndarray, prior: float | None, number: int, rate: float) -> Model:
+    """The networks that all partitions make of model, averaged by their rows."""
+    def run(batches):
+        # a partition of features is a small part of the texts it was made of
+        parts = [x for x in map(_rows, batches) if len(x)]
+        mine = Model(model.mean, model.scale)
+        mine.w = model.w
+        if not parts:
+            return np.zeros(1 + sum(w.size for w in mine.w))
+        u = np.concatenate(parts)
+        mine.learn(positive, u, prior, np.random.default_rng((number, TaskContext.get().partitionId())), rate)
+        return np.concatenate([[len(u)], *(len(u) * w.ravel() for w in mine.w)])
+
+    total = _summed(feats, run)
+    out, at = Model(model.mean, model.scale), 1
+    for k, w in enumerate(model.w):
+        out.w[k] = (total[at : at + w.size] / total[0]).reshape(w.shape)
+        at += w.size
+    return out
+
+
+def _fitted(feats: DataFrame, positive: np.ndarray, prior: float | None, mean, scale, rounds: int) -> Model:
+    model = Model(mean, scale)
+    for k in range(rounds):
+        model = _round(feats, model, positive, prior, k, RATE / (1 + k / 2))
+    return model
+
+
+def best_bin(of_positives: np.ndarray, of_unlabelled: np.ndarray) -> float:
+    """The prior from counts of scores in rising bins: the least ratio of the unlabelled to the positive share above a threshold, bounds of both shares added where it is chosen."""
+    n_p, n_u = of_positives.sum(), of_unlabelled.sum()
+    above_p, above_u = (np.cumsum(c[::-1])[::-1] / c.sum() for c in (of_positives, of_unlabelled))
+    doubt = np.sqrt(np.log(4 / DOUBT) / 2 / n_p) + np.sqrt(np.log(4 / DOUBT) / 2 / n_u)
+    use = above_p > 0
+    place = np.argmin((above_u[use] + doubt) / above_p[use])
+    return float(np.clip(above_u[use][place] / above_p[use][place], 0.01, 0.99))
+
+
+def _bins(f: np.ndarray) -> np.ndarray:
+    """Counts of logits in BINS bins of equal width in probability."""
+    return np.bincount(np.minimum((BINS / (1 + np.exp(-np.clip(f, -30, 30)))).astype(int), BINS - 1), minlength=BINS).astype(float)
+
+
+def _scores(feats: DataFrame, model: Model, of) -> np.ndarray:
+    """The sum over all rows of what `of` gives for the logits of a batch."""
+    def run(batches):
+        total = of(np.zeros(0))
+        for b in batches:
+            total = total + of(model.logit(_rows(b)))
+        return total
+
+    return _summed(feats, run)
+
+
+def _shifted(feats: DataFrame, model: Model, prior: float) -> Model:
+    """model with the shift at which its mean probability over all rows is the prior, by a histogram of logits."""
+    edges = np.linspace(-40, 40, 4001)
+    counts = _scores(feats, model, lambda f: np.histogram(np.clip(f, -39.99, 39.99), edges)[0].astype(float))
+    middle, low, high = (edges[1:] + edges[:-1]) / 2, -60.0, 60.0
+    for _ in range(60):
+        at = (low + high) / 2
+        low, high = (at, high) if (counts / (1 + np.exp(-(middle + at)))).sum() < prior * counts.sum() else (low, at)
+    model.shift = (low + high) / 2
+    return model
 
 
 def held_out(id_col: str, folds: int, fold: int):
@@ -168,34 +264,34 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def train(feats: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, label_col: str = "quality", id_col: str = "doc_id") -> Model | float:
-    """A model from the labels outside the held-out fold, or the rate of positives where there is nothing to tell apart."""
+def train(feats: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, label_col: str = "quality", id_col: str = "doc_id") -> tuple[Model, float] | None:
+    """A model and the class prior from the positives outside the held-out fold and all rows outside it; None where there is nothing to learn from."""
     key = F.xxhash64(F.col(id_col))
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).select(F.col(id_col), F.col(label_col).cast("int").alias("y"))
-    rate = known.agg(F.avg("y")).first()[0]
-    if rate is None or rate in (0.0, 1.0):
-        return 0.5 if rate is None else rate
-    take = lambda df, n: df.orderBy(key, id_col).limit(n)
-    chosen = take(known.where("y = 1"), POSITIVES).withColumn("role", F.lit(0)).unionByName(take(known, CALIBRATION).withColumn("role", F.lit(1)))
-    free = take(feats.where(F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)), UNLABELLED).select(F.lit(2).alias("role"), F.lit(0).alias("y"), "features")
-    rows = feats.join(F.broadcast(chosen), id_col).select("role", "y", "features").unionByName(free).toArrow()
-    role, y = rows.column("role").to_numpy(), rows.column("y").to_numpy()
-    x = rows.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES).astype(np.float64)
-    if not (role == 0).any() or not (role == 2).any() or len(set(y[role == 1])) < 2:
-        return rate
-    return Model(rate).fit(x[role == 0], x[role == 2]).calibrate(x[role == 1], y[role == 1])
-
-
-def score(feats: DataFrame, model: Model | float, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) of each row of feats."""
+    known = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold)).select(id_col).distinct()
+    chosen = known.orderBy(key, id_col).limit(POSITIVES)
+    # of rows that share an id one is taken, so that what reaches the driver is bounded too
+    found = feats.join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min("features").alias("features")).orderBy(key, id_col).select("features").toArrow()
+    free = feats.where(F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
+    n, mean, scale = _moments(free)
+    if len(found) < 2 or n < 2:
+        return None
+    positive = np.concatenate([_rows(b) for b in found.to_batches() if b.num_rows])
+    # the first half in the order of a hash shows what positives look like, the other half how many of the rows do
+    half = len(positive) // 2
+    teller = _fitted(free, positive[:half], None, mean, scale, ROUNDS[0])
+    prior = best_bin(_bins(teller.logit(positive[half:])), _scores(free, teller, _bins))
+    return _shifted(free, _fitted(free, positive, prior, mean, scale, ROUNDS[1]), prior), prior
+
+
+def score(feats: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:
+    """(id, score) of each row of feats; without a model 0.5."""
 
     def run(batches):
         for b in batches:
-            if isinstance(model, Model):
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
-                s = 1 / (1 + np.exp(-np.clip(model.logit(x), -30, 30)))
+            if model is None:
+                s = np.full(b.num_rows, 0.5)
             else:
-                s = np.full(b.num_rows, float(model))
+                s = 1 / (1 + np.exp(-np.clip(model.logit(_rows(b.select([1]))), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=[id_col, "score"])
 
     return feats.select(id_col, "features").mapInArrow(run, f"`{id_col}` {feats.schema[id_col].dataType.simpleString()}, score double")
@@ -204,5 +300,6 @@ def score(feats: DataFrame, model: Model | float, id_col: str = "doc_id") -> Dat
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 0, label_col: str = "quality", cut: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted) of each row of docs."""
     feats = written(features(docs, id_col, text_col))
-    scored = score(feats, train(feats, labels, folds, fold, label_col, id_col), id_col)
+    trained = train(feats, labels, folds, fold, label_col, id_col)
+    scored = score(feats, trained and trained[0], id_col)
     return scored.select(id_col, held_out(id_col, folds, fold).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
