@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import new_path
+from .tables import new_path, written
 from .textbytes import text_column
 
 
@@ -120,6 +120,8 @@ def findings(docs: DataFrame, ledger: str, rules=RULES, id_col: str = "doc_id",
     hits = _ledger(spark, ledger).where(F.size("found") > 0).select("blob", F.explode(kept).alias("x")).distinct().groupBy("blob").agg(F.collect_list("x").alias("found"))
     ranked = F.array_sort(F.transform("found", lambda x: F.struct(x["start"], order[pair(x)].alias("order"), x["end"], x["kind"], x["version"])))
     hits = hits.select(F.col("blob").alias("_b"), F.transform(ranked, lambda x: F.struct(x["kind"], x["version"], x["start"], x["end"])).alias("found"))
+    # written, so that the join below is dealt by itself and Spark can split a blob that many paths hold
+    hits = written(hits)
     paths = _versions(docs, id_col, text_col).select("path", "blob")
     joined = paths.join(hits.hint("merge"), F.col("blob") == F.col("_b"), "left")
     return joined.select(F.col("path").alias(id_col), "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
