@@ -9,7 +9,7 @@ from barloom.functions import features as ft
 from barloom.functions import frames as fr
 from barloom.functions import unit_root as ur
 from barloom.functions.differences import convolved
-from barloom.operators.slices import in_slices, last_known
+from barloom.operators.slices import in_slices, last_known, numbered
 from barloom.sources.cut import cut
 
 #: Columns that bars may have and that are none of their features.
@@ -47,11 +47,15 @@ def with_direction(bars: DataFrame, size: int = SLICE) -> DataFrame:
     return b.withColumn("_way", F.coalesce("_way", F.lit(1.0))).drop("_move")
 
 
-def trade_features(trades: DataFrame, n: int = 20) -> DataFrame:
-    """trades with order_book_imbalance (sold less bought over both) and trade_flow_imbalance (mean sign) of the last n trades of the symbol."""
+def trade_features(trades: DataFrame, n: int = 20, size: int = 200_000) -> DataFrame:
+    """trades with order_book_imbalance (sold less bought over both) and trade_flow_imbalance (mean sign) of the last n trades of the symbol, on slices of `size` trades."""
     w = W.partitionBy("symbol").orderBy("time", "id").rowsBetween(1 - n, 0)
     sold = F.when(F.col("is_buyer_maker"), F.col("qty")).otherwise(-F.col("qty"))
-    return trades.withColumn("order_book_imbalance", F.try_divide(F.sum(sold).over(w), F.sum("qty").over(w))).withColumn("trade_flow_imbalance", F.avg(F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0)).over(w))
+
+    def both(t):
+        return t.withColumn("order_book_imbalance", F.try_divide(F.sum(sold).over(w), F.sum("qty").over(w))).withColumn("trade_flow_imbalance", F.avg(F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0)).over(w))
+
+    return in_slices(numbered(trades), both, size, n - 1, "number").drop("number")
 
 
 def with_trades(bars: DataFrame, trades: DataFrame, keep=ft.KEYS, n: int = 20) -> DataFrame:

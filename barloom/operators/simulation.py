@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.features import ordered
+from barloom.sources.cut import cut
 
 # Maker and taker fees in basis points of the ten tiers.
 FEE_TIERS = ((2, 5), (1.6, 4), (1.4, 3.5), (1.2, 3.2), (1, 3), (0.8, 2.7), (0.6, 2.5), (0.4, 2.2), (0.2, 2), (0, 1.7))
@@ -25,6 +26,30 @@ def funding_cost(entry: Column, exit_: Column, notional: Column, side: Column, r
     return F.when((entry >= exit_) | (notional <= 0), 0.0).otherwise(events * rate * notional * side)
 
 
+def funding_costs(positions: DataFrame, rates: DataFrame, default: float = 1e-4, hours: int = 8) -> DataFrame:
+    """positions (symbol, entry, exit, notional, side, ...) with `funding`: payments at every `hours` hours in (entry, exit], each at the rate known then.
+
+    rates: (symbol, time, rate), a rate holding from its time on, `default` before the
+    first; of several at one time the largest. The rates are summed once along each
+    symbol's grid of payments, a row for each payment between the first entry and the
+    last exit, and a position is two lookups in the sums, however long it is held.
+    """
+    step = hours * 3_600_000
+    p = positions.withColumn("_a", F.floor(F.col("entry") / step)).withColumn("_b", F.floor(F.col("exit") / step))
+    grid = p.groupBy("symbol").agg(F.min("_a").alias("low"), F.max(F.greatest("_a", "_b")).alias("high")).where("low is not null")
+    grid = grid.select("symbol", F.explode(F.sequence("low", "high")).alias("k"))
+    known = rates.groupBy("symbol", "time").agg(F.max("rate").alias("rate"))
+    rows = known.select("symbol", F.col("time").alias("_t"), F.lit(None).cast("long").alias("k"), "rate").unionByName(grid.select("symbol", (F.col("k") * step).alias("_t"), "k", F.lit(None).cast("double").alias("rate")))
+    # at one time a rate comes before the payment
+    past = W.partitionBy("symbol").orderBy("_t", F.col("k").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_now", F.coalesce(F.last("rate", True).over(past), F.lit(default))).where("k is not null")
+    sums = rows.select("symbol", "k", F.sum("_now").over(W.partitionBy("symbol").orderBy("k").rowsBetween(W.unboundedPreceding, 0)).alias("sum"))
+    p = p.join(sums.select("symbol", F.col("k").alias("_a"), F.col("sum").alias("_from")), ["symbol", "_a"], "left").join(sums.select("symbol", F.col("k").alias("_b"), F.col("sum").alias("_to")), ["symbol", "_b"], "left")
+    none = (F.col("entry") >= F.col("exit")) | (F.col("notional") <= 0)
+    cost = F.when(none, 0.0).otherwise((F.col("_to") - F.col("_from")) * F.col("notional") * F.col("side"))
+    return p.select(*(p[c] for c in positions.columns), cost.alias("funding"))
+
+
 def limit_price(mid: Column, spread: Column, side: Column, size: Column, gamma: float = 0.1, kappa: float = 1.5, urgency: float = 0.5) -> Column:
     """Around the mid by the optimal half spread, closer for urgent and large orders."""
     import math
@@ -190,14 +215,17 @@ def simulate(signals: DataFrame, bars: DataFrame, mode: str = "simple", capital:
 
     if "meta_probability" not in signals.columns:
         signals = signals.withColumn("meta_probability", F.lit(0.5))
-    bars = bars.join(signals.select("symbol").distinct(), "symbol", "left_semi")
+    # several branches below start from the bars and the positions: each is worked out once
+    signals = cut(signals)
+    bars = cut(bars.join(signals.select("symbol").distinct(), "symbol", "left_semi"))
     curves, results = [], []
     for each in ("simple", "realistic") if mode == "both" else (mode,):
         taken = signals if each == "simple" else orders.accepted(signals)
-        held = positions(taken, bars)
+        held = cut(positions(taken, bars))
         exposed = exposure(held, bars)
         curve = equity(exposed, capital, fee_bps) if each == "simple" else orders.realistic_equity(exposed, orders.funding(taken, held, bars), capital, **costs)
         curve = curve.select(F.lit(each).alias("mode"), "symbol", "bar_idx", "timestamp", "exposure", "equity", "drawdown", (F.abs("exposure") * F.col("equity")).alias("invested"))
+        curve = cut(curve)
         curves.append(curve)
         results.append(performance(curve, closed(taken, held, bars), capital).select(F.lit(each).alias("mode"), "*"))
     return reduce(DataFrame.unionByName, curves), reduce(DataFrame.unionByName, results)

@@ -30,14 +30,14 @@ def numbered(trades: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.withColumn("number", (F.col("before") + own - 1).cast("long")).drop("bucket", "before")
 
 
-def in_slices(bars: DataFrame, make: Callable[[DataFrame], DataFrame], size: int, halo: int) -> DataFrame:
+def in_slices(bars: DataFrame, make: Callable[[DataFrame], DataFrame], size: int, halo: int, number: str = "bar_idx") -> DataFrame:
     """make(bars), worked out on slices of `size` bars and the `halo` bars before each.
 
-    bars: numbered from 0 by bar_idx. make may look back over windows of a symbol's
-    bars in their order, `halo` at most, and keeps symbol and bar_idx; it sees a
+    bars: numbered from 0 by column `number`. make may look back over windows of a symbol's
+    bars in their order, `halo` at most, and keeps symbol and number; it sees a
     (symbol, slice) as the symbol.
     """
-    at = F.col("bar_idx")
+    at = F.col(number)
     # the greatest slice is not known here: a copy in a slice without bars of its own is dropped with the halo
     copies = F.sequence(F.floor(at / size), F.floor((at + halo) / size))
     cut = bars.withColumn("_slice", F.explode(copies)).withColumn("symbol", F.struct(F.col("symbol").alias("name"), F.col("_slice").alias("slice"))).drop("_slice")

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from barloom.functions import features as ft
 from barloom.functions import frames as fr
+from barloom.functions import table
 from barloom.functions.differences import fractional
 from barloom.operators import bars as ob
 from barloom.operators import labels as ol
 from barloom.operators import simulation as sim
 from barloom.operators.slices import in_slices
+from barloom.sources import store
 from barloom.sources import trades as src
+from barloom.sources.cut import cut
+from barloom.streaming import signals as live
 
 QUERIES, ORACLES = {}, {}
 _CTE = """WITH tape AS (SELECT event_id AS id, event_type AS symbol, value AS price, 0.1 + CAST(json_extract_string(props, '$.k') AS BIGINT) / 100.0 AS qty, epoch_us(ts) // 1000 AS time, user_id % 2 = 0 AS is_buyer_maker FROM events),
@@ -46,6 +50,22 @@ def six_hours(tape):
     return ob.time_bars(tape, "6h")
 
 
+def kept_six_hours(tape):
+    """six_hours for plans that read the bars several times: made once."""
+    return cut(six_hours(tape))
+
+
+def in_bars(tape, bars):
+    """The trades in six-hour bars, with the number of theirs; those of the open window are left out."""
+    win = lambda c: F.floor(F.col(c) / 21_600_000).alias("win")
+    return tape.withColumn("win", win("time")).join(bars.select("symbol", win("timestamp"), "bar_idx"), ["symbol", "win"]).drop("win")
+
+
+def _trades_on_bars(t):
+    b = six_hours(t)
+    return table.with_trades(b, in_bars(t, b), keep=("symbol", "bar_idx", "timestamp")).withColumnRenamed("order_book_imbalance", "imbalance").drop("trade_flow_imbalance")
+
+
 def in_parts(make, halo=68):
     """make on slices of a few bars of the tape's six-hour bars: several tasks for each symbol, small as the tape is."""
     return lambda t: in_slices(six_hours(t), make, 32, halo)
@@ -152,9 +172,7 @@ register("f44_calendar", in_parts(lambda b: ft.calendar(b)), f"SELECT symbol, ba
 
 
 def _imbalance(t):
-    w = W.partitionBy("symbol").orderBy("time", "id").rowsBetween(-19, 0)
-    buy, sell = F.sum(F.when(~F.col("is_buyer_maker"), F.col("qty")).otherwise(0.0)).over(w), F.sum(F.when(F.col("is_buyer_maker"), F.col("qty")).otherwise(0.0)).over(w)
-    return t.select("symbol", "id", F.try_divide(sell - buy, sell + buy).alias("imbalance"), F.avg(F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0)).over(w).alias("flow"))
+    return table.trade_features(t, 20, 500).select("symbol", "id", F.col("order_book_imbalance").alias("imbalance"), F.col("trade_flow_imbalance").alias("flow"))
 
 
 register("f35_trade_imbalance", _imbalance, "SELECT symbol, id, " + _r("sum(CASE WHEN is_buyer_maker THEN qty ELSE -qty END) OVER w / sum(qty) OVER w", "imbalance", 9) + ", " + _r("avg(CASE WHEN is_buyer_maker THEN -1.0 ELSE 1.0 END) OVER w", "flow", 9) + " FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY time, id ROWS 19 PRECEDING)", 9)
@@ -231,7 +249,7 @@ register("j06_positions", lambda t: sim.positions(_signals(six_hours(t)), six_ho
 
 
 def _exposed(t):
-    b = six_hours(t)
+    b = kept_six_hours(t)
     return sim.exposure(sim.positions(_signals(b), b), b)
 
 
@@ -241,10 +259,23 @@ register("e02_equity", lambda t: sim.equity(_exposed(t)).select("symbol", "bar_i
 eq AS (SELECT *, 10000 * exp(sum(CASE WHEN f > 0 THEN ln(f) END) OVER (PARTITION BY symbol ORDER BY bar_idx)) AS equity FROM fa) SELECT symbol, bar_idx, {_r('exposure', 'exposure')}, {_r('equity / greatest(10000, max(equity) OVER (PARTITION BY symbol ORDER BY bar_idx)) - 1', 'drawdown')} FROM eq""")
 register("a02_signal_metrics", lambda t: _signals(six_hours(t)).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("longs"), F.count_if(F.col("side") == -1).alias("shorts"), F.avg("size").alias("mean_size")), _SIG + f" SELECT symbol, count(*) AS n, count(*) FILTER (side = 1) AS longs, count(*) FILTER (side = -1) AS shorts, {_r('avg(size)', 'mean_size')} FROM sg GROUP BY symbol")
 register("a13_median_interval", lambda t: six_hours(t).withColumn("d", F.col("timestamp") - ft.lag("timestamp")).groupBy("symbol").agg(F.median("d").alias("median_ms")), f" SELECT symbol, {_r('median(d)', 'median_ms')} FROM (SELECT symbol, timestamp - lag(timestamp) OVER (PARTITION BY symbol ORDER BY bar_idx) AS d FROM bars) GROUP BY symbol")
-register("o04_newest_bars", lambda t: six_hours(t).where("symbol = 'click'").orderBy(F.desc("timestamp")).limit(50).select("symbol", "bar_idx", "timestamp", "close"), f" SELECT symbol, bar_idx, timestamp, {_r('close', 'close')} FROM bars WHERE symbol = 'click' ORDER BY timestamp DESC LIMIT 50")
-register("o08_last_100_bars", lambda t: six_hours(t).withColumn("k", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bar_idx")))).where("k <= 100").select("symbol", "bar_idx", "close"), f" SELECT symbol, bar_idx, {_r('close', 'close')} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) <= 100")
+register("o04_newest_bars", lambda t: store.newest(six_hours(t), 50, symbol="click").select("symbol", "bar_idx", "timestamp", "close"), f" SELECT symbol, bar_idx, timestamp, {_r('close', 'close')} FROM bars WHERE symbol = 'click' ORDER BY timestamp DESC LIMIT 50")
+register("o08_last_100_bars", lambda t: live.last_bars(six_hours(t)).select("symbol", "timestamp", "close"), f" SELECT symbol, timestamp, {_r('close', 'close')} FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_idx DESC) <= 100")
 register("u05_latest_bar_of_timestamp", lambda t: six_hours(t).groupBy("timestamp").agg(F.max_by("close", F.struct("symbol", "bar_idx")).alias("close")), f" SELECT timestamp, {_r('arg_max(close, (symbol, bar_idx))', 'close')} FROM bars GROUP BY timestamp")
 register("s08_symbols", lambda t: t.select("symbol").distinct(), " SELECT DISTINCT symbol FROM tape")
-register("s14_retention", lambda t: t.where(F.col("time") >= F.lit(1706572800000 - 86400000)).select("id", "time"), " SELECT id, time FROM tape WHERE time >= 1706572800000 - 86400000")
-register("e12_bbo_stats", lambda t: src.quotes(t).select("symbol", "id", F.avg(F.when(F.col("mid") > 0, F.col("spread") / F.col("mid") * 1e4)).over(W.partitionBy("symbol").orderBy("time", "id").rowsBetween(-99, 0)).alias("avg_spread_bps")), f" SELECT symbol, id, {_r('avg((price * (1 + 1e-4) - price * (1 - 1e-4)) / ((price * (1 + 1e-4) + price * (1 - 1e-4)) / 2) * 1e4) OVER (PARTITION BY symbol ORDER BY time, id ROWS 99 PRECEDING)', 'avg_spread_bps')} FROM tape")
-register("j03_trade_features_on_bars", lambda t: six_hours(t).select("symbol", "bar_idx", "timestamp").join(_imbalance(t).join(t.select("id", "time"), "id").groupBy("symbol", F.floor(F.col("time") / 21600000).alias("win")).agg(F.max_by("imbalance", F.struct("time", "id")).alias("imbalance")).withColumn("bar_idx", (F.row_number().over(W.partitionBy("symbol").orderBy("win")) - 1).cast("long")).drop("win"), ["symbol", "bar_idx"], "left"), f", im AS (SELECT symbol, id, time, sum(CASE WHEN is_buyer_maker THEN qty ELSE -qty END) OVER w / sum(qty) OVER w AS x FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY time, id ROWS 19 PRECEDING)), k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time // 21600000) - 1 AS bar_idx, arg_max(x, (time, id)) AS x FROM im GROUP BY symbol, time // 21600000) SELECT bars.symbol, bars.bar_idx, bars.timestamp, {_r('k.x', 'imbalance')} FROM bars LEFT JOIN k USING (symbol, bar_idx)")
+# three rates of each symbol, the second one negative, each from its time on
+_RATES = ((1704110400000, 1e-4), (1704542400000, -2e-4), (1705406400000, 3e-4))
+
+
+def _funded(t):
+    rates = t.select("symbol").distinct().select("symbol", F.explode(F.array(*(F.struct(F.lit(a).alias("time"), F.lit(r).alias("rate")) for a, r in _RATES))).alias("x")).select("symbol", "x.*")
+    p = t.select("id", "symbol", F.col("time").alias("entry"), (F.col("time") + F.col("id") % 200 * 6_000_000).alias("exit"), F.col("quote_qty").alias("notional"), F.when(F.col("is_buyer_maker"), -1).otherwise(1).alias("side"))
+    return sim.funding_costs(p, rates, default=5e-5).select("id", "symbol", "funding")
+
+
+register("e13_changing_rates", _funded, f""", p AS (SELECT id, symbol, time AS a, time + id % 200 * 6000000 AS b, price * qty AS n, CASE WHEN is_buyer_maker THEN -1 ELSE 1 END AS side FROM tape),
+ev AS (SELECT id, unnest(range(a // 28800000 + 1, b // 28800000 + 1)) * 28800000 AS at FROM p), rt AS (SELECT unnest({[a for a, _ in _RATES]}) AS since, unnest({[r for _, r in _RATES]}::DOUBLE[]) AS rate),
+s AS (SELECT ev.id, sum(coalesce(rt.rate, 0.00005)) AS rate FROM ev ASOF LEFT JOIN rt ON ev.at >= rt.since GROUP BY ev.id) SELECT p.id, p.symbol, {_r('coalesce(s.rate, 0) * n * side', 'funding', 9)} FROM p LEFT JOIN s USING (id)""", 9)
+register("s14_retention", lambda t: store.kept(t, "ticks", 1706572800000).select("id", "time"), " SELECT id, time FROM tape WHERE time >= 1706572800000 - 86400000")
+register("e12_bbo_stats", lambda t: src.mean_spread(src.quotes(t)).select("symbol", "id", "avg_spread_bps"), f" SELECT symbol, id, {_r('avg((price * (1 + 1e-4) - price * (1 - 1e-4)) / ((price * (1 + 1e-4) + price * (1 - 1e-4)) / 2) * 1e4) OVER (PARTITION BY symbol ORDER BY time, id ROWS 99 PRECEDING)', 'avg_spread_bps')} FROM tape")
+register("j03_trade_features_on_bars", _trades_on_bars, f", im AS (SELECT symbol, id, time, sum(CASE WHEN is_buyer_maker THEN qty ELSE -qty END) OVER w / sum(qty) OVER w AS x FROM tape WINDOW w AS (PARTITION BY symbol ORDER BY time, id ROWS 19 PRECEDING)), k AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY time // 21600000) - 1 AS bar_idx, arg_max(x, (time, id)) AS x FROM im GROUP BY symbol, time // 21600000) SELECT bars.symbol, bars.bar_idx, bars.timestamp, {_r('k.x', 'imbalance', 9)} FROM bars LEFT JOIN k USING (symbol, bar_idx)", 9)

@@ -13,7 +13,7 @@ from barloom.operators import labels as ol
 from barloom.operators import learning, orders
 from barloom.operators import simulation as sim
 from barloom.operators import walk_forward as wf
-from barloom.plans.catalog import _CTE, _EXP, _O, _SIG, _SQL, _W, ORACLES, QUERIES, _r, _signals, in_parts, register, six_hours
+from barloom.plans.catalog import _CTE, _EXP, _O, _SIG, _SQL, _W, ORACLES, QUERIES, _r, _signals, in_bars, in_parts, kept_six_hours, register, six_hours
 from barloom.sources import trades as src
 from barloom.streaming import signals as live
 
@@ -171,14 +171,14 @@ def _wide(sql):
 
 
 def _realistic(t):
-    b = six_hours(t)
+    b = kept_six_hours(t)
     s = orders.accepted(_far(b).withColumn("meta_probability", F.col("signal_id") % 5 / 10.0 + 0.6))
     held = sim.positions(s, b)
     return orders.realistic_equity(sim.exposure(held, b), orders.funding(s, held, b))
 
 
 def _held(t):
-    b = six_hours(t)
+    b = kept_six_hours(t)
     return sim.exposure(sim.positions(_far(b), b), b)
 
 
@@ -226,12 +226,18 @@ register("q08_equity_of_range", lambda t: _performance(t, 1_704_500_000_000, 1_7
 
 
 def _both_modes(t):
+    """Signals whose price barriers are met, in both modes: (curves, measures)."""
     b = six_hours(t)
-    curves, _ = sim.simulate(_mixed(b).withColumn("meta_probability", F.col("signal_id") % 5 / 10.0 + 0.6), b, "both")
-    return curves.groupBy("mode", "symbol").agg(F.count("*").alias("n_bars"))
+    return sim.simulate(_signals(b).withColumn("meta_probability", F.col("signal_id") % 5 / 10.0 + 0.6), b, "both")
 
 
-register("e04_modes", _both_modes, " SELECT mode, symbol, count(*) AS n_bars FROM bars CROSS JOIN (SELECT unnest(['simple', 'realistic']) AS mode) GROUP BY ALL")
+_SIMPLE = ORACLES["e02_equity"].rsplit("SELECT symbol, bar_idx", 1)[0]
+_BOTH = f"""SELECT 'simple' AS mode, * FROM ({_SIMPLE} SELECT symbol, bar_idx, timestamp, exposure, equity FROM eq)
+UNION ALL SELECT 'realistic', * FROM (WITH RECURSIVE {ORACLES["e02_equity"].split(", sg AS", 1)[0][5:]}{_REAL} SELECT wk.symbol, wk.bar_idx, bars.timestamp, st.exposure, wk.equity FROM wk JOIN st USING (symbol, bar_idx) JOIN bars USING (symbol, bar_idx))"""
+register("e04_modes", lambda t: _both_modes(t)[0].select("mode", "symbol", "bar_idx", "exposure", "equity"), f"WITH c AS ({_BOTH}) SELECT mode, symbol, bar_idx, {_r('exposure', 'exposure', 4)}, {_r('equity', 'equity', 3)} FROM c", {"exposure": 4, "equity": 3})
+register("e04_measures", lambda t: _both_modes(t)[1].select("mode", "symbol", "sharpe", "max_dd", "total_return"), f"""WITH c AS ({_BOTH}), q AS (SELECT *, round(equity, 2) AS q2, round(equity / greatest(10000, max(equity) OVER o) - 1, 6) AS d FROM c WINDOW o AS (PARTITION BY mode, symbol ORDER BY bar_idx)),
+rt AS (SELECT *, q2 / lag(q2) OVER (PARTITION BY mode, symbol ORDER BY bar_idx) - 1 AS rr FROM q)
+SELECT mode, symbol, {_r("round(CASE WHEN stddev_pop(rr) > 0 THEN avg(rr) / stddev_pop(rr) * sqrt(31557600000.0 / ((max(timestamp) - min(timestamp)) / (count(*) - 1))) ELSE 0 END, 2)", "sharpe")}, {_r("round(min(d) * 100, 2)", "max_dd")}, {_r("round((arg_max(q2, bar_idx) - 10000) / 100, 2)", "total_return")} FROM rt GROUP BY mode, symbol""")
 
 
 def _averaged_bets(t):
@@ -251,8 +257,8 @@ register("f16_differenced", lambda t: table.differenced(six_hours(t)), _FFD_SQL)
 
 def _feature_table(t):
     """All features; the values whose last digits the summation's order decides are set to null or scaled as in their own queries."""
-    w = F.dense_rank().over(W.partitionBy("symbol").orderBy(F.floor(F.col("time") / 21_600_000))) - 1
-    f = table.all_features(six_hours(t), t.withColumn("bar_idx", w.cast("long")))
+    b = six_hours(t)
+    f = table.all_features(b, in_bars(t, b))
     spread = F.col("spread_variance") > 1e-9
     f = f.withColumn("duration_variance", F.col("duration_variance") / 1e12).withColumn("spread_skew", F.when(spread, F.col("spread_skew"))).withColumn("spread_kurtosis", F.when(spread, F.col("spread_kurtosis")))
     return f.select("symbol", "bar_idx", *table.names(True))

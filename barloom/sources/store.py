@@ -1,13 +1,18 @@
 """The engine's tables as Parquet folders under one root: schemas, appends, and the reads users ask for.
 
-Tables are partitioned by symbol where they have one. Appends check the columns;
-an append of a stream's batch is written over when the batch runs again.
+Tables are partitioned by symbol where they have one, and by day (UTC) where rows are
+kept for a term only. Appends check the columns; an append of a stream's batch is
+written over when the batch runs again.
 """
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+# The columns of the tables, as users of stored data know them.
 _SIGNAL = "symbol STRING, bar_type STRING, labeling_method STRING, timestamp BIGINT, side INT, size DOUBLE, entry_price DOUBLE, sl_price DOUBLE, pt_price DOUBLE, time_barrier BIGINT, meta_probability DOUBLE"
 _STATS = "avg_oos_accuracy DOUBLE, avg_oos_sharpe DOUBLE, avg_oos_max_dd DOUBLE, avg_oos_return DOUBLE, avg_oos_win_rate DOUBLE, avg_insample_recall DOUBLE, overfitting_gap DOUBLE"
 TABLES = {
@@ -32,7 +37,9 @@ def append(df: DataFrame, root: str, name: str, batch: int | None = None) -> Non
     """Adds rows; columns that df lacks are null, others are left out. With a stream's batch number a second run replaces the first."""
     fields = schema(name).fields
     rows = df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
-    keys = [k for k in ("symbol",) if k in rows.columns]
+    if name in KEPT:
+        rows = rows.withColumn("day", F.date_format(F.timestamp_millis(KEPT[name][1]), "yyyy-MM-dd"))
+    keys = [k for k in ("day", "symbol") if k in rows.columns]
     path = f"{root}/{name}/batch={'once' if batch is None else batch}"
     rows.write.mode("append" if batch is None else "overwrite").partitionBy(*keys).parquet(path) if keys else rows.write.mode("append" if batch is None else "overwrite").parquet(path)
 
@@ -64,6 +71,49 @@ def kept(df: DataFrame, name: str, now_ms: int) -> DataFrame:
     return df.where(F.col(at) >= now_ms - term)
 
 
+def _day(ms: int) -> str:
+    return datetime.datetime.fromtimestamp(ms / 1000, datetime.timezone.utc).strftime("%Y-%m-%d")
+
+
+def prune(spark: SparkSession, root: str, now_ms: int, names=None) -> dict[str, tuple[int, int]]:
+    """Deletes the rows that are older than their table's term: (days dropped, days rewritten) of each table.
+
+    Folders of whole days go without a look inside; of the day on the border the rows
+    that stay are written next to it, and the folder takes the old one's place once
+    complete. A second run finds nothing to do. Days that a run was stopped at keep a
+    hidden copy of their old rows (`.old-`), which is put back if nothing took its place.
+    Not for tables that a stream writes at the same moment.
+    """
+    jvm, done = spark._jvm.org.apache.hadoop.fs, {}
+    for name in names or KEPT:
+        term, at = KEPT[name]
+        cut, table = now_ms - term, jvm.Path(f"{root}/{name}")
+        fs = table.getFileSystem(spark._jsc.hadoopConfiguration())
+        dropped = rewritten = 0
+        for old in fs.globStatus(jvm.Path(table, "batch=*/.old-*")) or []:
+            place = jvm.Path(old.getPath().getParent(), f"day={old.getPath().getName()[len('.old-') :]}")
+            fs.delete(old.getPath(), True) if fs.exists(place) else fs.rename(old.getPath(), place)
+        for found in fs.globStatus(jvm.Path(table, "batch=*/day=*")) or []:
+            path, day = found.getPath(), found.getPath().getName()[len("day=") :]
+            if day < _day(cut):
+                fs.delete(path, True)
+                dropped += 1
+            elif day == _day(cut):
+                rows = spark.read.schema(schema(name)).parquet(str(path))
+                if not rows.where(F.col(at) < cut).take(1):
+                    continue
+                batch = path.getParent()
+                new, old = jvm.Path(batch, f".new-{uuid.uuid4().hex}"), jvm.Path(batch, f".old-{day}")
+                left = rows.where(F.col(at) >= cut)
+                left.write.partitionBy(*(k for k in ("symbol",) if k in left.columns)).parquet(str(new))
+                fs.rename(path, old)
+                fs.rename(new, path)
+                fs.delete(old, True)
+                rewritten += 1
+        done[name] = (dropped, rewritten)
+    return done
+
+
 def next_id(df: DataFrame) -> int:
     return (df.agg(F.max("id")).first()[0] or 0) + 1
 

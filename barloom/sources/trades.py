@@ -3,6 +3,7 @@
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TRADE_COLUMNS = ("id", "symbol", "price", "qty", "quote_qty", "time", "is_buyer_maker")
@@ -29,6 +30,12 @@ def quotes(trades: DataFrame, half_spread: float = 1e-4) -> DataFrame:
     return q.withColumn("spread", F.col("ask") - F.col("bid")).withColumn("mid", (F.col("ask") + F.col("bid")) / 2)
 
 
+def mean_spread(quotes: DataFrame, n: int = 100) -> DataFrame:
+    """quotes with avg_spread_bps, the mean spread of the last n quotes of a symbol in basis points of the mid."""
+    w = W.partitionBy("symbol").orderBy("time", "id").rowsBetween(1 - n, 0)
+    return quotes.withColumn("avg_spread_bps", F.avg(F.when(F.col("mid") > 0, F.col("spread") / F.col("mid") * 1e4)).over(w))
+
+
 def file_in_range(name: str, start_ms: int | None, end_ms: int | None) -> bool:
     """Whether a file named by its day can hold trades of the range; names without a day always can."""
     m = re.search(r"(\d{4}-\d{2}-\d{2})", name)

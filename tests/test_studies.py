@@ -110,6 +110,30 @@ def test_store(spark, tmp_path):
     assert store.latest(spark, root, "A", "time", "triple_barrier").first().id == 2 and store.runs(spark, root, symbol="B").count() == 0
 
 
+def test_retention_deletes(spark, tmp_path):
+    root, hour = f"file://{tmp_path}", store.HOUR
+    rows = spark.createDataFrame([(s, "time", i * 6 * hour, float(i)) for s in "AB" for i in range(80)], "symbol string, bar_type string, timestamp long, close double")
+    for k in range(2):
+        store.append(rows.where(f"close % 2 = {k}"), root, "bars", k)
+    store.append(spark.createDataFrame([(1, "A", 5 * hour), (2, "A", 100 * hour)], "id long, symbol string, time long"), root, "ticks")
+    now = 70 * 6 * hour
+    want = sorted(map(tuple, store.kept(store.read(spark, root, "bars"), "bars", now).collect()))
+    files = lambda: {str(p) for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    done = store.prune(spark, root, now)
+    # 70 quarter days less 28 are day 10, half of which stays
+    assert done["bars"] == (20, 2) and done["ticks"] == (2, 0) and done["signals"] == (0, 0)
+    assert sorted(map(tuple, store.read(spark, root, "bars").collect())) == want and len(want) == 76
+    assert not any("day=1970-01-0" in f and "ticks" not in f for f in files()) and len(files()) < len(before)
+    assert store.read(spark, root, "ticks").count() == 0
+    left = files()
+    assert store.prune(spark, root, now)["bars"] == (0, 0) and files() == left
+    # a run that was stopped between its two renames left the old rows aside
+    day = next(p for p in tmp_path.glob("bars/batch=0/day=*"))
+    day.rename(day.parent / f".old-{day.name[4:]}")
+    assert store.prune(spark, root, now)["bars"] == (0, 0) and sorted(map(tuple, store.read(spark, root, "bars").collect())) == want
+
+
 def test_models_learn_save_and_score_a_stream(spark, tmp_path):
     b, _ = bars(spark, 300)
     names = ("realized_volatility", "returns_variance")
