@@ -1,31 +1,30 @@
 """Two models on bars: the side of a trade, and whether that side is right; training, tuning and walking forward.
 
-Models are Spark ML pipelines. Folds are purged per symbol (labels.purged_folds);
-the second model learns from the first one's answers to bars it has not seen.
+Models are boosted trees (operators.boosting). All models of a study, one for each
+window and fold, are grown in the same jobs. Folds are purged per symbol
+(labels.purged_folds); the second model learns from the first one's answers to bars
+it has not seen.
 """
 
-import random
-from concurrent.futures import ThreadPoolExecutor
+import json
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions import features as ft
 from barloom.functions.table import all_features
+from barloom.operators import boosting, tuning
 from barloom.operators import labels as ol
 from barloom.operators import simulation as sim
 from barloom.sources.cut import cut
 
 #: Bars that a label looks ahead, by labelling.
 SPANS = {"triple_barrier": 50, "trend_scanning": 80, "directional_change": 50}
-PRIMARY = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "seed": 42}
-META = {**PRIMARY, "maxIter": 15, "maxDepth": 3, "minInstancesPerNode": 30}
+PRIMARY = {"maxIter": 30, "maxDepth": 5, "maxLeaves": 31, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "seed": 42}
+META = {**PRIMARY, "maxIter": 25, "maxDepth": 4, "maxLeaves": 15, "minInstancesPerNode": 30}
 KEYS = ("symbol", "bar_idx", "timestamp")
 
 
@@ -62,113 +61,173 @@ def matrix(bars: DataFrame, labels: DataFrame | None, names, window: int = 20) -
     return f.join(ol.weights(f).select("symbol", "bar_idx", "weight"), ["symbol", "bar_idx"])
 
 
-def _balanced(m: DataFrame, target) -> DataFrame:
-    """m with the target and a weight whose sum is the same for both targets and whose mean is 1."""
-    m = m.withColumn("target", target.cast("double"))
-    sums = {r["target"]: r["w"] for r in m.groupBy("target").agg(F.sum("weight").alias("w")).collect()}
-    n = m.count() / max(len(sums), 1)
-    scale = F.lit(0.0)
-    for value, w in sums.items():
-        scale = F.when(F.col("target") == value, n / w if w else 1.0).otherwise(scale)
-    return m.withColumn("w", F.col("weight") * scale)
+@dataclass
+class Model:
+    """A forest and the columns it looks at."""
 
+    forest: boosting.Forest
+    names: list[str]
 
-def _fit(m: DataFrame, names, params: dict) -> PipelineModel:
-    steps = [VectorAssembler(inputCols=list(names), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="vector", withMean=True), GBTClassifier(featuresCol="vector", labelCol="target", weightCol="w", **params)]
-    return Pipeline(stages=steps).fit(m)
 
+def _vector(names):
+    return F.array(*(F.col(n).cast("double") for n in names))
 
-def _probability(model: PipelineModel, m: DataFrame, name: str) -> DataFrame:
-    out = model.transform(m).withColumn(name, vector_to_array("probability")[1])
-    return out.select(*m.columns, name)
 
+def _balanced(rows: DataFrame, target) -> DataFrame:
+    """rows (model, weight, ...) with y and w, whose sum in a model is the same for both targets and whose mean is 1; models with one target are left out."""
+    rows = rows.withColumn("y", target.cast("double"))
+    sums = rows.groupBy("model", "y").agg(F.sum("weight").alias("_s"), F.count("*").alias("_n"))
+    whole = sums.groupBy("model").agg(F.sum("_n").alias("_all"), F.count("*").alias("_targets")).where("_targets = 2")
+    scale = sums.join(whole, "model").select("model", "y", F.coalesce(F.try_divide(F.col("_all") / 2, F.col("_s")), F.lit(1.0)).alias("_scale"))
+    return rows.join(scale, ["model", "y"]).withColumn("w", F.col("weight") * F.col("_scale")).drop("_scale")
 
-def fit_primary(m: DataFrame, names, params: dict | None = None) -> PipelineModel:
-    return _fit(_balanced(m, F.col("label") == 1), names, {**PRIMARY, **(params or {})})
 
+def _forests(m: DataFrame, members: DataFrame, names, params: dict) -> dict[int, boosting.Forest]:
+    """The models of members (symbol, bar_idx, model, y, w) on the features of m: a row's features are held once, whatever the models it is in."""
+    lists = members.groupBy("symbol", "bar_idx").agg(F.collect_list(F.struct(F.col("model").cast("int").alias("model"), "y", "w")).alias("members"))
+    return boosting.fit(m.join(lists, ["symbol", "bar_idx"]).select(_vector(names).alias("x"), "members"), params)
 
-def with_side(model: PipelineModel, m: DataFrame) -> DataFrame:
-    """m with p_long and the side: 1 where that is half or more, else -1."""
-    return _probability(model, m, "p_long").withColumn("primary_side", F.when(F.col("p_long") >= 0.5, 1).otherwise(-1))
 
+def _with_probability(models: dict[int, boosting.Forest], m: DataFrame, model, names, name: str) -> DataFrame:
+    return m.withColumn(name, boosting.probability(models, model.cast("int"), _vector(names)))
 
-def fit_meta(m: DataFrame, names, params: dict | None = None) -> PipelineModel:
-    """From rows with primary_side: whether it is the label."""
-    return _fit(_balanced(m, F.col("primary_side") == F.col("label")), [*names, "primary_side"], {**META, **(params or {})})
 
+def _sided(m: DataFrame) -> DataFrame:
+    return m.withColumn("primary_side", F.when(F.col("p_long") >= 0.5, 1).otherwise(-1))
 
-def _folds(m: DataFrame, folds: int, hold: int, embargo: float):
-    roles = ol.purged_folds(m, folds, hold, embargo)
-    for k in range(folds):
-        r = m.join(roles.where((F.col("fold") == k) & F.col("role").isin("train", "test")).select("symbol", "bar_idx", "role"), ["symbol", "bar_idx"])
-        yield r.where("role = 'train'").drop("role"), r.where("role = 'test'").drop("role")
 
+def with_side(model: Model, m: DataFrame) -> DataFrame:
+    """m with p_long and the side: 1 where that is half or more, else -1."""
+    return _sided(_with_probability({0: model.forest}, m, F.lit(0), model.names, "p_long"))
 
-def unseen_sides(m: DataFrame, names, folds: int = 5, hold: int = 50, embargo: float = 0.01, params: dict | None = None, at_once: int = 1) -> DataFrame:
-    """m with the side that a model of the other folds gives each bar; a fold whose other bars have one label only gives none."""
 
-    def part(pair):
-        train, test = pair
-        return with_side(fit_primary(train, names, params), test) if len(train.select("label").distinct().take(2)) == 2 else None
+def fit_primary(m: DataFrame, names, params: dict | None = None) -> Model:
+    members = _balanced(m.select("symbol", "bar_idx", "label", "weight", F.lit(0).alias("model")), F.col("label") == 1)
+    return Model(_forests(m, members, names, {**PRIMARY, **(params or {})}).get(0, boosting.Forest()), list(names))
 
-    with ThreadPoolExecutor(at_once) as pool:
-        parts = [p for p in pool.map(part, _folds(m, folds, hold, embargo)) if p is not None]
-    if not parts:
+
+def two_models(m: DataFrame, names, folds: int = 5, hold: int = 50, embargo: float = 0.01, params: dict | None = None, meta_params: dict | None = None) -> tuple[dict, dict, DataFrame]:
+    """Both models of every group of m (group int, KEYS, features, label, weight): {group: first}, {group: second} and the rows with the side that a model of the other folds gives them.
+
+    The first models of all groups and folds are one fit, the second ones another. A
+    group or fold whose rows have one target has no model, and its rows no side; where
+    a first model is never or always right there is no second one.
+    """
+    m = cut(m)
+    roles = ol.purged_folds(m, folds, hold, embargo).where(F.col("role").isin("train", "test")).join(m.select("symbol", "bar_idx", "group", "label", "weight"), ["symbol", "bar_idx"])
+    roles = cut(roles.withColumn("model", F.col("group") * (folds + 1) + F.col("fold")))
+    every = m.select("symbol", "bar_idx", "label", "weight", (F.col("group") * (folds + 1) + folds).alias("model"))
+    members = _balanced(every.unionByName(roles.where("role = 'train'").select(every.columns)), F.col("label") == 1)
+    first = _forests(m, members, names, {**PRIMARY, **(params or {})})
+    tests = roles.where("role = 'test'").select("symbol", "bar_idx", "model")
+    sided = cut(_sided(_with_probability(first, m.join(tests, ["symbol", "bar_idx"]), F.col("model"), names, "p_long").where("p_long is not null").drop("model")))
+    rows = sided.select("symbol", "bar_idx", "label", "weight", "primary_side", F.col("group").alias("model"))
+    second = _forests(sided, _balanced(rows, F.col("primary_side") == F.col("label")), [*names, "primary_side"], {**META, **(meta_params or {})})
+    return {k // (folds + 1): f for k, f in first.items() if k % (folds + 1) == folds}, second, sided
+
+
+def unseen_sides(m: DataFrame, names, folds: int = 5, hold: int = 50, embargo: float = 0.01, params: dict | None = None) -> DataFrame:
+    """m with the side that a model of the other folds gives each bar; a fold whose other bars have one label only gives none."""
+    sided = two_models(m.withColumn("group", F.lit(0)), names, folds, hold, embargo, params, {"maxIter": 0})[2].drop("group")
+    if not sided.take(1):
         raise ValueError("no fold has both labels in its other bars")
-    return reduce(DataFrame.unionByName, parts)
+    return sided
 
 
-def scores(sided: DataFrame) -> dict:
+def _measures() -> list:
     """Accuracy, precision and recall of primary_side, long being positive, and the log loss of p_long; 0 where undefined."""
     right, longs, said = F.col("primary_side") == F.col("label"), F.col("label") == 1, F.col("primary_side") == 1
-    r = sided.agg(F.avg(right.cast("double")).alias("accuracy"), F.try_divide(F.count_if(right & said), F.count_if(said)).alias("precision"), F.try_divide(F.count_if(right & longs), F.count_if(longs)).alias("recall"), F.count("*").alias("n"), (-F.avg(F.ln(F.greatest(F.when(longs, F.col("p_long")).otherwise(1 - F.col("p_long")), F.lit(1e-15))))).alias("log_loss")).first()
-    return {k: v or 0.0 for k, v in r.asDict().items()}
+    each = {"accuracy": F.avg(right.cast("double")), "precision": F.try_divide(F.count_if(right & said), F.count_if(said)), "recall": F.try_divide(F.count_if(right & longs), F.count_if(longs)), "n": F.count("*"), "log_loss": -F.avg(F.ln(F.greatest(F.when(longs, F.col("p_long")).otherwise(1 - F.col("p_long")), F.lit(1e-15))))}
+    return [F.coalesce(v, F.lit(0)).alias(k) for k, v in each.items()]
+
+
+def scores(sided: DataFrame) -> dict:
+    return sided.agg(*_measures()).first().asDict()
 
 
-def tune(m: DataFrame, names, trials: int = 10, folds: int = 3, hold: int = 50, measure: str = "recall", seed: int = 42) -> dict:
-    """The parameters of `trials` random ones with the best mean measure over purged folds."""
-    pick, best = random.Random(seed), (float("-inf"), {})
-    for _ in range(trials):
-        params = {"maxIter": pick.choice((20, 50, 100)), "maxDepth": pick.randint(3, 7), "stepSize": pick.choice((0.02, 0.05, 0.1)), "subsamplingRate": pick.choice((0.6, 0.8, 1.0)), "minInstancesPerNode": pick.choice((10, 20, 50))}
-        value = [(-1 if measure == "log_loss" else 1) * scores(with_side(fit_primary(train, names, params), test))[measure] for train, test in _folds(m, folds, hold, 0.01)]
-        best = max(best, (sum(value) / len(value), params), key=lambda x: x[0])
-    return best[1]
+#: What tune searches.
+SPACE = {
+    "maxIter": tuning.Parameter("int", 10, 80), "maxDepth": tuning.Parameter("int", 3, 7), "maxLeaves": tuning.Parameter("int", 7, 63), "stepSize": tuning.Parameter("log", 0.01, 0.3),
+    "subsamplingRate": tuning.Parameter("float", 0.5, 1.0), "minInstancesPerNode": tuning.Parameter("int", 5, 60),
+}
 
 
-def train(bars: DataFrame, labels: DataFrame, names, hold: int = 50, folds: int = 5, params: dict | None = None, least: int = 100) -> dict:
-    """{'primary', 'meta', 'features', 'metrics'}; an error below `least` bars or without labelled rows."""
+def tune(m: DataFrame, names, trials: int = 10, folds: int = 3, hold: int = 50, measure: str = "recall", seed: int = 42, space: dict | None = None) -> dict:
+    """The parameters with the best mean measure over purged folds, by tuning.search: a trial is stopped after its first fold where that is below the median of the trials before."""
+    m = cut(m)
+    roles = cut(ol.purged_folds(m, folds, hold, 0.01).where(F.col("role").isin("train", "test")).join(m.select("symbol", "bar_idx", "label", "weight"), ["symbol", "bar_idx"]).withColumnRenamed("fold", "model"))
+    sign = -1 if measure == "log_loss" else 1
+
+    def values(params):
+        found = []
+        for part in ((0,), tuple(range(1, folds))):
+            own = roles.where(F.col("model").isin(*part)) if part else roles.where("false")
+            models = _forests(m, _balanced(own.where("role = 'train'"), F.col("label") == 1), names, {**PRIMARY, **params})
+            tested = m.join(own.where("role = 'test'").select("symbol", "bar_idx", "model"), ["symbol", "bar_idx"])
+            tested = _sided(_with_probability(models, tested, F.col("model"), names, "p_long")).where("p_long is not null")
+            found += [sign * float(r[measure]) for r in tested.groupBy("model").agg(*_measures()).collect()]
+            yield sum(found) / len(found) if found else float("-inf")
+
+    return tuning.search(space or SPACE, values, trials, seed)[0]
+
+
+def train(bars: DataFrame, labels: DataFrame, names, hold: int = 50, folds: int = 5, params: dict | None = None, least: int = 100, trials: int = 0) -> dict:
+    """{'primary', 'meta', 'features', 'params', 'metrics'}; an error below `least` bars or without labelled rows. trials: how many parameters to try for the first model before (none: those given)."""
     if (n := bars.count()) < least:
         raise ValueError(f"not enough bars: {n}")
-    m = matrix(bars, labels, names).persist()
-    try:
-        if not m.take(1):
-            raise ValueError("no labelled bar has all features")
-        primary = fit_primary(m, names, params)
-        sided = unseen_sides(m, names, folds, hold, params=params, at_once=4).persist()
-        try:
-            # the last fifth of each symbol's bars judges the second model, then it learns from all
-            place = sided.withColumn("_late", F.percent_rank().over(W.partitionBy("symbol").orderBy("bar_idx")) >= 0.8)
-            judged = _probability(fit_meta(place.where("not _late"), names), place.where("_late"), "p_right").agg(F.avg(F.when(F.col("p_right") >= 0.5, (F.col("primary_side") == F.col("label")).cast("double")))).first()[0]
-            metrics = {"in_sample": scores(with_side(primary, m)), "out_of_sample": scores(sided), "meta_precision": judged or 0.0}
-            return {"primary": primary, "meta": fit_meta(sided, names), "features": list(names), "metrics": metrics}
-        finally:
-            sided.unpersist()
-    finally:
-        m.unpersist()
+    m = cut(matrix(bars, labels, names))
+    if not m.take(1):
+        raise ValueError("no labelled bar has all features")
+    params = {**(params or {}), **(tune(m, names, trials, hold=hold) if trials else {})}
+    first, second, sided = two_models(m.withColumn("group", F.lit(0)), names, folds, hold, params=params)
+    if 0 not in first or not sided.take(1):
+        raise ValueError("no fold has both labels in its other bars")
+    primary = Model(first[0], list(names))
+    meta = Model(second[0], [*names, "primary_side"]) if 0 in second else None
+    # what the second model is worth: one that knows the first four fifths of each symbol's bars judges the last
+    late = cut(sided.withColumn("_late", F.percent_rank().over(W.partitionBy("symbol").orderBy("bar_idx")) >= 0.8))
+    early = _balanced(late.where("not _late").select("symbol", "bar_idx", "label", "weight", "primary_side", F.lit(0).alias("model")), F.col("primary_side") == F.col("label"))
+    judge = _forests(late, early, [*names, "primary_side"], META)
+    judged = _with_probability(judge, late.where("_late"), F.lit(0), [*names, "primary_side"], "p_right").agg(F.avg(F.when(F.col("p_right") >= 0.5, (F.col("primary_side") == F.col("label")).cast("double")))).first()[0]
+    metrics = {"in_sample": scores(with_side(primary, m)), "out_of_sample": scores(sided), "meta_precision": judged or 0.0}
+    return {"primary": primary, "meta": meta, "features": list(names), "params": {**PRIMARY, **params}, "metrics": metrics}
 
 
 def save(models: dict, path: str) -> None:
+    """Both models and what they need: the features in their order and the parameters."""
+    spark = SparkSession.getActiveSession()
     for name in ("primary", "meta"):
-        models[name].write().overwrite().save(f"{path}/{name}")
+        if models.get(name) is not None:
+            boosting.save(models[name].forest, spark, f"{path}/{name}")
+    card = {"features": models["features"], "params": models.get("params", {}), "meta": models.get("meta") is not None}
+    spark.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
 
 
-def load(path: str, names) -> dict:
-    return {"primary": PipelineModel.load(f"{path}/primary"), "meta": PipelineModel.load(f"{path}/meta"), "features": list(names)}
+def load(path: str) -> dict:
+    """What save has written."""
+    spark = SparkSession.getActiveSession()
+    card = json.loads(spark.read.text(f"{path}/card", wholetext=True).first()[0])
+    names = card["features"]
+    meta = Model(boosting.load(spark, f"{path}/meta"), [*names, "primary_side"]) if card["meta"] else None
+    return {"primary": Model(boosting.load(spark, f"{path}/primary"), names), "meta": meta, "features": names, "params": card["params"]}
 
 
-def importance(model: PipelineModel, names) -> list[tuple[str, float]]:
-    """Features of a fitted model by what they add to its splits, the most first."""
-    return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
+def registry(root: str, bar_types, labelings) -> dict[tuple[str, str], dict]:
+    """The models of each (bar type, labelling) under root; pairs that were never trained are left out."""
+    spark, out = SparkSession.getActiveSession(), {}
+    for bar_type in bar_types:
+        for labeling in labelings:
+            path = f"{root}/{bar_type}_{labeling}"
+            card = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/card")
+            if card.getFileSystem(spark._jsc.hadoopConfiguration()).exists(card):
+                out[bar_type, labeling] = load(path)
+    return out
+
+
+def importance(model: Model) -> list[tuple[str, float]]:
+    """Features of a model by their share of all splits' gains, the most first."""
+    total = sum(model.forest.gains.values()) or 1.0
+    return sorted(((n, model.forest.gains.get(k, 0.0) / total) for k, n in enumerate(model.names)), key=lambda x: (-x[1], x[0]))
 
 
 def missing(models: dict, features: DataFrame) -> list[str]:
@@ -185,7 +244,8 @@ def signals(models: dict, bars: DataFrame, vol: str = "vol", horizon: int = 10,
     names = models["features"]
     m = with_side(models["primary"], cut(matrix(bars, None, names)))
     own = F.when(F.col("primary_side") == 1, F.col("p_long")).otherwise(1 - F.col("p_long"))
-    m = _probability(models["meta"], m, "meta_probability") if models.get("meta") is not None else m.withColumn("meta_probability", own)
+    meta = models.get("meta")
+    m = _with_probability({0: meta.forest}, m, F.lit(0), meta.names, "meta_probability") if meta is not None else m.withColumn("meta_probability", own)
     s = m.select("symbol", "bar_idx", "timestamp", "primary_side", "meta_probability").join(bars.select("symbol", "bar_idx", "close", vol), ["symbol", "bar_idx"]).where(F.col("meta_probability") >= least_meta)
     s = s.withColumn("time", F.col("timestamp"))
     if averaged:
@@ -212,45 +272,6 @@ def window_signals(scored: DataFrame, labeling: str, hold: int, stop: float = 2.
     )
 
 
-def _window(m: DataFrame, window: int, names, labeling: str, hold: int, folds: int, params, meta_params, least, capital: float, fee_bps: float):
-    """The measures of one window of m (window, part); None where there are too few rows."""
-    made = []
-
-    def part(name):
-        rows = m.where((F.col("window") == window) & (F.col("part") == name)).drop("window", "part").persist()
-        made.append(rows)
-        return rows
-
-    try:
-        seen, coming = part("train"), part("test")
-        if seen.count() < least[0] or coming.count() < least[1] or len(seen.select("label").distinct().take(2)) < 2:
-            return None
-        primary = fit_primary(seen, names, params)
-        sided = unseen_sides(seen, names, folds, hold, params=params).persist()
-        made.append(sided)
-        right = F.col("primary_side") == F.col("label")
-        tested = with_side(primary, coming)
-        # where the first model is never or always right there is nothing for a second one to learn
-        if len(sided.select(right).distinct().take(2)) == 2:
-            tested = _probability(fit_meta(sided, names, meta_params), tested, "p_right")
-        else:
-            tested = tested.withColumn("p_right", F.when(F.col("primary_side") == 1, F.col("p_long")).otherwise(1 - F.col("p_long")))
-        tested = tested.persist()
-        made.append(tested)
-        s = scores(tested)
-        sure = tested.where("p_right > 0.5").agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("p")).first()
-        out = {"oos_accuracy": s["accuracy"], "oos_precision": s["precision"], "oos_recall": s["recall"], "primary_recall": scores(with_side(primary, seen))["recall"], "meta_precision": sure.p or 0.0, "num_test_signals": sure.n}
-        out |= {k: 0.0 for k in ("sharpe", "max_dd", "total_return", "win_rate", "num_trades")}
-        if sure.n:
-            _, results = sim.simulate(window_signals(tested, labeling, hold), tested, "simple", capital, fee_bps)
-            r = results.agg(*(F.avg(c).alias(c) for c in ("sharpe", "max_dd", "total_return", "win_rate")), F.sum("num_trades").alias("num_trades")).first()
-            out |= r.asDict()
-        return [(window, k, round(float(out[k]), digits)) for k, digits in MEASURES.items()]
-    finally:
-        for rows in made:
-            rows.unpersist()
-
-
 def in_windows(trades: DataFrame, windows: list) -> DataFrame:
     """trades once for each part of a window that holds their time (ends included), the symbol being symbol|window|part: a tape of its own, whose bars start anew."""
     part = lambda w, name, start, end: F.struct(F.lit(w.window).alias("window"), F.lit(name).alias("part"), F.lit(start).alias("start"), F.lit(end).alias("end"))
@@ -259,27 +280,43 @@ def in_windows(trades: DataFrame, windows: list) -> DataFrame:
     return rows.withColumn("symbol", F.concat_ws("|", "symbol", "_w.window", "_w.part")).drop("_w")
 
 
-def walk_forward(trades: DataFrame, windows: DataFrame, make_bars, make_labels, names, labeling: str = "triple_barrier", hold: int = 50, folds: int = 5, params: dict | None = None, meta_params: dict | None = None, least=(50, 10), capital: float = 10_000.0, fee_bps: float = 10.0, at_once: int = 4) -> DataFrame:
+def walk_forward(trades: DataFrame, windows: DataFrame, make_bars, make_labels, names, labeling: str = "triple_barrier", hold: int = 50, folds: int = 5, params: dict | None = None, meta_params: dict | None = None, least=(50, 10), capital: float = 10_000.0, fee_bps: float = 10.0, curves: bool = False):
     """(window, metric, value) of each window: bars, labels and features made anew from its trades, both models fitted on its first part, and on its second part their measures and the performance of their signals (the mean over symbols).
 
-    windows: rows of walk_forward.boundaries without keys, a few dozen. Bars and
-    features of all windows are one job; windows do not depend on each other, so the
-    models of `at_once` are fitted side by side. Windows with too few rows are left
-    out; fewer than three that work are an error.
+    windows: rows of walk_forward.boundaries without keys, a few dozen. Bars, features,
+    models and simulations of all windows are the same jobs. Windows with too few rows
+    or one label are left out; fewer than three that work are an error. curves: also the
+    equity (symbol, window, timestamp, equity) of each window's second part, as
+    walk_forward.stitched takes it with the symbol as run.
     """
     every = windows.orderBy("window").collect()
     b = make_bars(in_windows(trades, every))
     m = matrix(b, make_labels(b), names)
     place = F.split("symbol", r"\|")
-    m = m.withColumn("window", F.element_at(place, -2).cast("int")).withColumn("part", F.element_at(place, -1)).persist()
-    try:
-        with ThreadPoolExecutor(at_once) as pool:
-            parts = list(pool.map(lambda w: _window(m, w.window, names, labeling, hold, folds, params, meta_params, least, capital, fee_bps), every))
-    finally:
-        m.unpersist()
-    if sum(part is not None for part in parts) < 3:
+    m = cut(m.withColumn("window", F.element_at(place, -2).cast("int")).withColumn("part", F.element_at(place, -1)))
+    train, test = F.col("part") == "train", F.col("part") == "test"
+    enough = m.groupBy("window").agg(F.count_if(train).alias("a"), F.count_if(test).alias("b"), F.count_distinct(F.when(train, F.col("label"))).alias("labels"))
+    m = cut(m.join(enough.where((F.col("a") >= least[0]) & (F.col("b") >= least[1]) & (F.col("labels") == 2)).select("window"), "window", "left_semi"))
+    seen, coming = m.where(train).withColumnRenamed("window", "group").drop("part"), m.where(test)
+    if m.select("window").distinct().count() < 3:
         raise ValueError("fewer than three windows have enough rows")
-    return trades.sparkSession.createDataFrame([x for part in parts if part for x in part], "window int, metric string, value double")
+    first, second, _ = two_models(seen, names, folds, hold, params=params, meta_params=meta_params)
+    in_sample = _sided(_with_probability(first, seen, F.col("group"), names, "p_long")).groupBy(F.col("group").alias("window")).agg(*_measures())
+    tested = _sided(_with_probability(first, coming, F.col("window"), names, "p_long"))
+    tested = _with_probability(second, tested, F.col("window"), [*names, "primary_side"], "p_right")
+    own = F.when(F.col("primary_side") == 1, F.col("p_long")).otherwise(1 - F.col("p_long"))
+    tested = cut(tested.withColumn("p_right", F.coalesce("p_right", own)))
+    measured = tested.groupBy("window").agg(*_measures())
+    right = (F.col("primary_side") == F.col("label")).cast("double")
+    sure = tested.where("p_right > 0.5").groupBy("window").agg(F.count("*").alias("num_test_signals"), F.avg(right).alias("meta_precision"))
+    curve, results = sim.simulate(window_signals(tested, labeling, hold), tested, "simple", capital, fee_bps)
+    of = F.element_at(F.split("symbol", r"\|"), -2).cast("int")
+    results = results.groupBy(of.alias("window")).agg(*(F.avg(c).alias(c) for c in ("sharpe", "max_dd", "total_return", "win_rate")), F.sum("num_trades").alias("num_trades"))
+    wide = measured.select("window", *(F.col(c).alias(f"oos_{c}") for c in ("accuracy", "precision", "recall"))).join(in_sample.select("window", F.col("recall").alias("primary_recall")), "window").join(sure, "window", "left").join(results, "window", "left")
+    long = reduce(DataFrame.unionByName, [wide.select("window", F.lit(k).alias("metric"), F.round(F.coalesce(F.col(k).cast("double"), F.lit(0.0)), digits).alias("value")) for k, digits in MEASURES.items()])
+    if not curves:
+        return long
+    return long, curve.select(F.element_at(F.split("symbol", r"\|"), 1).alias("symbol"), of.alias("window"), "timestamp", "equity")
 
 
 def overfitting_gap(measured: DataFrame) -> DataFrame:

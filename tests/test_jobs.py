@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom import jobs
@@ -76,14 +77,24 @@ def test_jobs(spark, tmp_path):
     assert spark.read.text(f"{out}/training_results").count() == 2
 
 
-def test_walk_forward_job_fills_the_tables(spark, tmp_path, monkeypatch):
-    """The windows' models are those of learning.walk_forward, tested there; here they are given."""
-    tape, out = st.tape(spark, SF.replace("0.001", "0.01")), f"file://{tmp_path}"
-    given = [(w, m, float(w + k)) for w in range(3) for k, m in enumerate(learning.MEASURES)]
-    monkeypatch.setattr(learning, "walk_forward", lambda *a, **k: spark.createDataFrame(given, "window int, metric string, value double"))
-    assert [jobs.walk_forward(tape, "tape", out, "time", "trend_scanning", 14, 5, 5) for _ in range(2)] == [1, 2]
-    run = store.run(spark, out, 2).first()
-    assert run.num_windows == len(run.windows) == 3 and [w.window_index for w in run.windows] == [0, 1, 2]
-    assert run.windows[1].test_start == run.windows[1].train_end == run.windows[0].train_end + 5 * jobs.DAY_MS
-    assert run.aggregate_stats["oos_accuracy"].mean == run.avg_oos_accuracy == 1.0 and run.overfitting_gap == 3.0 and run.avg_oos_sharpe == 6.0
-    assert run.windows[2].num_trades == 11
+def test_walk_forward_job_fills_the_tables(spark, tmp_path):
+    """The whole job on one symbol's trades: windows, models, simulations, the stitched curve and both tables."""
+    tape, out = st.tape(spark, SF.replace("0.001", "0.1")).where("symbol = 'click'"), f"file://{tmp_path}"
+    small = {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 5}
+    options = {"names": ["returns_variance", "log_dollar_volume", "amihud_lambda"], "bar_parameters": {"interval": "1h"}, "params": small, "meta_params": small, "folds": 3}
+    assert jobs.walk_forward(tape, "click", out, "time", "trend_scanning", 10, 4, 4, **options) == 1
+    run = store.run(spark, out, 1).first()
+    assert run.num_windows == len(run.windows) >= 3 and [w.window_index for w in run.windows] == list(range(run.num_windows))
+    first = run.windows[0]
+    assert first.test_start == first.train_end and run.windows[1].test_start == first.test_start + 4 * jobs.DAY_MS
+    assert all(0 <= w.oos_accuracy <= 1 and w.num_trades <= w.num_test_signals for w in run.windows)
+    mean = sum(w.oos_accuracy for w in run.windows) / run.num_windows
+    assert run.avg_oos_accuracy == pytest.approx(mean, abs=1e-4) == pytest.approx(run.aggregate_stats["oos_accuracy"].mean, abs=1e-4)
+    # each window's own curve starts with the capital, the stitched one goes on where the window before ended
+    traded = [w for w in run.windows if w.equity]
+    assert traded and sum(len(w.equity) for w in traded) == len(run.stitched_equity) == len(run.stitched_timestamps) == len(run.stitched_drawdown)
+    assert run.stitched_timestamps == sorted(run.stitched_timestamps) and max(run.stitched_drawdown) <= 0
+    growth = 1.0
+    for w in traded:
+        growth *= w.equity[-1] / w.equity[0]
+    assert run.stitched_equity[-1] / run.stitched_equity[0] == pytest.approx(growth, rel=1e-3)

@@ -6,7 +6,7 @@ import pytest
 from barloom.functions import encodings as en
 from barloom.functions import unit_root as ur
 from barloom.operators import labels as ol
-from barloom.operators import learning, orders
+from barloom.operators import learning, orders, tuning
 from barloom.operators import walk_forward as wf
 from barloom.sources import store
 from barloom.streaming import signals as live
@@ -144,7 +144,12 @@ def test_models_learn_save_and_score_a_stream(spark, tmp_path):
     with pytest.raises(ValueError):
         learning.train(b.limit(5), labels, names)
     learning.save(models, f"{tmp_path}/m")
-    again = learning.load(f"{tmp_path}/m", names)
+    again = learning.load(f"{tmp_path}/m")
+    assert again["features"] == list(names) and again["params"]["maxIter"] == 2 and learning.missing(again, b) == list(names)
+    learning.save(models, f"{tmp_path}/all/time_triple_barrier")
+    assert list(learning.registry(f"{tmp_path}/all", ("time", "tick"), ("triple_barrier", "trend_scanning"))) == [("time", "triple_barrier")]
+    shares = learning.importance(again["primary"])
+    assert {n for n, _ in shares} == set(names) and sum(v for _, v in shares) == pytest.approx(1.0)
     known = learning.signals(again, ur.decayed_volatility(b), least_meta=0.0, least_size=0.0)
     assert known.count() > 200 and known.where("size < 0 or size > 1").count() == 0
     for k in range(2):
@@ -152,3 +157,20 @@ def test_models_learn_save_and_score_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
     live.score_stream(stream, again, f"file://{tmp_path}/t", "time", "triple_barrier", least_meta=0.0, least_size=0.0).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(120)
     assert store.read(spark, f"file://{tmp_path}/t", "bars").count() == 300 and 0 < store.read(spark, f"file://{tmp_path}/t", "signals").count() <= 200
+
+
+def test_training_tries_parameters(spark):
+    b, _ = bars(spark, 260)
+    names = ("realized_volatility", "returns_variance")
+    labels = ol.triple_barrier(ur.decayed_volatility(b), hold=10, stop=1.0, take=1.0)
+    space = {"maxIter": tuning.Parameter("int", 1, 2), "maxDepth": tuning.Parameter("int", 1, 2)}
+    m = learning.matrix(b, labels, names)
+    tried = learning.tune(m, names, trials=2, folds=2, hold=10, measure="log_loss", space=space)
+    assert tried.keys() == space.keys() and tried["maxIter"] in (1, 2)
+    asked = []
+    before, learning.tune = learning.tune, lambda *a, **k: asked.append(k) or {"maxIter": 1, "maxDepth": 1}
+    try:
+        models = learning.train(b, labels, names, hold=10, folds=2, trials=5)
+    finally:
+        learning.tune = before
+    assert asked and models["params"]["maxIter"] == 1 and len(models["primary"].forest.trees) == 1
