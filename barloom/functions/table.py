@@ -117,6 +117,8 @@ def _families(b: DataFrame, window: int, with_differences: bool) -> DataFrame:
     step(fr.breaks, breaks)
     step(ur.unit_root, n=breaks)
     step(en.encoded_entropies, window)
+    # every step looks at the whole plan so far again: what comes next starts from rows
+    b = cut(b)
     step(ft.features, window)
     b = b.withColumn("vol_velocity", F.col("rogers_satchell_vol") - ft.lag("rogers_satchell_vol")).withColumn("vol_acceleration", F.col("vol_velocity") - ft.lag("vol_velocity"))
     step(fr.volume_and_duration, window)

@@ -49,14 +49,14 @@ def matrix(bars: DataFrame, labels: DataFrame | None, names, window: int = 20) -
     are left, numbered again. Bars that only a time-out ended thus leave by what
     came after them, which flatters a model; for scoring, all bars count.
     """
-    b = bars if labels is None else _numbered(bars.join(known_labels(labels).select("symbol", "bar_idx", "label"), ["symbol", "bar_idx"]))
+    b = cut(bars if labels is None else _numbered(bars.join(known_labels(labels).select("symbol", "bar_idx", "label"), ["symbol", "bar_idx"])))
     past = ft.ordered().rowsBetween(W.unboundedPreceding, 0)
     kept = [*KEYS, *(c for c in ("close", "high", "low") if c not in names), *([] if labels is None else ["label"])]
-    f = all_features(b, window=window, only=names)
+    # the plan of all features is long: what follows starts from their rows
+    f = cut(all_features(b, window=window, only=names).select(*kept, *names))
     f = f.select(*kept, *(F.last(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), True).over(past).alias(n) for n in names)).dropna(subset=list(names))
     if labels is None:
         return f
-    # the plan of all features is long: what trains on the rows does not carry it along
     f = cut(_numbered(f))
     return f.join(ol.weights(f).select("symbol", "bar_idx", "weight"), ["symbol", "bar_idx"])
 
@@ -290,7 +290,7 @@ def walk_forward(trades: DataFrame, windows: DataFrame, make_bars, make_labels,
     walk_forward.stitched takes it with the symbol as run.
     """
     every = windows.orderBy("window").collect()
-    b = make_bars(in_windows(trades, every))
+    b = cut(make_bars(in_windows(trades, every)))
     m = matrix(b, make_labels(b), names)
     place = F.split("symbol", r"\|")
     m = cut(m.withColumn("window", F.element_at(place, -2).cast("int")).withColumn("part", F.element_at(place, -1)))
