@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), docs being what the stage before it kept,
 and returns a DataFrame. All but the last return the columns of documents.
+
+Cases, the same in every stage: extra columns, whatever their names, are carried along
+and not read; a null id is kept, and rows that share an id are judged one by one by
+their texts; rows that repeat both are near duplicates, of which one stays; an empty
+table gives an empty one. A null or empty text is rejected by the first stage (too few
+words); where a stage is called by itself such a text stays as it is, since it repeats
+nothing and leaks nothing, and has no tokens.
 """
 
 import public_tokenizers
