@@ -1,11 +1,15 @@
 """Ten bar types in one stream, their buffers, and the pool of open signals, against the batch operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import table
+from barloom.functions.unit_root import decayed_volatility
 from barloom.operators import bars as ob
+from barloom.operators import boosting, learning
 from barloom.operators import simulation as sim
+from barloom.sources import store as tables
 from barloom.sources import trades as st
 from barloom.streaming import rules
 from barloom.streaming import signals as live
@@ -83,3 +87,22 @@ def test_timers_let_signals_go(spark, store, tmp_path):
     got = ran(rules.pool_changes(in_parts(spark, events, f"{tmp_path}/in", "timestamp", 4)), tmp_path)
     # a has no bar after its signal: the watermark of b's bars ends it at its time barrier
     assert rounded(got, ["symbol", "timestamp", "level", "num_active"]) == [("a", 1_000, 0.8, 1), ("a", 5_000, 0.0, 0), ("b", 20_000, 0.5, 1)]
+
+
+def test_signals_of_buffers_equal_those_of_all_bars_so_far(spark, store, tmp_path):
+    tape = st.tape(spark, SF)
+    b = ob.bars(tape, "tick", ticks=5).cache()
+    names = ["realized_volatility", "log_dollar_volume"]
+    rng = np.random.default_rng(1)
+    forest = lambda: boosting.Forest([[[0, -1, -1], [float(rng.uniform(0.5, 2)), 0.0, 0.0], [1, 0, 0], [2, 0, 0], [0.0, -0.8, 0.9]]])
+    models = {"primary": learning.Model(forest(), names), "meta": learning.Model(forest(), [*names, "primary_side"]), "features": names}
+    stream = in_parts(spark, tape, f"{tmp_path}/in", "time", 2)
+    query = live.score_rules(rules.rule_bars(stream, {"tick": {"ticks": 5}, "volume": {"threshold": 5.0}}), {"tick": models}, f"file://{tmp_path}/t", "triple_barrier", least_meta=0.0, least_size=0.0)
+    query.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination(300)
+    got = tables.read(spark, f"file://{tmp_path}/t", "signals")
+    assert tables.read(spark, f"file://{tmp_path}/t", "bars").groupBy("bar_type").count().count() == 2 and got.where("bar_type <> 'tick'").count() == 0
+    # a buffer of 100 bars holds all bars so far here
+    assert b.agg(F.max("bar_idx")).first()[0] < 100
+    want = learning.signals(models, decayed_volatility(b), least_meta=0.0, least_size=0.0).where("bar_idx >= 24")
+    columns = ["symbol", "timestamp", "side", "size", "entry_price", "meta_probability"]
+    assert want.count() > 20 and rounded(got, columns) == rounded(want, columns)
