@@ -85,11 +85,11 @@ def test_rows_without_id_and_equal_hashes(spark, monkeypatch):
     assert collections.Counter(tuple(r)[:5] for r in substring_dedup.digest(docs, 400).collect()) == want
 
 
-@pytest.mark.parametrize("ids", ["null", "shared", "own"])
+@pytest.mark.parametrize("ids", ["null", "shared"])
 def test_twenty_thousand_equal_rows(spark, ids):
     rng = random.Random(6)
     text, rare = prose(rng, 60), prose(rng, 300)
-    key = {"null": F.lit(None).cast("long"), "shared": F.lit(5).cast("long"), "own": F.col("id")}[ids]
+    key = {"null": F.lit(None).cast("long"), "shared": F.lit(5).cast("long")}[ids]
     same = spark.range(20_000).select(key.alias("doc_id"), F.lit(text * 2).alias("text"))
     few = [(-1, rare), (-2, rare[50:] + text[:300])]
     docs = same.unionByName(spark.createDataFrame(few, "doc_id long, text string")).repartition(4)
