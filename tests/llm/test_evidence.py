@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 import tempfile
 
 import numpy as np
@@ -207,7 +208,7 @@ def test_posterior_by_hand(spark):
 
 def test_window_scores_by_hand():
     rng = np.random.default_rng(2)
-    model = toxicity.Model(rng.normal(size=toxicity.ROWS), (1.0, 0.0))
+    model = toxicity.Model(rng.normal(size=toxicity.ROWS), (np.ones(2), 0.0, 0.0, 1.0))
 
     def row(gram):
         h = 0
@@ -221,11 +222,11 @@ def test_window_scores_by_hand():
             if w:
                 w = b" " + w + b" "
                 z.append(np.mean([model.scalar[row(w[i : i + n])] for n in (3, 4, 5) for i in range(len(w) - n + 1)]))
-        n = min(8, len(z))
-        return max((np.mean(z[i : i + n]) for i in range(len(z) - n + 1)), default=0.0) if z else 0.0
+        n = min(toxicity.WINDOW, len(z))
+        return (max(np.mean(z[i : i + n]) for i in range(len(z) - n + 1)), np.log(np.mean(np.exp(z)))) if z else (0.0, 0.0)
 
     texts = [None, "", "a", "one two", "ab, cd! (ef)", " x " * 30] + [prose(random.Random(i), 5 * i) for i in range(1, 12)]
-    assert np.allclose(model.logits(pa.array(texts, pa.string())), [by_hand(t) for t in texts], atol=1e-4)
+    assert np.allclose(model.values(pa.array(texts, pa.string())), [by_hand(t) for t in texts], atol=1e-4)
 
 
 @pytest.mark.parametrize("make,col", [(quality_model.classify, "quality"), (toxicity.classify, "toxic")])
@@ -236,6 +237,59 @@ def test_held_out_labels(spark, make, col):
     assert len(rows) > 50 and right >= most, (right, most, len(rows))
 
 
+INSULTS = ["idiot", "worthless", "disgusting", "pathetic", "moron"]
+
+
+def noisy_rows(n):
+    """(id, text, whether an insult is in it, label): one insult in a text of 90 words, a twentieth of the labels turned round."""
+    rng, rows = random.Random(8), []
+    for i in range(n):
+        ws, bad = prose(rng, 90).split(), rng.random() < 0.2
+        if bad:
+            ws.insert(rng.randrange(90), rng.choice(INSULTS))
+        rows.append((i, " ".join(ws), bad, int(bad != (rng.random() < 0.05))))
+    return rows
+
+
+def test_toxic_words_under_noisy_labels(spark):
+    rows = noisy_rows(1500)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    held = [(bad, got[i].predicted) for i, _, bad, _ in rows if got[i].held_out]
+    caught, wrong = sum(b and p for b, p in held), sum(not b and p for b, p in held)
+    assert caught >= 0.95 * sum(b for b, _ in held) and wrong <= 0.01 * len(held), (caught, wrong, len(held))
+
+
+def test_misspellings_never_seen():
+    rows = noisy_rows(1200)
+    model = toxicity.fit([t for _, t, _, _ in rows], np.array([y for *_, y in rows]))
+    plain = prose(random.Random(1), 60)
+    texts = [f"{plain} {w} {plain}" for w in ("idiott", "worthles", "disgustingg", "pathetics", "morron")]
+    assert (model.scores(pa.array(texts)) > model.scores(pa.array([plain]))[0] + 0.1).sum() >= 4
+
+
+def test_repeated_ids_of_labelled_rows(spark):
+    rows = noisy_rows(400)
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows] + [(5, f"{rows[5][1]} {k % 3}") for k in range(5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, _, y in rows] + [(5, k % 2) for k in range(3000)], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.fit = toxicity.fit, lambda texts, y: seen.append((texts, y)) or 0.5
+    try:
+        got = toxicity.classify(docs, labels).count()
+    finally:
+        toxicity.fit = real
+    learn = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert got == 5400 and len(seen[0][0]) == len(learn)
+
+
+def test_recall_of_held_out_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rows = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").select("predicted", "toxic").collect()
+    caught, toxic, alarms = sum(p * t for p, t in rows), sum(t for _, t in rows), sum(p * (1 - t) for p, t in rows)
+    assert caught >= 0.8 * toxic and alarms <= 0.05 * toxic, (caught, toxic, alarms)
+
+
 def test_pipeline_of_plain_steps(spark):
     import corpus_pipeline
 
