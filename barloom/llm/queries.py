@@ -44,6 +44,11 @@ def op9_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def rule_ablations(spark, sf_dir):
+    """Of each rule of the current policy: documents that fail it, and those that no other rule rejects."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(table(spark, sf_dir, "documents"), length=400)
 
@@ -66,7 +71,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_model, op3_sharding, op4_license_scan, op5_toxicity, op6_language, op7_bpe, op8_near_dedup, op9_quality_rules, op10_substring_dedup, op11_fill_in_middle, op12_secret_scan, op13_hard_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_model, op3_sharding, op4_license_scan, op5_toxicity, op6_language, op7_bpe, op8_near_dedup, op9_quality_rules, rule_ablations, op10_substring_dedup, op11_fill_in_middle, op12_secret_scan, op13_hard_negatives, pipeline)}
 
 #: White space and other characters, as in operator 11.
 _UNITS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, language, licenses, near_dedup, quality_model, quality_rules, sharding, toxicity
+from barloom.llm import bpe, decontaminate, language, licenses, near_dedup, quality_model, quality_rules, queries, sharding, toxicity
 
 from .test_operators import RANKS, prose, words
 
@@ -163,6 +163,7 @@ def test_policies_and_ablations(spark):
     got = entries.select("doc_id", "kept", base.alias("base")).collect()
     assert {(r.doc_id, r.kept, r.base) for r in got} == {(i, not f, bool(f & {"few_words", "repeated_words"})) for i, f in want.items()}
     ablated = {(r.rule, r.failed, r.only_this) for r in quality_rules.ablations(entries).collect()}
+    assert ablated == {(r.rule, r.failed, r.only_this) for r in queries.rule_ablations(spark, SF).where(f"documents = {len(want)}").collect()}
     assert ablated == {(n, sum(n in f for f in want.values()), sum(f == {n} for f in want.values())) for n, _ in quality_rules.RULES}
 
 
