@@ -20,6 +20,18 @@ def lag(x, n: int = 1) -> Column:
     return F.lag(x, n).over(ordered())
 
 
+def ratio(a, b) -> Column:
+    """a / b as doubles divide: infinite where b is 0, NaN where both are; Spark's own division ends the query there."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a * F.lit(math.inf)))
+
+
+def log(x) -> Column:
+    """The natural log as doubles have it: minus infinity at 0, NaN below, where Spark's own is null."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.coalesce(F.ln(x), F.when(x == 0, -math.inf).when(x < 0, math.nan))
+
+
 def skew(x, w) -> Column:
     """Sample skewness with the bias taken out; null below three values."""
     n = F.count(x).over(w)
@@ -55,7 +67,7 @@ def rogers_satchell(n=20):
 
 
 def garman_klass(n=20):
-    x = 0.5 * F.pow(F.ln(F.col("high") / F.col("low")), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(F.col("close") / F.col("open")), 2)
+    x = 0.5 * F.pow(log(ratio("high", "low")), 2) - (2 * math.log(2) - 1) * F.pow(log(ratio("close", "open")), 2)
     return F.sqrt(F.greatest(F.avg(x).over(last(n)), F.lit(0.0)))
 
 
