@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from barloom.functions.features import KEYS, kurt, lag, last, ordered, skew, with_returns
+from barloom.functions.features import KEYS, kurt, lag, last, log, ordered, ratio, skew, with_returns
 
 TINY = 1e-15
 
@@ -110,7 +110,7 @@ def lempel_ziv(values: Column) -> Column:
 def corwin_schultz() -> Column:
     """Spread from the ranges of this bar, the one before and both together; null for the first bar."""
     k = 3 - 2 * math.sqrt(2)
-    span = lambda h, low: F.pow(F.ln(h / low), 2)
+    span = lambda h, low: F.pow(log(ratio(h, low)), 2)
     one = span(F.col("high"), F.col("low")) + span(lag("high"), lag("low"))
     two = span(F.greatest("high", lag("high")), F.least("low", lag("low")))
     alpha = (F.sqrt(2 * one) - F.sqrt(one)) / k - F.sqrt(two / k)

@@ -44,3 +44,8 @@ def infinite(rows):
 def test_garman_klass(spark, zeros):
     found, wanted = both(spark, zeros, "f02_garman_klass_vol")
     assert infinite(wanted) and found == wanted
+
+
+def test_spreads(spark, zeros):
+    found, wanted = both(spark, zeros, "f39_spreads")
+    assert infinite(wanted) and found == wanted
