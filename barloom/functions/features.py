@@ -52,7 +52,7 @@ def with_returns(bars: DataFrame) -> DataFrame:
 
 def _drift():
     """The Rogers-Satchell term of a bar."""
-    up, down = F.ln(F.col("high") / F.col("close")) * F.ln(F.col("high") / F.col("open")), F.ln(F.col("low") / F.col("close")) * F.ln(F.col("low") / F.col("open"))
+    up, down = log(ratio("high", "close")) * log(ratio("high", "open")), log(ratio("low", "close")) * log(ratio("low", "open"))
     return up + down
 
 

@@ -49,3 +49,9 @@ def test_garman_klass(spark, zeros):
 def test_spreads(spark, zeros):
     found, wanted = both(spark, zeros, "f39_spreads")
     assert infinite(wanted) and found == wanted
+
+
+@pytest.mark.parametrize("name", ["f01_rogers_satchell_vol"])
+def test_drift(spark, zeros, name):
+    found, wanted = both(spark, zeros, name)
+    assert infinite(wanted) and found == wanted
