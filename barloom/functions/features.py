@@ -73,7 +73,7 @@ def garman_klass(n=20):
 
 def yang_zhang(n=20):
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
-    gap, body = F.ln(F.col("open") / F.col("prev")), F.ln(F.col("close") / F.col("open"))
+    gap, body = log(ratio("open", "prev")), log(ratio("close", "open"))
     x = F.var_samp(gap).over(last(n)) + k * F.var_samp(body).over(last(n)) + (1 - k) * F.greatest(F.avg(_drift()).over(last(n)), F.lit(0.0))
     return F.sqrt(F.greatest(x, F.lit(0.0)) + F.when(x.isNotNull(), 0.0))
 
