@@ -51,7 +51,7 @@ def test_spreads(spark, zeros):
     assert infinite(wanted) and found == wanted
 
 
-@pytest.mark.parametrize("name", ["f01_rogers_satchell_vol", "f03_yang_zhang_vol", "f06_vol_acceleration"])
+@pytest.mark.parametrize("name", ["f01_rogers_satchell_vol", "f03_yang_zhang_vol", "f06_vol_velocity", "f06_vol_acceleration"])
 def test_drift(spark, zeros, name):
     found, wanted = both(spark, zeros, name)
     assert infinite(wanted) and found == wanted
