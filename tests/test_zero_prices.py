@@ -55,3 +55,8 @@ def test_spreads(spark, zeros):
 def test_drift(spark, zeros, name):
     found, wanted = both(spark, zeros, name)
     assert infinite(wanted) and found == wanted
+
+
+def test_feature_table(spark, zeros):
+    found, wanted = both(spark, zeros, "u03_all_features")
+    assert infinite(wanted) and found == wanted
