@@ -30,10 +30,20 @@ b AS (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY bar_idx) AS r1 FROM re
 _W = " WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx), w AS (PARTITION BY symbol ORDER BY bar_idx ROWS 19 PRECEDING), w1 AS (PARTITION BY symbol ORDER BY bar_idx ROWS 18 PRECEDING)"
 
 
+def _round(c, digits):
+    """SQL's round: the nearest whole number to x * 10**digits, of two the one farther from 0, over 10**digits. Spark's own rounds the shortest decimal that reads as x, which is another number where a double has few digits left."""
+    by = 10.0**digits
+    x = F.col(c) * by
+    near = F.rint(x)
+    # rint takes the even one of two
+    near = near + F.when((x > 0) & (x - near == 0.5), 1.0).when((x < 0) & (x - near == -0.5), -1.0).otherwise(0.0)
+    return F.when(F.abs(x) < float("inf"), near / by).otherwise(F.col(c))
+
+
 def _rounded(df, digits=6):
     """digits: of all columns, or of each by name (6 where it has none)."""
     of = lambda c: digits.get(c, 6) if isinstance(digits, dict) else digits
-    return df.select(*((F.round(c, of(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+    return df.select(*((_round(c, of(c)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
 def _r(x, name, digits=6):

@@ -158,7 +158,15 @@ register("e11_fills", lambda t: orders.fills(_orders(t), t, 7_200_000), f"{_ORD}
 register("e11_fill_stats", lambda t: orders.fill_stats(orders.fills(_orders(t), t, 7_200_000)), f"{_ORD} SELECT symbol, count(*) AS submitted, count(*) FILTER (status = 'filled') AS filled, count(*) FILTER (status = 'expired') AS expired, {_r('''count(*) FILTER (status = 'filled') / count(*) * 100''', 'fill_rate')}, {_r('coalesce(avg(queue_wait_ms), 0)', 'avg_wait_ms')}, {_r('coalesce(avg(0.02 * sqrt(size * fill_price / 1e9) * 1e4), 0)', 'avg_slippage_bps')}, CASE WHEN count(*) FILTER (status = 'filled') > 0 THEN 100.0 ELSE 0.0 END AS maker_ratio FROM fl GROUP BY symbol")
 _COST = "price * qty * CASE WHEN is_buyer_maker THEN 2.0 ELSE 5.0 END / 1e4"
 _SLIP = "0.02 * sqrt(price * qty / 1e9) * price * qty"
-register("e06_transaction_costs", lambda t: t.withColumn("c", sim.transaction_cost(F.col("quote_qty"), F.when(F.col("is_buyer_maker"), "maker").otherwise("taker"), F.col("qty") / 1000, F.col("qty") / 100)).select("id", "c.*"), f"SELECT id, {_r(_COST, 'exchange_fee', 11)}, {_r('qty / 100', 'funding_cost', 11)}, {_r('qty / 2000 * price * qty', 'spread_cost', 11)}, {_r(_SLIP, 'slippage', 11)}, {_r(f'0.1 * {_SLIP}', 'market_impact', 11)}, {_r(f'{_COST} + qty / 100 + qty / 2000 * price * qty + 1.1 * {_SLIP}', 'total', 11)}, {_r('price * qty', 'notional', 11)}, {_r(f'({_COST} + qty / 100 + qty / 2000 * price * qty + 1.1 * {_SLIP}) / (price * qty) * 1e4', 'total_bps', 11)} FROM tape", 11)
+
+
+def _costs(t):
+    """Costs of each trade; in basis points they are infinite where nothing was paid, as the SQL's division has it."""
+    c = sim.transaction_cost(F.col("quote_qty"), F.when(F.col("is_buyer_maker"), "maker").otherwise("taker"), F.col("qty") / 1000, F.col("qty") / 100, factors=(F.col("price"), F.col("qty")))
+    return t.select("id", c.alias("c")).select("id", "c.*").withColumn("total_bps", ft.ratio("total", "notional") * 1e4)
+
+
+register("e06_transaction_costs", _costs, f"SELECT id, {_r(_COST, 'exchange_fee', 11)}, {_r('qty / 100', 'funding_cost', 11)}, {_r('qty / 2000 * price * qty', 'spread_cost', 11)}, {_r(_SLIP, 'slippage', 11)}, {_r(f'0.1 * {_SLIP}', 'market_impact', 11)}, {_r(f'{_COST} + qty / 100 + qty / 2000 * price * qty + 1.1 * {_SLIP}', 'total', 11)}, {_r('price * qty', 'notional', 11)}, {_r(f'({_COST} + qty / 100 + qty / 2000 * price * qty + 1.1 * {_SLIP}) / (price * qty) * 1e4', 'total_bps', 11)} FROM tape", 11)
 
 
 def _far(bars):

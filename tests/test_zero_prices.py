@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from barloom.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +66,19 @@ def test_feature_table(spark, zeros):
 def test_mean_spread(spark, zeros):
     found, wanted = both(spark, zeros, "e12_bbo_stats")
     assert infinite(wanted) and found == wanted
+
+
+def test_costs(spark, zeros):
+    found, wanted = both(spark, zeros, "e06_transaction_costs")
+    assert infinite(wanted) and found == wanted
+
+
+def test_rounding_is_that_of_sql(spark):
+    rng = np.random.default_rng(3)
+    values = [*(rng.exponential(3000, 4000) - 1500).tolist(), 0.5, -0.5, 1.5, -2.5, 2.675, 1e300, -1e308, math.inf, -math.inf, math.nan, None, 24.696082263545]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, x double")
+    for digits in (0, 2, 11):
+        found = [r.x for r in catalog._rounded(frame, digits).orderBy("id").collect()]
+        with duckdb.connect() as c:
+            wanted = c.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, ?) + 0.0)", [values, digits]).fetchone()[0]
+        assert [repr(v) for v in found] == [repr(v) for v in wanted]
