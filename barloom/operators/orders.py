@@ -1,5 +1,7 @@
 """Limit orders against the trades that follow them, and equity with the costs of real execution."""
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -115,15 +117,15 @@ def realistic_equity(exposed: DataFrame, paid: DataFrame, capital: float = 10_00
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows, equity, peak, last, before, out = rows.sort_values("bar_idx"), capital, capital, None, 0.0, []
         for at, time, close, exposure, due in rows[["bar_idx", "timestamp", "close", "exposure", "funding"]].itertuples(index=False):
-            equity -= due
-            if last:
-                equity += before * equity * (close - last) / last
+            equity = (equity - due) * (1 + before * (close / last - 1 if last else 0.0))
             change, costs = abs(exposure - before), (0.0, 0.0, 0.0, 0.0)
             if change > 1e-9:
                 notional = change * abs(equity)
-                slip = impact * volatility * (notional / volume) ** 0.5 * notional
+                root = math.sqrt(notional / volume)
+                slip = impact * volatility * root * notional
                 costs = (notional * maker_bps / 1e4, notional * spread_bps / 2e4, slip, 0.1 * slip)
-                equity -= sum(costs)
+                # the sum of the costs as one product
+                equity -= notional * ((maker_bps + spread_bps / 2) / 1e4 + 11 * impact * volatility / 10 * root)
             peak, last, before = max(peak, equity), close, exposure
             out.append((key[0], at, time, exposure, equity, (equity - peak) / peak, due, *costs))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])

@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__
+from barloom.operators import orders
+from barloom.operators import simulation as sim
 from barloom.plans import catalog
 
 
@@ -82,3 +84,22 @@ def test_rounding_is_that_of_sql(spark):
         with duckdb.connect() as c:
             wanted = c.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, ?) + 0.0)", [values, digits]).fetchone()[0]
         assert [repr(v) for v in found] == [repr(v) for v in wanted]
+
+
+def test_exposure_and_equity_to_the_last_digit(spark):
+    """A position that has left leaves no rounding error behind, and the fold is the SQL's formula."""
+    held = [("a", 0, 1, 0.1, 0, None), ("a", 1, 1, 0.2, 1, 3), ("a", 2, -1, 0.7, 2, 4), ("a", 3, 1, 0.3, 2, 5)]
+    held = spark.createDataFrame(held, "symbol string, signal_id long, side int, size double, enter long, leave long")
+    closes = np.random.default_rng(5).exponential(40, 40) + 1
+    bars = spark.createDataFrame([("a", i, 1000 * i, float(c)) for i, c in enumerate(closes)], "symbol string, bar_idx long, timestamp long, close double")
+    exposed = sim.exposure(held, bars)
+    wanted = [0.1, 0.3 / 2, -0.1 / 4, -0.3 / 3, 0.4 / 2, *[0.1] * 35]
+    assert [r.exposure for r in exposed.orderBy("bar_idx").collect()] == wanted
+    curve = orders.realistic_equity(exposed, spark.createDataFrame([("a", 3, 0.25)], "symbol string, bar_idx long, funding double"))
+    equity, before, last, due = 10_000.0, 0.0, closes[0], {3: 0.25}
+    for r, close, level in zip(curve.orderBy("bar_idx").collect(), closes, wanted):
+        equity = (equity - due.get(r.bar_idx, 0.0)) * (1 + before * (close / last - 1))
+        notional = abs(level - before) * abs(equity)
+        equity -= notional * (3e-4 + 0.022 * math.sqrt(notional / 1e9)) if notional else 0.0
+        before, last = level, close
+        assert r.equity == equity
