@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from barloom.operators import orders
+from barloom.functions import unit_root as ur
+from barloom.operators import labels as ol
+from barloom.operators import learning, orders
 from barloom.operators import simulation as sim
 from barloom.plans import catalog
 
@@ -103,3 +105,18 @@ def test_exposure_and_equity_to_the_last_digit(spark):
         equity -= notional * (3e-4 + 0.022 * math.sqrt(notional / 1e9)) if notional else 0.0
         before, last = level, close
         assert r.equity == equity
+
+
+SMALL = {"maxIter": 2, "maxDepth": 2, "minInstancesPerNode": 5}
+#: Features that are infinite or NaN where a bar's low is 0.
+TOUCHED = ("garman_klass_vol", "corwin_schultz_spread", "yang_zhang_vol", "vol_velocity")
+
+
+def test_models_learn_from_bars_with_a_low_of_0(spark, tmp_path):
+    closes = 50 * np.exp(np.cumsum(np.random.default_rng(1).normal(0, 0.01, 260)))
+    rows = [("A", i, 60_000 * i, float(c), float(c * 1.01), 0.0 if i in (70, 150) else float(c * 0.99), float(c), 100.0, 100.0 * float(c), 10, 50_000_000) for i, c in enumerate(closes)]
+    b = spark.createDataFrame(rows, "symbol string, bar_idx long, timestamp long, open double, high double, low double, close double, volume double, dollar_volume double, tick_count long, duration_us long")
+    labels = ol.triple_barrier(ur.decayed_volatility(b), hold=10, stop=1.0, take=1.0)
+    learning.save(learning.train(b, labels, TOUCHED, hold=10, folds=2, params=SMALL), f"{tmp_path}/m")
+    found = learning.signals(learning.load(f"{tmp_path}/m"), ur.decayed_volatility(b), least_meta=0.0, least_size=0.0).collect()
+    assert len(found) > 200 and all(0 <= r.meta_probability <= 1 and 0 <= r.size <= 1 for r in found)
