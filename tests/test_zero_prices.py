@@ -6,12 +6,15 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from barloom.functions import unit_root as ur
+from barloom.operators import bars as ob
 from barloom.operators import labels as ol
 from barloom.operators import learning, orders
 from barloom.operators import simulation as sim
+from barloom.operators import walk_forward as wf
 from barloom.plans import catalog
 
 
@@ -120,3 +123,14 @@ def test_models_learn_from_bars_with_a_low_of_0(spark, tmp_path):
     learning.save(learning.train(b, labels, TOUCHED, hold=10, folds=2, params=SMALL), f"{tmp_path}/m")
     found = learning.signals(learning.load(f"{tmp_path}/m"), ur.decayed_volatility(b), least_meta=0.0, least_size=0.0).collect()
     assert len(found) > 200 and all(0 <= r.meta_probability <= 1 and 0 <= r.size <= 1 for r in found)
+
+
+def test_windows_with_a_price_of_0_are_measured(spark):
+    rng, hour = np.random.default_rng(2), 3_600_000
+    prices = 50 * np.exp(np.cumsum(rng.normal(0, 0.01, 24 * 40)))
+    prices[[24 * 12 + 2, 24 * 27 + 2]] = 0.0
+    tape = spark.createDataFrame([(i, "A", float(p), 1.0, float(p), i * hour + 1000, i % 2 == 0) for i, p in enumerate(prices)], "id long, symbol string, price double, qty double, quote_qty double, time long, is_buyer_maker boolean")
+    span = tape.agg(F.min("time").alias("start"), F.max("time").alias("end"))
+    barred = lambda b: ol.triple_barrier(ur.decayed_volatility(b), hold=10, stop=0.5, take=0.5)
+    measured = learning.walk_forward(tape, wf.boundaries(span, 18, 9, 5), lambda t: ob.time_bars(t, "6h"), barred, TOUCHED, hold=10, folds=2, params=SMALL, meta_params=SMALL, least=(10, 5)).collect()
+    assert len({r.window for r in measured}) >= 3 and all(math.isfinite(r.value) for r in measured)
