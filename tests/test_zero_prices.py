@@ -91,6 +91,18 @@ def test_rounding_is_that_of_sql(spark):
         assert [repr(v) for v in found] == [repr(v) for v in wanted]
 
 
+def test_code_of_a_wide_rounded_table_is_compiled(spark):
+    """As many columns as the feature table has, in a session that does not fall back to interpreted rows."""
+    wide = spark.range(8).select(*((F.col("id") / (3.0 + k)).alias(f"c{k}") for k in range(80)))
+    wide = wide.where("c0 is not null")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        found = catalog._rounded(wide).collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert len(found) == 8 and all(r[k] == round(i / (3 + k), 6) for i, r in enumerate(sorted(found)) for k in range(80))
+
+
 def test_exposure_and_equity_to_the_last_digit(spark):
     """A position that has left leaves no rounding error behind, and the fold is the SQL's formula."""
     held = [("a", 0, 1, 0.1, 0, None), ("a", 1, 1, 0.2, 1, 3), ("a", 2, -1, 0.7, 2, 4), ("a", 3, 1, 0.3, 2, 5)]
