@@ -32,6 +32,21 @@ def log(x) -> Column:
     return F.coalesce(F.ln(x), F.when(x == 0, -math.inf).when(x < 0, math.nan))
 
 
+def finite(x) -> Column:
+    """x, null where it is infinite or NaN."""
+    return F.when(F.abs(x) < math.inf, x)
+
+
+def _root(x, known: bool = False) -> Column:
+    """The root of x, 0 below it and where x is null; known: null there."""
+    root = F.sqrt(F.greatest(x, F.lit(0.0)))
+    return F.when(x.isNotNull(), root) if known else root
+
+
+def _term(x, known: bool) -> Column:
+    return finite(x) if known else x
+
+
 def skew(x, w) -> Column:
     """Sample skewness with the bias taken out; null below three values."""
     n = F.count(x).over(w)
@@ -62,19 +77,22 @@ def _side(up: bool):
     return F.when(F.col("prev").isNull(), 0.0).when(gone, F.col("volume")).when(F.col("close") == F.col("prev"), F.col("volume") / 2).otherwise(0.0)
 
 
-def rogers_satchell(n=20):
-    return F.sqrt(F.greatest(F.avg(_drift()).over(last(n)), F.lit(0.0)))
+def rogers_satchell(n=20, known=False):
+    return _root(F.avg(_term(_drift(), known)).over(last(n)), known)
 
 
-def garman_klass(n=20):
+def garman_klass(n=20, known=False):
     x = 0.5 * F.pow(log(ratio("high", "low")), 2) - (2 * math.log(2) - 1) * F.pow(log(ratio("close", "open")), 2)
-    return F.sqrt(F.greatest(F.avg(x).over(last(n)), F.lit(0.0)))
+    return _root(F.avg(_term(x, known)).over(last(n)), known)
 
 
-def yang_zhang(n=20):
+def yang_zhang(n=20, known=False):
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
-    gap, body = log(ratio("open", "prev")), log(ratio("close", "open"))
-    x = F.var_samp(gap).over(last(n)) + k * F.var_samp(body).over(last(n)) + (1 - k) * F.greatest(F.avg(_drift()).over(last(n)), F.lit(0.0))
+    gap, body = _term(log(ratio("open", "prev")), known), _term(log(ratio("close", "open")), known)
+    drift = F.avg(_term(_drift(), known)).over(last(n))
+    # without a term in the window there is no value, where SQL's greatest has 0
+    drift = F.when(drift.isNotNull(), F.greatest(drift, F.lit(0.0))) if known else F.greatest(drift, F.lit(0.0))
+    x = F.var_samp(gap).over(last(n)) + k * F.var_samp(body).over(last(n)) + (1 - k) * drift
     return F.sqrt(F.greatest(x, F.lit(0.0)) + F.when(x.isNotNull(), 0.0))
 
 
@@ -119,13 +137,16 @@ FEATURES = {
 }
 
 
+#: Features whose terms are infinite or NaN at bars with a price of 0.
+RANGES = ("rogers_satchell_vol", "garman_klass_vol", "yang_zhang_vol")
 #: Columns that a feature table keeps of its bars.
 KEYS = ("symbol", "bar_idx")
 
 
-def features(bars: DataFrame, window: int = 20, names=None, keep=(*KEYS, "timestamp")) -> DataFrame:
+def features(bars: DataFrame, window: int = 20, names=None, keep=(*KEYS, "timestamp"), known: bool = False) -> DataFrame:
+    """known: terms that are infinite or NaN, as those of bars with a price of 0 are, are left out of RANGES."""
     b = with_returns(bars)
-    return b.select(*keep, *(FEATURES[x](window).alias(x) for x in names or FEATURES))
+    return b.select(*keep, *((FEATURES[x](window, True) if known and x in RANGES else FEATURES[x](window)).alias(x) for x in names or FEATURES))
 
 
 def live_volatility(bars: DataFrame, n: int = 20) -> DataFrame:

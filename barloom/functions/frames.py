@@ -107,10 +107,13 @@ def lempel_ziv(values: Column) -> Column:
     return F.when(F.size(values) >= 5, _phrases(signs))
 
 
-def corwin_schultz() -> Column:
-    """Spread from the ranges of this bar, the one before and both together; null for the first bar."""
+def corwin_schultz(known: bool = False) -> Column:
+    """Spread from the ranges of this bar, the one before and both together; null for the first bar. known: a range with a low of 0 counts as 0, not as infinite."""
     k = 3 - 2 * math.sqrt(2)
-    span = lambda h, low: F.pow(log(ratio(h, low)), 2)
+    if known:
+        span = lambda h, low: F.when(low > 0, F.pow(F.ln(h) - F.ln(low), 2)).when(low.isNotNull(), 0.0)
+    else:
+        span = lambda h, low: F.pow(log(ratio(h, low)), 2)
     one = span(F.col("high"), F.col("low")) + span(lag("high"), lag("low"))
     two = span(F.greatest("high", lag("high")), F.least("low", lag("low")))
     alpha = (F.sqrt(2 * one) - F.sqrt(one)) / k - F.sqrt(two / k)
@@ -133,9 +136,9 @@ def entropies(bars: DataFrame, n: int = 20, keep=KEYS) -> DataFrame:
     return b.select(*keep, entropy(v).alias("rolling_shannon_entropy"), entropy(v, corrected=True).alias("rolling_plugin_entropy"), lempel_ziv(v).alias("rolling_lempel_ziv"))
 
 
-def spreads(bars: DataFrame, n: int = 20, keep=KEYS, way: Column | None = None) -> DataFrame:
-    """Corwin-Schultz spread and tick rule, means of n bars. way: the direction of each bar, where it is known already."""
-    b = with_returns(bars).withColumn("cs", corwin_schultz()).withColumn("way", direction() if way is None else way)
+def spreads(bars: DataFrame, n: int = 20, keep=KEYS, way: Column | None = None, known: bool = False) -> DataFrame:
+    """Corwin-Schultz spread (known: see there) and tick rule, means of n bars. way: the direction of each bar, where it is known already."""
+    b = with_returns(bars).withColumn("cs", corwin_schultz(known)).withColumn("way", direction() if way is None else way)
     return b.select(*keep, F.avg("cs").over(last(n)).alias("corwin_schultz_spread"), F.avg("way").over(last(n)).alias("tick_rule"))
 
 

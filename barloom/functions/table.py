@@ -79,12 +79,14 @@ def halo(window: int = 20) -> int:
     return max(3 * window, max(window, 50)) + 8
 
 
-def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int = 20, only=None, size: int = SLICE) -> DataFrame:
+def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int = 20, only=None, size: int = SLICE, known: bool = False) -> DataFrame:
     """The columns of bars and the features of each: 76 with dollar_volume and duration_us, which bars have; 78 with trades that have bar_idx.
 
     A value is null until its frame is long enough. bars: BAR, numbered from 0; other
     columns stay. only: the features that are wanted, to save the order of the
-    difference where it is not. The table is worked out on slices of `size` bars with a
+    difference where it is not. known: bars with a price of 0 have no terms in the
+    volatilities of ranges and no range in the spread, where they make the values of all
+    bars after them infinite or NaN for a window. The table is worked out on slices of `size` bars with a
     halo, so a symbol is many tasks; what needs the whole series (the order of the
     difference, the direction of the last move) comes first.
     """
@@ -93,13 +95,13 @@ def all_features(bars: DataFrame, trades: DataFrame | None = None, window: int =
     if with_differences:
         b = differenced(b, keep=b.columns, changes=False)
     b = cut(with_direction(b, size))
-    b = in_slices(b, lambda x: _families(x, window, with_differences), size, halo(window)).drop("_way")
+    b = in_slices(b, lambda x: _families(x, window, with_differences, known), size, halo(window)).drop("_way")
     if trades is not None:
         b = with_trades(b, trades, keep=b.columns, n=window)
     return b.withColumnsRenamed(NAMES)
 
 
-def _families(b: DataFrame, window: int, with_differences: bool) -> DataFrame:
+def _families(b: DataFrame, window: int, with_differences: bool, known: bool = False) -> DataFrame:
     """The features of bars with _way, each family a step on the same rows."""
     breaks = max(window, 50)
 
@@ -119,10 +121,10 @@ def _families(b: DataFrame, window: int, with_differences: bool) -> DataFrame:
     step(en.encoded_entropies, window)
     # every step looks at the whole plan so far again: what comes next starts from rows
     b = cut(b)
-    step(ft.features, window)
+    step(ft.features, window, known=known)
     b = b.withColumn("vol_velocity", F.col("rogers_satchell_vol") - ft.lag("rogers_satchell_vol")).withColumn("vol_acceleration", F.col("vol_velocity") - ft.lag("vol_velocity"))
     step(fr.volume_and_duration, window)
-    step(fr.spreads, window, way=F.col("_way"))
+    step(fr.spreads, window, way=F.col("_way"), known=known)
     w = ft.last(window)
     b = b.withColumn("spread_variance", F.var_samp("roll_spread").over(w)).withColumn("spread_skew", ft.skew("roll_spread", w)).withColumn("spread_kurtosis", ft.kurt("roll_spread", w))
     step(ft.calendar)

@@ -47,13 +47,15 @@ def matrix(bars: DataFrame, labels: DataFrame | None, names, window: int = 20) -
     With labels, bars without one go first: the features look back over labelled
     bars only, as they are numbered then, and weights are those of the rows that
     are left, numbered again. Bars that only a time-out ended thus leave by what
-    came after them, which flatters a model; for scoring, all bars count.
+    came after them, which flatters a model; for scoring, all bars count. Bars with a
+    price of 0 are left out of the ranges' means (all_features: known): where most bars
+    have one, no bar would have all features.
     """
     b = cut(bars if labels is None else _numbered(bars.join(known_labels(labels).select("symbol", "bar_idx", "label"), ["symbol", "bar_idx"])))
     past = ft.ordered().rowsBetween(W.unboundedPreceding, 0)
     kept = [*KEYS, *(c for c in ("close", "high", "low") if c not in names), *([] if labels is None else ["label"])]
     # the plan of all features is long: what follows starts from their rows
-    f = cut(all_features(b, window=window, only=names).select(*kept, *names))
+    f = cut(all_features(b, window=window, only=names, known=True).select(*kept, *names))
     f = f.select(*kept, *(F.last(F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")), True).over(past).alias(n) for n in names)).dropna(subset=list(names))
     if labels is None:
         return f

@@ -5,10 +5,13 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from barloom.functions import features as ft
+from barloom.functions import frames as fr
 from barloom.functions import unit_root as ur
 from barloom.operators import bars as ob
 from barloom.operators import labels as ol
@@ -146,3 +149,44 @@ def test_windows_with_a_price_of_0_are_measured(spark):
     barred = lambda b: ol.triple_barrier(ur.decayed_volatility(b), hold=10, stop=0.5, take=0.5)
     measured = learning.walk_forward(tape, wf.boundaries(span, 18, 9, 5), lambda t: ob.time_bars(t, "6h"), barred, TOUCHED, hold=10, folds=2, params=SMALL, meta_params=SMALL, least=(10, 5)).collect()
     assert len({r.window for r in measured}) >= 3 and all(math.isfinite(r.value) for r in measured)
+
+
+def bars_with_lows(spark, zero):
+    """260 bars of one symbol, with a low of 0 where zero(i)."""
+    closes = 50 * np.exp(np.cumsum(np.random.default_rng(1).normal(0, 0.01, 260)))
+    rows = [("A", i, 60_000 * i, float(c), float(c * 1.01), 0.0 if zero(i) else float(c * 0.99), float(c), 100.0, 100.0 * float(c), 10, 50_000_000) for i, c in enumerate(closes)]
+    return spark.createDataFrame(rows, "symbol string, bar_idx long, timestamp long, open double, high double, low double, close double, volume double, dollar_volume double, tick_count long, duration_us long")
+
+
+def test_models_learn_where_every_window_has_a_low_of_0(spark):
+    b = bars_with_lows(spark, lambda i: i % 5 < 3)
+    labels = ol.triple_barrier(ur.decayed_volatility(b).withColumn("low", F.col("close") * 0.99), hold=10, stop=1.0, take=1.0)
+    models = learning.train(b, labels, TOUCHED, hold=10, folds=2, params=SMALL)
+    found = learning.signals(models, ur.decayed_volatility(b), least_meta=0.0, least_size=0.0).collect()
+    assert len(found) > 200 and all(0 <= r.meta_probability <= 1 and 0 <= r.size <= 1 for r in found)
+
+
+def test_ranges_of_models_leave_out_prices_of_0(spark):
+    """As rolling means of pandas do, which skip what is infinite; a window without a term has no value."""
+    rng = np.random.default_rng(4)
+    o, c = rng.exponential(40, (2, 90)) + 1
+    h, low = np.maximum(o, c) + rng.exponential(5, 90), np.minimum(o, c) * rng.random(90)
+    low[np.r_[rng.choice(40, 25, False), 45:70]] = 0.0
+    o[12] = c[30] = low[12] = low[30] = 0.0
+    b = spark.createDataFrame([("A", i, 1000 * i, *map(float, x), 1.0, 1.0) for i, x in enumerate(zip(o, h, low, c))], "symbol string, bar_idx long, timestamp long, open double, high double, low double, close double, volume double, dollar_volume double")
+    found = [list(r) for r in ft.features(b, 20, ft.RANGES, known=True).join(fr.spreads(b, known=True), ["symbol", "bar_idx"]).orderBy("bar_idx").select(*ft.RANGES, "corwin_schultz_spread").collect()]
+    with np.errstate(all="ignore"):
+        log = lambda x: pd.Series(np.log(x)).where(np.isfinite(np.log(x)))
+        mean = lambda x: pd.Series(np.where(np.isfinite(x), x, np.nan)).rolling(20, min_periods=1).mean()
+        drift = mean(np.log(h / c) * np.log(h / o) + np.log(low / c) * np.log(low / o)).clip(lower=0)
+        kman = mean(0.5 * np.log(h / low) ** 2 - (2 * np.log(2) - 1) * np.log(c / o) ** 2).clip(lower=0)
+        var = lambda x: log(x).rolling(20, min_periods=1).var()
+        k = 0.34 / (1.34 + 21 / 19)
+        zhang = var(np.r_[np.nan, o[1:] / c[:-1]]) + k * var(c / o) + (1 - k) * drift
+        span = lambda h, low: np.where(low > 0, np.log(h / low) ** 2, 0.0)
+        two, q = span(h[1:], low[1:]) + span(h[:-1], low[:-1]), 3 - 2 * np.sqrt(2)
+        alpha = (np.sqrt(2 * two) - np.sqrt(two)) / q - np.sqrt(span(np.maximum(h[1:], h[:-1]), np.minimum(low[1:], low[:-1])) / q)
+        spread = mean(np.r_[np.nan, np.maximum(2 * (np.exp(alpha) - 1) / (1 + np.exp(alpha)), 0)])
+    wanted = np.stack([np.sqrt(drift), np.sqrt(kman), np.sqrt(zhang.clip(lower=0)), spread], 1)
+    assert np.isnan(wanted).sum() > 10 and not np.isinf(wanted).any()
+    assert np.array(found, float) == pytest.approx(wanted, rel=1e-9, abs=1e-9, nan_ok=True)
