@@ -21,9 +21,9 @@ def lag(x, n: int = 1) -> Column:
 
 
 def ratio(a, b) -> Column:
-    """a / b as doubles divide: infinite where b is 0, NaN where both are; Spark's own division ends the query there."""
+    """a / b as doubles divide: infinite where b is 0, with the sign of that 0 too, NaN where both are; Spark's own division ends the query there."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a * F.lit(math.inf)))
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a * F.pow(b, F.lit(-1.0))))
 
 
 def log(x) -> Column:

@@ -83,6 +83,19 @@ def test_costs(spark, zeros):
     assert infinite(wanted) and found == wanted
 
 
+def test_costs_of_any_price(spark, tmp_path):
+    """Prices of many sizes and with all digits, missing ones and quantities, a negative 0, NaN and infinity."""
+    rng = np.random.default_rng(6)
+    prices = [None, math.nan, math.inf, -0.0, 0.0, 5e-324, 1e-300, 1e155, 1e300, *np.exp(rng.uniform(-10, 20, 3000)).tolist()]
+    rows = [(i, datetime.datetime(2024, 1, 1), None if i % 97 == 0 else int(rng.integers(0, 9)), "a", p, "{}" if i % 101 == 13 else f'{{"k": {int(np.exp(rng.uniform(0, 12)))}}}') for i, p in enumerate(prices)]
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)")
+        c.executemany("INSERT INTO e VALUES (?, ?, ?, ?, ?, ?)", rows)
+        c.execute(f"COPY e TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    found, wanted = both(spark, tmp_path, "e06_transaction_costs")
+    assert infinite(wanted) and any(r.count(None) > 6 for r in wanted) and found == wanted
+
+
 def test_rounding_is_that_of_sql(spark):
     rng = np.random.default_rng(3)
     values = [*(rng.exponential(3000, 4000) - 1500).tolist(), 0.5, -0.5, 1.5, -2.5, 2.675, 1e300, -1e308, math.inf, -math.inf, math.nan, None, 24.696082263545]
